@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lexspark.llm import chat, licenses, packing
+from lexspark.llm import chat, licenses, packing, quality, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op4_quality": quality.op4_quality,
     "op5_pack": packing.op5_pack,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_license_scan": licenses.op10_license_scan,
 }
 SQL: dict[str, str] = {}
