@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexspark.llm import chat, licenses, packing, quality, toxicity
+from lexspark.llm import chat, licenses, packing, pii, quality, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op4_quality": quality.op4_quality,
     "op5_pack": packing.op5_pack,
+    "op7_pii": pii.op7_pii,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_license_scan": licenses.op10_license_scan,
 }
