@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lexspark.llm import chat, licenses, packing, pii, quality, toxicity
+from lexspark.llm import chat, fingerprints, licenses, packing, pieces, pii, quality, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op4_quality": quality.op4_quality,
     "op5_pack": packing.op5_pack,
+    "op6_pieces": pieces.op6_pieces,
     "op7_pii": pii.op7_pii,
+    "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_license_scan": licenses.op10_license_scan,
 }
