@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lexspark.llm.common import table, written
+from lexspark.llm.jaccard import near_copies_stage
+from lexspark.llm.packing import packing_stage
+from lexspark.llm.pii import pii_stage
+from lexspark.llm.quality import quality_stage
+from lexspark.llm.toxicity import toxicity_stage
 
-STAGES: list = []
+#: In order; each takes (spark, docs, sf_dir) and works on all that the one before has kept.
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near_copies", near_copies_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
+#: SQL can express neither the trained classifiers nor the packing; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

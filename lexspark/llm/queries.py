@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexspark.llm import chat, fingerprints, jaccard, licenses, packing, pieces, pii, quality, toxicity
+from lexspark.llm import chat, fingerprints, jaccard, licenses, packing, pieces, pii, quality, toxicity, vectors
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_jaccard": jaccard.op2_jaccard,
+    "op3_embeddings": vectors.op3_embeddings,
     "op4_quality": quality.op4_quality,
     "op5_pack": packing.op5_pack,
     "op6_pieces": pieces.op6_pieces,
