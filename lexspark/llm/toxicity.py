@@ -120,8 +120,9 @@ def train_chain(texts: list[str], toxic: list[int], config: ChainConfig = ChainC
     known: dict[str, list[int]] = {}
     found = []
     for bag in bags:
-        for w in bag - known.keys():
-            known[w] = [bucket(f, config.buckets) for f in features(w)]
+        for w in bag:
+            if w not in known:
+                known[w] = [bucket(f, config.buckets) for f in features(w)]
         found.append({b for w in bag for b in known[w]})
     seen = Counter(b for have in found for b in have)
     kept = sorted(b for b, n in seen.items() if n >= config.least)
@@ -173,7 +174,9 @@ def score_toxicity(documents: DataFrame, fitted: ToxicityChain, cached: int = 40
             sums = np.zeros((len(texts), len(new)))
             for i, text in enumerate(texts):
                 words = _words(text)
-                for w in words - places.keys():
+                for w in words:
+                    if w in places:
+                        continue
                     places[w] = tuple(b for b in (bucket(f, model.buckets) for f in features(w)) if b in model.weights)
                 for b in set(chain.from_iterable(map(places.__getitem__, words))):
                     sums[i] += model.weights[b]
