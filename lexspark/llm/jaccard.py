@@ -85,6 +85,17 @@ def count_sketch(documents: DataFrame, config: JaccardConfig) -> np.ndarray:
     return out.reshape(-1)
 
 
+_noise: dict[int, float] = {}
+
+
+def sketch_noise(sketch: np.ndarray) -> float:
+    """What a bucket holds by chance, with some room; computed once for a sketch."""
+    if id(sketch) not in _noise:
+        _noise.clear()
+        _noise[id(sketch)] = 1.5 * float(sketch.mean())
+    return _noise[id(sketch)]
+
+
 def ordered(hashes: np.ndarray, sketch: np.ndarray, config: JaccardConfig) -> tuple[np.ndarray, int]:
     """A set in the global order, and how many shared prefix shingles the document asks for."""
     seen = sketch[(hashes >> np.uint64(64 - config.sketch_bits)).astype(np.int64)]
@@ -93,7 +104,7 @@ def ordered(hashes: np.ndarray, sketch: np.ndarray, config: JaccardConfig) -> tu
     alpha = config.least(n)
     first = n - alpha + 1
     # list lengths beyond what a bucket holds by chance
-    extra = np.maximum(seen[order[: first + config.most_matches - 1]].astype(np.float64) - 1.5 * sketch.mean(), 0)
+    extra = np.maximum(seen[order[: first + config.most_matches - 1]].astype(np.float64) - sketch_noise(sketch), 0)
     lookups = np.cumsum(extra)[first - 1 :]
     matches = np.arange(1, len(lookups) + 1)
     cost = lookups + config.verify_cost * lookups / matches + matches
