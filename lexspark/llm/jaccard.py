@@ -35,7 +35,7 @@ class JaccardConfig:
     sketch_bits: int = 22
     most_matches: int = 5
     verify_cost: float = 8.0
-    block: int = 1_000_000
+    block: int = 2_000_000
     block_rows: int = 4000
 
     def least(self, n: int) -> int:
@@ -165,7 +165,7 @@ class Cell:
         self.n = np.array([r[1] for r in rows], np.int64)
         self.asked = np.array([r[2] for r in rows], np.int64)
         self.side = np.array([r[3] for r in rows])
-        self.sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+        self.sets = [r[4] for r in rows]
         self.config = config
 
     def similar(self, shared: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
@@ -249,7 +249,7 @@ def _cells(planned: DataFrame, config: JaccardConfig) -> DataFrame:
     )
     alone = F.array(cell(F.lit(0), F.lit(0), F.lit(0), 0, F.lit(0)))
     both = both.withColumn("own", F.pmod(F.xxhash64("doc_id", "n"), of(c)).cast("int"))
-    return both.withColumn("cells", F.when(small, alone).otherwise(met)).drop("blocks", "own", "rows", "size", "c")
+    return both.withColumn("cells", F.when(small, alone).otherwise(met)).drop("blocks", "own", "rows", "size", "c", "n")
 
 
 def jaccard_components(documents: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
@@ -273,40 +273,37 @@ def jaccard_components(documents: DataFrame, config: JaccardConfig = JaccardConf
     plan = _cells(distinct, config).withColumnRenamed("doc_id", "key")
     shipped = documents.sparkSession.sparkContext.broadcast(sketch)
 
-    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            for i, found in enumerate(shingle_sets(batch.column("text").to_pylist(), config.words)):
-                if set_digest(found) == (a[i], b[i]):  # else another text of the same doc_id
-                    rows.append((i, *ordered(found, shipped.value, config)))
-            if rows:
-                kept = batch.select(["key", "n", "gathering", "cells"]).take(pa.array([r[0] for r in rows]))
-                yield pa.RecordBatch.from_arrays(
-                    [*kept.columns, pa.array([r[2] for r in rows], pa.int32()), pa.array([r[1].tobytes() for r in rows], pa.binary())],
-                    names=["doc_id", "n", "gathering", "cells", "matches", "shingles"],
-                )
-
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows, out = None, [], []
+        at: list | None = None
+        rows: list[tuple] = []
+        out: list[tuple[int, int]] = []
+
+        def close() -> None:
+            sets = []
+            for (doc, a, b, side, _), found in zip(rows, shingle_sets([r[4] for r in rows], config.words)):
+                if set_digest(found) == (a, b):  # else another text of the same doc_id
+                    line, matches = ordered(found, shipped.value, config)
+                    sets.append((doc, len(found), matches, side, line))
+            if len(sets) > 1:
+                out.extend(Cell(sets, config).links())
+
+        as_batch = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("gathering", "c", "s", "t", "kind", "doc_id", "n", "matches", "side", "shingles")]
-            for *key, doc, n, matches, side, data in zip(*columns):
+            for *key, doc, a, b, side, text in zip(*(batch.column(c).to_pylist() for c in ("gathering", "c", "s", "t", "kind", "key", "a", "b", "side", "text"))):
                 if key != at:
-                    if len(rows) > 1:
-                        out += Cell(rows, config).links()
+                    close()
                     at, rows = key, []
-                rows.append((doc, n, matches, side, data))
+                rows.append((doc, a, b, side, text))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
+                yield as_batch()
                 out = []
-        if len(rows) > 1 and (out := Cell(rows, config).links()):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
+        close()
+        if out:
+            yield as_batch()
 
-    cell = "array<struct<c:int,s:int,t:int,kind:int,side:int>>"
-    texts = documents.select(F.col("doc_id").cast("long").alias("key"), text_or_empty().alias("text"))
-    met = texts.join(plan, "key").mapInArrow(with_sets, f"doc_id long, n long, gathering long, cells {cell}, matches int, shingles binary")
-    met = met.select("doc_id", "n", "gathering", "matches", "shingles", F.explode("cells").alias("cell")).select("*", "cell.*").drop("cell")
+    # whole texts go to the cells: they are smaller than their sets, which each cell makes anew
+    texts = _maybe_in(documents.select(F.col("doc_id").cast("long").alias("key"), text_or_empty().alias("text")), plan)
+    met = texts.join(plan, "key").select("key", "a", "b", "gathering", "text", F.explode("cells").alias("cell")).select("*", "cell.*").drop("cell")
     where = ["gathering", "c", "s", "t", "kind"]
     links = met.repartition(*where).sortWithinPartitions(*where).mapInArrow(linked, "a long, b long")
     found = components(links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))))
@@ -315,6 +312,25 @@ def jaccard_components(documents: DataFrame, config: JaccardConfig = JaccardConf
     )
 
 
+_BITS = 1 << 23
+
+
+def _maybe_in(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows whose key is in the plan, and a few others: a bitmap of a fixed size (1 MB) spares most texts a shuffle."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(_BITS))
+    parts = plan.select((place("key") + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    found = {r["bucket"]: r["bits"] for r in parts.collect()}
+    bits = np.frombuffer(b"".join(bytes(found.get(i + 1, bytes(4096))) for i in range(_BITS // 32768)), np.uint8)
+    shipped = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("_p").to_numpy()
+            yield batch.select(["key", "text"]).filter(pa.array((shipped.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+
+    return rows.where("key is not null").withColumn("_p", place("key")).mapInArrow(kept, "key long, text string")
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by 4-word shingles at a similarity of 0.85."""
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), JaccardConfig(words=4, percent=85))
