@@ -7,7 +7,9 @@ shingles before a pair is verified.
 
 Documents that share a prefix shingle are gathered by links to the first document of each shingle's list (as many links
 as list entries, never all pairs). Within such a gathering documents are dealt to cells by set size and, beyond a bounded
-cell, to blocks; every two blocks whose sizes allow a link meet in one cell, where pairs are counted and verified.
+cell, to blocks; every two blocks whose sizes allow a link meet in one cell. First only prefixes meet, and gatherings
+fall apart into documents that are connected by pairs with enough shared prefix shingles; then their whole texts meet, and
+pairs are verified.
 """
 
 from __future__ import annotations
@@ -28,13 +30,15 @@ from lexspark.llm.shingles import set_digest, shingle_sets
 
 @dataclass(frozen=True)
 class JaccardConfig:
-    """Words in a shingle, percent of similarity, and sizes of the sketch and of a cell's block (in shingles)."""
+    """Words in a shingle, percent of similarity, size of the sketch, costs of verifying a pair and of looking up a rare
+    shingle (a look-up in a list is 1 for each entry), and sizes of a cell's block in shingles and rows."""
 
     words: int = 5
     percent: int = 80
     sketch_bits: int = 22
     most_matches: int = 5
     verify_cost: float = 8.0
+    least_cost: float = 0.1
     block: int = 2_000_000
     block_rows: int = 4000
 
@@ -104,7 +108,7 @@ def ordered(hashes: np.ndarray, sketch: np.ndarray, config: JaccardConfig) -> tu
     alpha = config.least(n)
     first = n - alpha + 1
     # list lengths beyond what a bucket holds by chance
-    extra = np.maximum(seen[order[: first + config.most_matches - 1]].astype(np.float64) - sketch_noise(sketch), 0)
+    extra = np.maximum(seen[order[: first + config.most_matches - 1]].astype(np.float64) - sketch_noise(sketch), config.least_cost)
     lookups = np.cumsum(extra)[first - 1 :]
     matches = np.arange(1, len(lookups) + 1)
     cost = lookups + config.verify_cost * lookups / matches + matches
@@ -113,7 +117,7 @@ def ordered(hashes: np.ndarray, sketch: np.ndarray, config: JaccardConfig) -> tu
 
 
 def _as_sets(documents: DataFrame, sketch: np.ndarray, config: JaccardConfig) -> DataFrame:
-    """doc_id, n, digests a and b, matches asked for, and the shortest prefix (8 bytes a shingle)."""
+    """doc_id, n, digests a and b, matches asked for, and the prefix in which they are asked (8 bytes a shingle)."""
     shipped = documents.sparkSession.sparkContext.broadcast(sketch)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +126,7 @@ def _as_sets(documents: DataFrame, sketch: np.ndarray, config: JaccardConfig) ->
             for key, found in zip(keys, shingle_sets(batch.column(1).to_pylist(), config.words)):
                 n, (a, b) = len(found), set_digest(found)
                 line, matches = ordered(found, shipped.value, config) if n else (found, 0)
-                rows.append((key, n, a, b, matches, line[: n - config.least(n) + 1].tobytes() if n else b""))
+                rows.append((key, n, a, b, matches, line[: n - config.least(n) + matches].tobytes() if n else b""))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "n", "a", "b", "matches", "prefix"])
 
@@ -130,8 +134,10 @@ def _as_sets(documents: DataFrame, sketch: np.ndarray, config: JaccardConfig) ->
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of the shortest prefix, that is without the matches beyond the first."""
     for batch in batches:
-        keys, data = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        keys, asked = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+        data = [d[: len(d) - 8 * (m - 1)] for d, m in zip(batch.column(1).to_pylist(), asked)]
         sizes = np.array([len(d) // 8 for d in data], np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(data), np.int64)), pa.array(np.repeat(keys, sizes))], names=["token", "doc_id"])
 
@@ -157,7 +163,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Cell:
-    """Sets that meet in one cell: ids, sizes, matches asked for, sides, and sets in the global order."""
+    """Sets that meet in one cell: rows of (id, size, matches asked for, side, set in the global order or its prefix)."""
 
     def __init__(self, rows: list[tuple], config: JaccardConfig):
         rows.sort(key=lambda r: (r[1], r[0]))
@@ -168,31 +174,30 @@ class Cell:
         self.sets = [r[4] for r in rows]
         self.config = config
 
-    def similar(self, shared: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
-        return 100 * shared >= self.config.percent * (self.n[i] + self.n[others] - shared)
-
-    def links(self) -> list[tuple[int, int]]:
-        """Links that connect all sets that are connected here (a link between sets already connected is left out)."""
+    def links(self, verify: bool) -> list[tuple[int, int]]:
+        """Pairs with enough shared prefix shingles, or (verify) of enough similarity, that connect all sets which such
+        pairs connect here; a pair of sets that are already connected is left out."""
         m, percent = len(self.ids), self.config.percent
-        prefix = [s[: len(s) - self.config.least(len(s)) + a] for s, a in zip(self.sets, self.asked.tolist())]
-        index, full = _Index(prefix), None
+        lengths = (n - self.config.least(n) + a for n, a in zip(self.n.tolist(), self.asked.tolist()))
+        index, full = _Index([s[:p] for s, p in zip(self.sets, lengths)]), None
         label, out = np.arange(m), []
         two_sides = self.side.min() != self.side.max()
         for i in range(1, m):
+            if not index.meets(i):
+                continue
             counts = index.shared(i)
             fit = (counts[:i] >= np.minimum(self.asked[i], self.asked[:i])) & (100 * self.n[:i] >= percent * self.n[i]) & (label[:i] != label[i])
             if two_sides:
                 fit &= self.side[:i] != self.side[i]
             near = np.flatnonzero(fit)
-            if not len(near):
-                continue
-            if len(near) <= 8:
-                own = self.sets[i]
-                shared = np.array([len(np.intersect1d(own, self.sets[j], assume_unique=True)) for j in near])
-            else:
-                full = full or _Index(self.sets)
-                shared = full.shared(i)[near]
-            for j in near[self.similar(shared, i, near)].tolist():
+            if verify and len(near):
+                if len(near) <= 8:
+                    shared = np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for j in near])
+                else:
+                    full = full or _Index(self.sets)
+                    shared = full.shared(i)[near]
+                near = near[100 * shared >= percent * (self.n[i] + self.n[near] - shared)]
+            for j in near.tolist():
                 if label[i] != label[j]:
                     out.append((self.ids[i], self.ids[j]))
                     label[label == label[i]] = label[j]
@@ -211,6 +216,10 @@ class _Index:
         self.counts, self.m = counts, len(sets)
         self.elements = np.split(where, np.cumsum(sizes)[:-1])
 
+    def meets(self, i: int) -> bool:
+        """Whether another set holds any element of set i."""
+        return bool((self.counts[self.elements[i]] > 1).any())
+
     def shared(self, i: int) -> np.ndarray:
         """How many elements of set i each set holds."""
         mine = self.elements[i]
@@ -222,6 +231,14 @@ class _Index:
         return np.bincount(self.owners[at], minlength=self.m)
 
 
+_CELL = ["gathering", "c", "s", "t", "kind"]
+
+
+def _meetings(planned: DataFrame, config: JaccardConfig) -> DataFrame:
+    """Rows of a plan once for each cell in which they meet others, with the cell's name and the row's side."""
+    return _cells(planned, config).select("*", F.explode("cells").alias("cell")).select("*", "cell.*").drop("cell", "cells")
+
+
 def _cells(planned: DataFrame, config: JaccardConfig) -> DataFrame:
     """Adds to (doc_id, n, gathering) the cells in which a set meets others: an array of (c, s, t, kind, side).
 
@@ -249,63 +266,78 @@ def _cells(planned: DataFrame, config: JaccardConfig) -> DataFrame:
     )
     alone = F.array(cell(F.lit(0), F.lit(0), F.lit(0), 0, F.lit(0)))
     both = both.withColumn("own", F.pmod(F.xxhash64("doc_id", "n"), of(c)).cast("int"))
-    return both.withColumn("cells", F.when(small, alone).otherwise(met)).drop("blocks", "own", "rows", "size", "c", "n")
+    return both.withColumn("cells", F.when(small, alone).otherwise(met)).drop("blocks", "own", "rows", "size", "c")
 
 
-def jaccard_components(documents: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
-    """For every row of documents (doc_id, text): doc_id, n_shingles and component_id.
+def _gatherings(found: DataFrame) -> DataFrame:
+    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("gathering"))
 
-    Two documents link when 100 * intersection >= percent * union of their shingle sets; component_id is the smallest
-    doc_id that links reach. Null, empty and blank texts have no shingles and link with nothing. Rows that repeat a doc_id
-    are one document, which links if any of its texts does; a null doc_id is its own component (null). Other columns are
-    ignored. No partner is dropped: beyond a block's size a gathering is compared block by block.
-    """
-    sketch = count_sketch(documents, config)
-    sets = written(_as_sets(documents, sketch, config))
-    entries = sets.where("n > 0 and doc_id is not null").select("doc_id", "prefix").mapInArrow(_entries, "token long, doc_id long")
-    edges = entries.repartition("token").sortWithinPartitions("token", "doc_id").mapInArrow(_stars, "a long, b long")
-    gathered = components(edges)
-    gathered = gathered.select(F.col("node").alias("doc_id"), F.col("component").alias("gathering"))
-    # equal sets are compared once; the copies link to their smallest doc_id
-    known = sets.where("n > 0 and doc_id is not null").select("doc_id", "n", "a", "b").join(gathered, "doc_id")
-    distinct = written(known.groupBy("a", "b", "n").agg(F.min("doc_id").alias("doc_id"), F.min("gathering").alias("gathering")))
-    copies = known.join(distinct.withColumnRenamed("doc_id", "first").drop("gathering"), ["a", "b", "n"]).where("doc_id <> first")
-    plan = _cells(distinct, config).withColumnRenamed("doc_id", "key")
-    shipped = documents.sparkSession.sparkContext.broadcast(sketch)
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: list | None = None
-        rows: list[tuple] = []
-        out: list[tuple[int, int]] = []
+def _prefix_links(rows: list[dict], config: JaccardConfig, sketch: None) -> list[tuple[int, int]]:
+    sets = [(r["doc_id"], r["n"], r["matches"], r["side"], np.frombuffer(r["prefix"], np.uint64)) for r in rows]
+    return Cell(sets, config).links(verify=False)
+
 
-        def close() -> None:
-            sets = []
-            for (doc, a, b, side, _), found in zip(rows, shingle_sets([r[4] for r in rows], config.words)):
-                if set_digest(found) == (a, b):  # else another text of the same doc_id
-                    line, matches = ordered(found, shipped.value, config)
-                    sets.append((doc, len(found), matches, side, line))
-            if len(sets) > 1:
-                out.extend(Cell(sets, config).links())
+def _verified_links(rows: list[dict], config: JaccardConfig, sketch: np.ndarray) -> list[tuple[int, int]]:
+    sets = []
+    for r, found in zip(rows, shingle_sets([r["text"] for r in rows], config.words)):
+        if set_digest(found) == (r["a"], r["b"]):  # else another text of the same doc_id
+            line, matches = ordered(found, sketch, config)
+            sets.append((r["doc_id"], len(found), matches, r["side"], line))
+    return Cell(sets, config).links(verify=True) if len(sets) > 1 else []
 
+
+def _in_cells(met: DataFrame, compare, config: JaccardConfig, sketch: np.ndarray | None) -> DataFrame:
+    """Runs compare on the rows of each cell, one bounded cell after another."""
+    shipped = met.sparkSession.sparkContext.broadcast(sketch)
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        rows: list[dict] = []
+        out: list[tuple[int, int]] = []
         as_batch = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
         for batch in batches:
-            for *key, doc, a, b, side, text in zip(*(batch.column(c).to_pylist() for c in ("gathering", "c", "s", "t", "kind", "key", "a", "b", "side", "text"))):
+            for row in batch.to_pylist():
+                key = tuple(map(row.__getitem__, _CELL))
                 if key != at:
-                    close()
+                    if len(rows) > 1:
+                        out += compare(rows, config, shipped.value)
                     at, rows = key, []
-                rows.append((doc, a, b, side, text))
+                rows.append(row)
             if out:
                 yield as_batch()
                 out = []
-        close()
-        if out:
+        if len(rows) > 1 and (out := compare(rows, config, shipped.value)):
             yield as_batch()
 
+    return met.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(linked, "a long, b long")
+
+
+def jaccard_components(documents: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
+    """For every row of documents (doc_id, text): doc_id, n_shingles and component_id.
+
+    Two documents link when 100 * intersection >= percent * union of their shingle sets; component_id is the smallest
+    doc_id that links reach. Null, empty and blank texts have no shingles and link with nothing. Rows that repeat a doc_id
+    are one document, which links if any of its texts does; a null doc_id is its own component (null). Other columns are
+    ignored. No partner is dropped: beyond a block's size a gathering is compared block by block.
+    """
+    sketch = count_sketch(documents, config)
+    sets = written(_as_sets(documents, sketch, config))
+    known = sets.where("n > 0 and doc_id is not null")
+    entries = known.select("doc_id", "prefix", "matches").mapInArrow(_entries, "token long, doc_id long")
+    edges = entries.repartition("token").sortWithinPartitions("token", "doc_id").mapInArrow(_stars, "a long, b long")
+    gathered = _gatherings(components(edges))
+    # equal sets are compared once; the copies link to their smallest doc_id
+    known = _maybe_in(known, gathered).join(gathered, "doc_id")
+    same = [F.min("doc_id").alias("doc_id"), F.min("gathering").alias("gathering"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix")]
+    distinct = written(known.groupBy("a", "b", "n").agg(*same))
+    copies = known.select("doc_id", "a", "b", "n").join(distinct.select("a", "b", "n", F.col("doc_id").alias("first")), ["a", "b", "n"]).where("doc_id <> first")
+    candidates = _in_cells(_meetings(distinct.drop("a", "b"), config), _prefix_links, config, None)
+    refined = distinct.select("doc_id", "a", "b", "n").join(_gatherings(components(candidates)), "doc_id")
+    plan = written(refined)
     # whole texts go to the cells: they are smaller than their sets, which each cell makes anew
-    texts = _maybe_in(documents.select(F.col("doc_id").cast("long").alias("key"), text_or_empty().alias("text")), plan)
-    met = texts.join(plan, "key").select("key", "a", "b", "gathering", "text", F.explode("cells").alias("cell")).select("*", "cell.*").drop("cell")
-    where = ["gathering", "c", "s", "t", "kind"]
-    links = met.repartition(*where).sortWithinPartitions(*where).mapInArrow(linked, "a long, b long")
+    texts = _maybe_in(documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), plan)
+    links = _in_cells(texts.join(_meetings(plan, config), "doc_id"), _verified_links, config, sketch)
     found = components(links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))))
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
@@ -316,9 +348,9 @@ _BITS = 1 << 23
 
 
 def _maybe_in(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """The rows whose key is in the plan, and a few others: a bitmap of a fixed size (1 MB) spares most texts a shuffle."""
+    """The rows whose doc_id is in the plan, and a few others: a bitmap of a fixed size (1 MB) spares most texts a shuffle."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(_BITS))
-    parts = plan.select((place("key") + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    parts = plan.select((place("doc_id") + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     found = {r["bucket"]: r["bits"] for r in parts.collect()}
     bits = np.frombuffer(b"".join(bytes(found.get(i + 1, bytes(4096))) for i in range(_BITS // 32768)), np.uint8)
     shipped = rows.sparkSession.sparkContext.broadcast(bits)
@@ -326,9 +358,12 @@ def _maybe_in(rows: DataFrame, plan: DataFrame) -> DataFrame:
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("_p").to_numpy()
-            yield batch.select(["key", "text"]).filter(pa.array((shipped.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            inside = (shipped.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            yield batch.select(names).filter(pa.array(inside))
 
-    return rows.where("key is not null").withColumn("_p", place("key")).mapInArrow(kept, "key long, text string")
+    names = rows.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.where("doc_id is not null").withColumn("_p", place("doc_id")).mapInArrow(kept, fields)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
