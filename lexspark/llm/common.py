@@ -41,6 +41,13 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows: texts become Python objects a few at a time."""
+    for batch in batches:
+        for low in range(0, len(batch), rows):
+            yield batch.slice(low, rows)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every bit of unsigned 64-bit numbers over all bits."""
     x = x.astype(np.uint64, copy=True)

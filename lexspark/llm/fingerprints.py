@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import mix64, table, text_or_empty
+from lexspark.llm.common import mix64, slices, table, text_or_empty
 
 CELLS = 24
 #: A passage ends after punctuation or a line's end, or has 32 characters.
@@ -138,7 +138,7 @@ def compare_versions(documents: DataFrame, base: str, others: list[str]) -> Data
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[str, np.ndarray] = {}  # what the row before has digested: neighbours often are its versions
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for texts in zip(*(batch.column(c).to_pylist() for c in (base, *others))):
                 known = {t: last[t] if t in last else digests(t) for t in texts}
@@ -181,7 +181,7 @@ def with_next(documents: DataFrame) -> DataFrame:
 
     def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for key, text, at, copy in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "range", "copy"))):
                 if waiting and waiting[2] == at:
