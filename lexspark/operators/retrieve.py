@@ -50,7 +50,7 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFra
         import numpy as np
 
         if not len(v) or not len(asked):
-            return pd.DataFrame({"question_id": [], "child_id": [], "score": []})
+            return pd.DataFrame()
         ids = v["child_id"].to_numpy()
         scores = np.stack(asked["_query"]).astype(float) @ np.stack(v["embedding"]).astype(float).T
         out = []
@@ -61,7 +61,7 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFra
             least = np.partition(line, len(line) - n)[len(line) - n]
             near = np.flatnonzero((line >= least) & (line > -np.inf))  # with ties, which the ranking orders
             out.append(pd.DataFrame({"question_id": question, "child_id": ids[near], "score": line[near]}))
-        return pd.concat(out)
+        return pd.concat(out).astype({"question_id": object, "child_id": object})
 
     kinds = {f.name: f.dataType.simpleString() for f in [*q.schema, *vectors.schema]}
     found = left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInPandas(best, f"question_id {kinds['question_id']}, child_id {kinds['child_id']}, score double")

@@ -29,7 +29,7 @@ def generate_answers(questions: DataFrame, provider: Provider = extractive, repa
     def run(p: Provider):
         @F.pandas_udf("string")
         def generated(question: pd.Series, evidence: pd.Series) -> pd.Series:
-            return p(question, evidence)
+            return p(question, evidence).astype(object)
 
         return generated("text", "evidence")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexspark.conf import Settings
 from lexspark.functions import text as T
 from lexspark.functions.answers import normalise_answer
-from lexspark.operators import chunks, evaluate, filters, retrieve, validate
+from lexspark.operators import audits, chunks, evaluate, filters, retrieve, validate
 from lexspark.plans import answer, search
 from lexspark.sources import writers
 from lexspark.streaming.ingest import stream_windows
@@ -564,6 +564,75 @@ def deterministic_sample(spark, d):
     return evaluate.sample(docs(spark, d).select("doc_id"), "doc_id", 100, 42)
 
 
+# ---- audits ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT k, n, CASE WHEN n > 6 THEN 'Other' WHEN final THEN 'OK' WHEN NOT (dense OR bm25) THEN 'A' WHEN NOT rrf THEN 'B' WHEN NOT fused THEN 'C' WHEN m < 0.5 THEN 'E' ELSE 'D' END AS cls FROM ({_FLAGS})""")
+def causal_audit(spark, d):
+    """Line items as questions: which stage lost their evidence."""
+    return _audited(spark, d).select("k", "n", "cls")
+
+
+def _audited(spark, d) -> DataFrame:
+    f = table(spark, d, "lineitem").selectExpr(
+        "l_orderkey k", "l_linenumber n", "l_quantity >= 25 OR l_discount >= 0.05 pool", "l_tax >= 0.04 rrf", "l_returnflag = 'R' fused", "l_linestatus = 'F' AND l_returnflag = 'A' final", "l_discount * 10 m"
+    )
+    return f.withColumn("cls", audits.causal_class(F.col("n") <= 6, F.col("final"), F.col("pool"), F.col("rrf"), F.col("fused"), F.col("m") >= 0.5))
+
+
+@query(f"""WITH r AS (SELECT m, CASE WHEN n > 6 THEN 'Other' WHEN final THEN 'OK' WHEN NOT (dense OR bm25) THEN 'A' WHEN NOT rrf THEN 'B' WHEN NOT fused THEN 'C' WHEN m < 0.5 THEN 'E' ELSE 'D' END AS cls FROM ({_FLAGS})),
+g AS (SELECT cls, count(*) AS n, sum(greatest(0.0::DOUBLE, (SELECT avg(m) FROM r WHERE cls = 'OK') - m)) AS g FROM r GROUP BY cls)
+SELECT c AS combination, sum(n)::BIGINT AS questions, round_even(sum(g) / (SELECT count(*) FROM r), 6) AS ceiling FROM g JOIN (VALUES ('D', ['D']), ('C+D+E', ['C', 'D', 'E']), ('A+B+C+D+E', ['A', 'B', 'C', 'D', 'E'])) v(c, s) ON list_contains(s, cls) GROUP BY c""")
+def category_ceilings(spark, d):
+    return audits.category_ceilings(_audited(spark, d), "cls", "m")
+
+
+@query(f"""WITH {_CHUNKS}, e AS (SELECT doc_id, position, sum(len(string_split(text, ' '))) OVER (PARTITION BY doc_id ORDER BY position)::BIGINT AS spent FROM chunks),
+q AS (SELECT b AS budget, doc_id, count(*) FILTER (spent <= b) AS kept, coalesce(max(spent) FILTER (spent <= b), 0) AS tokens, count(*) AS n FROM e, (VALUES (300), (600), (1200)) v(b) GROUP BY ALL)
+SELECT budget, round_even(avg(kept), 4) AS mean_kept, quantile_cont(kept, 0.5)::DOUBLE AS median_kept, max(kept) AS max_kept, round_even(avg(tokens), 4) AS mean_tokens, max(tokens) AS max_tokens, count(*) FILTER (kept < n) AS truncated FROM q GROUP BY budget""")
+def budget_probe(spark, d):
+    evidence = doc_chunks(spark, d).select(F.col("document_id").alias("question_id"), F.col("position").alias("rank"), T.token_count(F.col("text")).alias("cost"))
+    return audits.budget_probe(evidence, [300, 600, 1200])
+
+
+@query("""WITH r AS (SELECT quality = 1 AS b, toxic = 1 AS f, doc_id FROM labels), p AS (SELECT 'all' AS policy, b, f, true AS t FROM r UNION ALL SELECT 'missed', b, f, NOT b FROM r UNION ALL SELECT 'even', b, f, doc_id % 2 = 0 FROM r)
+SELECT policy, count(*) FILTER (t) AS triggered, count(*) FILTER (t AND NOT b AND f) AS rescued, count(*) FILTER (t AND b AND NOT f) AS regressed, count(*) FILTER (t AND NOT b AND f) - count(*) FILTER (t AND b AND NOT f) AS net_gain,
+round_even(count(*) FILTER (t AND NOT b AND f) / nullif(count(*) FILTER (t), 0)::DOUBLE, 4) AS precision, round_even(avg(CASE WHEN t THEN f ELSE b END::INT), 4) AS recall FROM p GROUP BY policy""")
+def policy_evaluation(spark, d):
+    rows = table(spark, d, "labels").select((F.col("quality") == 1).alias("base_hit"), (F.col("toxic") == 1).alias("fallback_hit"), "doc_id")
+    flat = rows.withColumn("even", F.col("doc_id") % 2 == 0)
+    kept = flat.select("base_hit", "fallback_hit", "even")
+    return audits.policy_results(kept, {"all": F.lit(True), "missed": ~F.col("base_hit"), "even": F.col("even")})
+
+
+@query(f"""WITH {_bm25("whole", 20)}, {_bm25("first", 20, _HALVES["first"])}, f AS (SELECT w.question_id, w.doc_id, w.rank, d.lang, d.source FROM whole w JOIN documents d ON d.doc_id = w.doc_id WHERE w.rank <= 10),
+c AS (SELECT question_id, lang, source, count(*) AS n, min(rank) AS r FROM f GROUP BY ALL),
+s AS (SELECT question_id, count(*) AS n_articles, count(DISTINCT lang) AS n_documents, max(n) AS max_chunks_per_article, arg_min(n, r) / sum(n)::DOUBLE AS top1_article_share FROM c GROUP BY 1),
+o AS (SELECT question_id, count(*) FILTER (w.rank <= 10 AND x.rank <= 10) / 10.0::DOUBLE AS dense_bm25_overlap FROM (SELECT DISTINCT question_id FROM whole UNION SELECT DISTINCT question_id FROM first) LEFT JOIN whole w USING (question_id) LEFT JOIN first x ON x.question_id = w.question_id AND x.doc_id = w.doc_id GROUP BY 1)
+SELECT question_id, n_articles, n_documents, max_chunks_per_article, round(top1_article_share, 6) AS top1_article_share, dense_bm25_overlap FROM s LEFT JOIN o USING (question_id)""")
+def gate_features(spark, d):
+    """Documents as chunks, their languages as documents and their sources as articles."""
+    lists = _rewrites(spark, d)
+    where = docs(spark, d).select(F.col("doc_id").alias("child_id"), F.col("lang").alias("document"), F.col("source").alias("article"))
+    final = lists["whole"].join(where, "child_id")
+    named = lists["whole"].withColumn("list", F.lit("dense")).unionByName(lists["first"].withColumn("list", F.lit("bm25")))
+    rows = audits.gate_features(final, named, 10)
+    return rows.select("question_id", "n_articles", "n_documents", "max_chunks_per_article", F.round("top1_article_share", 6).alias("top1_article_share"), "dense_bm25_overlap")
+
+
+@query("""WITH o AS (SELECT o_custkey AS question_id, o_orderpriority AS stage, list(DISTINCT (o_orderkey % 10)::VARCHAR) AS a, list(DISTINCT (o_orderkey % 7)::VARCHAR) AS c, list(DISTINCT (o_orderkey % 3)::VARCHAR) AS p FROM orders GROUP BY ALL),
+r AS (SELECT stage, list_has_any(a, [(question_id % 10)::VARCHAR]) AS h, list_contains(c, (question_id % 7)::VARCHAR) AS k, list_contains(p, (question_id % 3)::VARCHAR) AS q FROM o)
+SELECT stage, count(*) AS questions, round_even(avg(h::INT), 4) AS article, round_even(avg(k::INT), 4) AS clauses, round_even(avg(q::INT), 4) AS points, round_even(avg((h AND k AND q)::INT), 4) AS "full" FROM r GROUP BY stage""")
+def evidence_by_stage(spark, d):
+    """Customers as questions, order priorities as stages, remainders of order keys as what a stage holds."""
+    part = lambda c, n: F.collect_set((F.col(c) % n).cast("string"))
+    orders = table(spark, d, "orders")
+    stages = orders.groupBy(F.col("o_custkey").alias("question_id"), F.col("o_orderpriority").alias("stage")).agg(part("o_orderkey", 10).alias("articles"), part("o_orderkey", 7).alias("clauses"), part("o_orderkey", 3).alias("points"))
+    one = lambda n: F.array((F.col("question_id") % n).cast("string"))
+    gold = stages.select("question_id").distinct().select("question_id", one(10).alias("articles"), one(7).alias("clauses"), one(3).alias("points"))
+    return audits.evidence_by_stage(stages, gold)
+
+
 # ---- stores ---------------------------------------------------------------------------------------------------------
 
 
