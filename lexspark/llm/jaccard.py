@@ -31,7 +31,8 @@ from lexspark.llm.shingles import set_digest, shingle_sets
 @dataclass(frozen=True)
 class JaccardConfig:
     """Words in a shingle, percent of similarity, size of the sketch, costs of verifying a pair and of looking up a rare
-    shingle (a look-up in a list is 1 for each entry), and sizes of a cell's block in shingles and rows."""
+    shingle (a look-up in a list is 1 for each entry), and sizes of a cell's block in shingles and rows
+    where whole sets meet and where prefixes do."""
 
     words: int = 5
     percent: int = 80
@@ -41,6 +42,8 @@ class JaccardConfig:
     least_cost: float = 0.1
     block: int = 2_000_000
     block_rows: int = 4000
+    prefix_block: int = 4_000_000
+    prefix_block_rows: int = 60_000
 
     def least(self, n: int) -> int:
         """The least overlap that a set of n shingles has with any set it links to."""
@@ -134,36 +137,52 @@ def _as_sets(documents: DataFrame, sketch: np.ndarray, config: JaccardConfig) ->
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of the shortest prefix, that is without the matches beyond the first."""
+    """A row for each prefix shingle; `late` are those that come with the matches beyond the first."""
     for batch in batches:
-        keys, asked = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-        data = [d[: len(d) - 8 * (m - 1)] for d, m in zip(batch.column(1).to_pylist(), asked)]
+        keys, asked = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        data = batch.column(1).to_pylist()
         sizes = np.array([len(d) // 8 for d in data], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(data), np.int64)), pa.array(np.repeat(keys, sizes))], names=["token", "doc_id"])
+        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        late = place > np.repeat(sizes - asked, sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(data), np.int64)), pa.array(late), pa.array(np.repeat(keys, sizes))], names=["token", "late", "set_id"])
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From entries sorted by token: an edge from each document to the first of the token's list."""
-    last, hub = None, None
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries sorted by token, late and set_id those whose token occurs again, each with its list's first set."""
+    rest, hub = np.zeros((0, 3), np.int64), None  # the last entry waits, as the next may hold the same token
+
+    def told(rows: np.ndarray, before: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Entries that are shared and each entry's hub; `before`: the hub of the first entry's list if that began earlier."""
+        tokens = rows[:, 0]
+        new = np.r_[before is None, tokens[1:] != tokens[:-1]]
+        heads = np.where(new, rows[:, 2], 0)
+        if before is not None:
+            heads[0] = before
+        hubs = heads[np.maximum.accumulate(np.where(new | (np.arange(len(rows)) == 0), np.arange(len(rows)), 0))]
+        return ~new | np.r_[~new[1:], False], hubs
+
     for batch in batches:
-        tokens, docs = (c.to_numpy() for c in batch.columns)
-        if not len(tokens):
+        rows = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2).to_numpy()], 1)
+        rows = np.concatenate([rest, rows])
+        if len(rows) < 2:
+            rest = rows
             continue
-        new = np.r_[tokens[0] != last, tokens[1:] != tokens[:-1]]
-        heads = np.where(new, docs, 0)
-        if not new[0]:
-            heads[0] = hub
-            new[0] = True
-        hubs = heads[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-        last, hub = tokens[-1], hubs[-1]
-        apart = docs != hubs
-        pairs = np.unique(np.stack([docs[apart], hubs[apart]], 1), axis=0) if apart.any() else np.zeros((0, 2), np.int64)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        keep, hubs = told(rows, hub)
+        done = slice(0, len(rows) - 1)
+        # the last row goes on to the next batch, with its hub if its list has begun
+        hub = int(hubs[-1]) if rows[-1, 0] == rows[-2, 0] else None
+        rest = rows[-1:]
+        yield _shared_rows(rows[done][keep[done]], hubs[done][keep[done]])
+    if len(rest) and hub is not None:
+        yield _shared_rows(rest, np.array([hub]))
+
+
+def _shared_rows(rows: np.ndarray, hubs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1] == 1), pa.array(rows[:, 2]), pa.array(hubs)], names=["token", "late", "set_id", "hub"])
 
 
 class Cell:
-    """Sets that meet in one cell: rows of (id, size, matches asked for, side, set in the global order or its prefix)."""
+    """Sets that meet in one cell: rows of (id, size, matches asked for, side, prefix, set); only verifying needs the set."""
 
     def __init__(self, rows: list[tuple], config: JaccardConfig):
         rows.sort(key=lambda r: (r[1], r[0]))
@@ -171,31 +190,31 @@ class Cell:
         self.n = np.array([r[1] for r in rows], np.int64)
         self.asked = np.array([r[2] for r in rows], np.int64)
         self.side = np.array([r[3] for r in rows])
-        self.sets = [r[4] for r in rows]
+        self.prefixes, self.sets = [r[4] for r in rows], [r[5] for r in rows]
         self.config = config
 
     def links(self, verify: bool) -> list[tuple[int, int]]:
         """Pairs with enough shared prefix shingles, or (verify) of enough similarity, that connect all sets which such
         pairs connect here; a pair of sets that are already connected is left out."""
         m, percent = len(self.ids), self.config.percent
-        lengths = (n - self.config.least(n) + a for n, a in zip(self.n.tolist(), self.asked.tolist()))
-        index, full = _Index([s[:p] for s, p in zip(self.sets, lengths)]), None
+        index, full = _Index(self.prefixes), None
         label, out = np.arange(m), []
         two_sides = self.side.min() != self.side.max()
         for i in range(1, m):
             if not index.meets(i):
                 continue
-            counts = index.shared(i)
-            fit = (counts[:i] >= np.minimum(self.asked[i], self.asked[:i])) & (100 * self.n[:i] >= percent * self.n[i]) & (label[:i] != label[i])
+            near, counts = index.sharing(i)
+            fit = (near < i) & (counts >= np.minimum(self.asked[i], self.asked[near])) & (100 * self.n[near] >= percent * self.n[i]) & (label[near] != label[i])
             if two_sides:
-                fit &= self.side[:i] != self.side[i]
-            near = np.flatnonzero(fit)
+                fit &= self.side[near] != self.side[i]
+            near = near[fit]
             if verify and len(near):
                 if len(near) <= 8:
                     shared = np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for j in near])
                 else:
                     full = full or _Index(self.sets)
-                    shared = full.shared(i)[near]
+                    others, counts = full.sharing(i)
+                    shared = counts[np.searchsorted(others, near)]
                 near = near[100 * shared >= percent * (self.n[i] + self.n[near] - shared)]
             for j in near.tolist():
                 if label[i] != label[j]:
@@ -220,41 +239,43 @@ class _Index:
         """Whether another set holds any element of set i."""
         return bool((self.counts[self.elements[i]] > 1).any())
 
-    def shared(self, i: int) -> np.ndarray:
-        """How many elements of set i each set holds."""
+    def sharing(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sets that share elements with set i, in order, and how many."""
         mine = self.elements[i]
         mine = mine[self.counts[mine] > 1]
         sizes = self.counts[mine]
-        if not len(mine):
-            return np.zeros(self.m, np.int64)
         at = np.repeat(self.low[mine] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return np.bincount(self.owners[at], minlength=self.m)
+        if len(at) < self.m // 4:
+            return np.unique(self.owners[at], return_counts=True)
+        counts = np.bincount(self.owners[at], minlength=self.m)
+        found = np.flatnonzero(counts)
+        return found, counts[found]
 
 
 _CELL = ["gathering", "c", "s", "t", "kind"]
 
 
-def _meetings(planned: DataFrame, config: JaccardConfig) -> DataFrame:
+def _meetings(planned: DataFrame, config: JaccardConfig, key: str, size: str, block: int, block_rows: int) -> DataFrame:
     """Rows of a plan once for each cell in which they meet others, with the cell's name and the row's side."""
-    return _cells(planned, config).select("*", F.explode("cells").alias("cell")).select("*", "cell.*").drop("cell", "cells")
+    return _cells(planned, config, key, size, block, block_rows).select("*", F.explode("cells").alias("cell")).select("*", "cell.*").drop("cell", "cells")
 
 
-def _cells(planned: DataFrame, config: JaccardConfig) -> DataFrame:
-    """Adds to (doc_id, n, gathering) the cells in which a set meets others: an array of (c, s, t, kind, side).
+def _cells(planned: DataFrame, config: JaccardConfig, key: str, weight: str, block: int, block_rows: int) -> DataFrame:
+    """Adds to (key, n, gathering) the cells in which a set meets others: an array of (c, s, t, kind, side).
 
     A gathering that fits into one block is one cell. Others are cut by size class (sets that link are at most one class
     apart) and each class into as many blocks as its shingles fill.
     """
     step = math.log(100 / config.percent) * 1.001
     planned = planned.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
-    classes = planned.groupBy("gathering", "c").agg(F.count("*").alias("rows"), F.sum("n").alias("size"))
-    blocks = F.greatest(F.ceil(F.col("size") / config.block), F.ceil(F.col("rows") / config.block_rows)).cast("int")
+    classes = planned.groupBy("gathering", "c").agg(F.count("*").alias("rows"), F.sum(weight).alias("size"))
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("rows") / block_rows)).cast("int")
     classes = classes.withColumn("blocks", blocks)
     shape = classes.groupBy("gathering").agg(
         F.sum("rows").alias("rows"), F.sum("size").alias("size"), F.map_from_entries(F.collect_list(F.struct("c", "blocks"))).alias("blocks")
     )  # the number of size classes grows with the logarithm of the longest text
     both = planned.join(shape.where("rows > 1"), "gathering")
-    small = (F.col("rows") <= config.block_rows) & (F.col("size") <= config.block)
+    small = (F.col("rows") <= block_rows) & (F.col("size") <= block)
     of = lambda c: F.coalesce(F.try_element_at("blocks", c), F.lit(0))
     up_to = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: i < n)
     cell = lambda c, s, t, kind, side: F.struct(c.alias("c"), s.alias("s"), t.alias("t"), F.lit(kind).alias("kind"), side.alias("side"))
@@ -265,16 +286,16 @@ def _cells(planned: DataFrame, config: JaccardConfig) -> DataFrame:
         F.transform(up_to(of(c - 1)), lambda t: cell(c - 1, t, s, 1, F.lit(1))),
     )
     alone = F.array(cell(F.lit(0), F.lit(0), F.lit(0), 0, F.lit(0)))
-    both = both.withColumn("own", F.pmod(F.xxhash64("doc_id", "n"), of(c)).cast("int"))
+    both = both.withColumn("own", F.pmod(F.xxhash64(key, "n"), of(c)).cast("int"))
     return both.withColumn("cells", F.when(small, alone).otherwise(met)).drop("blocks", "own", "rows", "size", "c")
 
 
 def _gatherings(found: DataFrame) -> DataFrame:
-    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("gathering"))
+    return found.select(F.col("node").alias("a"), F.col("component").alias("gathering"))
 
 
 def _prefix_links(rows: list[dict], config: JaccardConfig, sketch: None) -> list[tuple[int, int]]:
-    sets = [(r["doc_id"], r["n"], r["matches"], r["side"], np.frombuffer(r["prefix"], np.uint64)) for r in rows]
+    sets = [(r["a"], r["n"], r["matches"], r["side"], np.array(r["tokens"], np.int64), None) for r in rows]
     return Cell(sets, config).links(verify=False)
 
 
@@ -283,7 +304,7 @@ def _verified_links(rows: list[dict], config: JaccardConfig, sketch: np.ndarray)
     for r, found in zip(rows, shingle_sets([r["text"] for r in rows], config.words)):
         if set_digest(found) == (r["a"], r["b"]):  # else another text of the same doc_id
             line, matches = ordered(found, sketch, config)
-            sets.append((r["doc_id"], len(found), matches, r["side"], line))
+            sets.append((r["doc_id"], len(found), matches, r["side"], line[: len(line) - config.least(len(line)) + matches], found))
     return Cell(sets, config).links(verify=True) if len(sets) > 1 else []
 
 
@@ -324,20 +345,23 @@ def jaccard_components(documents: DataFrame, config: JaccardConfig = JaccardConf
     sketch = count_sketch(documents, config)
     sets = written(_as_sets(documents, sketch, config))
     known = sets.where("n > 0 and doc_id is not null")
-    entries = known.select("doc_id", "prefix", "matches").mapInArrow(_entries, "token long, doc_id long")
-    edges = entries.repartition("token").sortWithinPartitions("token", "doc_id").mapInArrow(_stars, "a long, b long")
-    gathered = _gatherings(components(edges))
+    # a set goes by its first digest here: copies are one, and a chance collision only makes a few candidates more
+    entries = known.select("a", "prefix", "matches").mapInArrow(_entries, "token long, late boolean, set_id long")
+    by_token = entries.repartition("token").sortWithinPartitions("token", "late", "set_id")
+    shared = written(by_token.mapInArrow(_shared, "token long, late boolean, set_id long, hub long"))
+    gathered = _gatherings(components(shared.where("not late and set_id <> hub").select(F.col("set_id").alias("a"), F.col("hub").alias("b"))))
     # equal sets are compared once; the copies link to their smallest doc_id
-    known = _maybe_in(known, gathered).join(gathered, "doc_id")
-    same = [F.min("doc_id").alias("doc_id"), F.min("gathering").alias("gathering"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix")]
-    distinct = written(known.groupBy("a", "b", "n").agg(*same))
+    distinct = written(known.groupBy("a", "b", "n").agg(F.min("doc_id").alias("doc_id"), F.min("matches").alias("matches")))
     copies = known.select("doc_id", "a", "b", "n").join(distinct.select("a", "b", "n", F.col("doc_id").alias("first")), ["a", "b", "n"]).where("doc_id <> first")
-    candidates = _in_cells(_meetings(distinct.drop("a", "b"), config), _prefix_links, config, None)
-    refined = distinct.select("doc_id", "a", "b", "n").join(_gatherings(components(candidates)), "doc_id")
+    # only shingles that other sets hold too can meet; a set's are as many as its prefix at most
+    tokens = shared.groupBy(F.col("set_id").alias("a")).agg(F.collect_set("token").alias("tokens"))
+    meeting = distinct.join(gathered, "a").join(tokens, "a").select("a", "n", "matches", "gathering", "tokens", F.size("tokens").alias("weight"))
+    candidates = _in_cells(_meetings(meeting, config, "a", "weight", config.prefix_block, config.prefix_block_rows), _prefix_links, config, None)
+    refined = distinct.drop("matches").join(_gatherings(components(candidates)), "a")
     plan = written(refined)
     # whole texts go to the cells: they are smaller than their sets, which each cell makes anew
     texts = _maybe_in(documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), plan)
-    links = _in_cells(texts.join(_meetings(plan, config), "doc_id"), _verified_links, config, sketch)
+    links = _in_cells(texts.join(_meetings(plan, config, "doc_id", "n", config.block, config.block_rows), "doc_id"), _verified_links, config, sketch)
     found = components(links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))))
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
