@@ -16,4 +16,4 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_license_scan": licenses.op10_license_scan,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_jaccard": jaccard.SQL}
