@@ -2,7 +2,9 @@
 
 The model's protobuf is parsed here; normaliser, metaspace marker, scores or merges and byte fallback are rebuilt as a
 tokenizers model. Pieces never reach across the start of a word, so words are encoded once each, in multithreaded
-batches, and looked up afterwards. Samples are compared with the sentencepiece library.
+batches, and looked up afterwards. Each of these words is compared with the sentencepiece library, whose ids hold where
+the two differ: the merges' order cannot tell apart the ways in which a piece splits, as in long runs of spaces.
+Decoding joins what the ids stand for.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,29 +80,32 @@ def parse_model(data: bytes) -> PieceModel:
     return PieceModel(tuple(pieces), trainer.get(3, 1) == 1, bool(trainer.get(35, 0)), unknown, normaliser.get(2, b""), bool(normaliser.get(3, 1)), bool(normaliser.get(4, 1)))
 
 
-def build(model: PieceModel):
-    """The tokenizers library's form of a model: a whole tokenizer, and one for single words that are already normalised."""
-    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+def build_single(model: PieceModel):
+    """The tokenizers library's form of a model, for single words that are already normalised."""
+    from tokenizers import Tokenizer, models
 
+    if model.unigram:
+        return Tokenizer(models.Unigram([(p, s) for p, s, _ in model.pieces], model.unknown, model.byte_fallback))
     ids = {p: i for i, (p, _, _) in enumerate(model.pieces)}
+    merges = []
+    for piece, score, kind in model.pieces:
+        if kind == NORMAL:
+            halves = [(piece[:i], piece[i:]) for i in range(1, len(piece))]
+            merges += [(-score, ids[a], ids[b], a, b) for a, b in halves if a in ids and b in ids]
+    merges.sort()
+    return Tokenizer(models.BPE(ids, [(a, b) for *_, a, b in merges], unk_token=model.pieces[model.unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback))
+
 
-    def core():
-        if model.unigram:
-            return models.Unigram([(p, s) for p, s, _ in model.pieces], model.unknown, model.byte_fallback)
-        merges = []
-        for piece, score, kind in model.pieces:
-            if kind == NORMAL:
-                halves = [(piece[:i], piece[i:]) for i in range(1, len(piece))]
-                merges += [(-score, ids[a], ids[b], a, b) for a, b in halves if a in ids and b in ids]
-        merges.sort()
-        return models.BPE(ids, [(a, b) for *_, a, b in merges], unk_token=model.pieces[model.unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback)
+def build(model: PieceModel):
+    """The same with the model's normaliser and decoder, for whole texts."""
+    from tokenizers import AddedToken, Regex, decoders, normalizers, pre_tokenizers
 
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.trim_spaces:
         steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(MARK))
-    whole, single = Tokenizer(core()), Tokenizer(core())
+    whole = build_single(model)
     whole.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
     if splits(model):
         whole.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
@@ -107,7 +113,7 @@ def build(model: PieceModel):
     own = [AddedToken(p, normalized=False) for p, _, k in model.pieces if k == USER]
     if own:
         whole.add_tokens(own)
-    return whole, single
+    return whole
 
 
 def splits(model: PieceModel) -> bool:
@@ -116,20 +122,32 @@ def splits(model: PieceModel) -> bool:
 
 
 class Encoder:
-    """Encodes and decodes texts; keeps the ids of at most `cached` words."""
+    """Encodes and decodes texts; keeps the ids of at most `cached` words. Tokenizers are built when first used."""
 
     def __init__(self, data: bytes, cached: int = 300_000, verify_every: int = 128):
-        import sentencepiece
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        self.model = parse_model(data)
-        self.whole, self.single = build(self.model)
-        self.simple = splits(self.model) and not self.model.charsmap and not self.model.trim_spaces
-        self.known: dict[str, list[int]] = {}
+        self.data, self.model = data, parse_model(data)
+        # unknown words next to each other become one id, unless they are bytes or a known marker parts them
+        parted = self.model.byte_fallback or any(p == MARK for p, _, _ in self.model.pieces)
+        self.simple = splits(self.model) and parted and not self.model.charsmap and not self.model.trim_spaces
+        self.known: dict[str, bytes] = {}
         self.cached, self.every = cached, verify_every
-        self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.marked = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
+    @cached_property
+    def whole(self):
+        return build(self.model)
+
+    @cached_property
+    def single(self):
+        return build_single(self.model)
+
+    @cached_property
+    def reference(self):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_proto=self.data)
+
     def words(self, text: str) -> list[str]:
         if not text:
             return []
@@ -137,28 +155,56 @@ class Encoder:
             return [MARK + w for w in text.split(" ")]
         return self.marked.findall(MARK * self.model.dummy_prefix + text.replace(" ", MARK))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def _library_ids(self, words: list[str]) -> list[list[int]]:
+        """The sentencepiece library's ids of words with their markers."""
+        if not self.model.dummy_prefix:
+            return self.reference.encode(words, num_threads=1)
+        ids = self.reference.encode([w[1:] for w in words], num_threads=1)
+        for i, w in enumerate(words):
+            if w == MARK:  # an empty text has no ids, the marker at a text's end has
+                ids[i] = self.reference.encode("a ")[len(self.reference.encode("a")) :]
+        return ids
+
+    def _learn(self, words: list[str]) -> None:
+        own = (e.ids for e in self.single.encode_batch_fast(words, add_special_tokens=False))
+        ids = [a if a == b else b for a, b in zip(own, self._library_ids(words))]
+        flat, at = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
+        for w, x in zip(words, ids):
+            self.known[w] = flat[at : at + 4 * len(x)]
+            at += 4 * len(x)
+
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
         if not self.simple:
-            out = [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
-        else:
-            cut = [self.words(t) for t in texts]
-            if len(self.known) > self.cached:
-                self.known.clear()
-            known = self.known
-            new = list({w for c in cut for w in c if w not in known})
-            known.update(zip(new, (e.ids for e in self.single.encode_batch_fast(new, add_special_tokens=False))))
-            out = []
-            for c in cut:
-                ids: list[int] = []
-                for w in c:
-                    ids += known[w]
-                out.append(ids)
-        if any(self.reference.encode(texts[i]) != out[i] for i in range(0, len(texts), self.every)):
-            out = self.reference.encode(texts, num_threads=1)
+            own = (e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False))
+            return [np.array(a if a == b else b, "<u4").tobytes() for a, b in zip(own, self.reference.encode(texts, num_threads=1))]
+        cut = [self.words(t) for t in texts]
+        if len(self.known) > self.cached:
+            self.known.clear()
+        self._learn(list({w for c in cut for w in c if w not in self.known}))
+        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        if any(np.array(self.reference.encode(texts[i]), "<u4").tobytes() != out[i] for i in range(0, len(texts), self.every)):
+            out = [np.array(ids, "<u4").tobytes() for ids in self.reference.encode(texts, num_threads=1)]
         return out
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(b, "<u4").tolist() for b in self.encode_bytes(texts)]
+
+    @cached_property
+    def spelt(self) -> list[bytes]:
+        """What each id stands for, with spaces for markers."""
+        return [bytes([int(p[3:5], 16)]) if k == BYTE and self.model.byte_fallback else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces]
+
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.whole.decode_batch(ids, skip_special_tokens=False)
+        """Texts of ids; the tokenizers library decodes those whose bytes are no text."""
+        out = []
+        for row in ids:
+            try:
+                text = b"".join(map(self.spelt.__getitem__, row)).decode()
+                out.append(text[1:] if self.model.dummy_prefix and text[:1] == " " else text)
+            except UnicodeDecodeError:
+                out.append(self.whole.decode(row, skip_special_tokens=False))
+        return out
 
 
 @cache
@@ -170,9 +216,10 @@ def _encoder(path: str) -> Encoder:
 def encode_pieces(documents: DataFrame, model: str, column: str = "piece_ids", block: int = 256) -> DataFrame:
     """Adds the piece ids of whole texts, as little-endian unsigned 32-bit numbers in a binary column.
 
-    `model` is a path that every executor has. A null or empty text has no ids. The first text of every 128 in a block is
-    compared with the sentencepiece library, which encodes the whole block if they ever differ. Other columns and rows
-    stay; a clashing column of the same name is replaced.
+    `model` is a path that every executor has. A null or empty text has no ids. Each distinct word that a task meets is
+    compared with the sentencepiece library, whose ids are taken where they differ. That words can be joined is checked
+    with the first text of every 128 in a block; the library encodes the whole block if they ever differ. Other columns
+    and rows stay; a clashing column of the same name is replaced.
     """
     rest = [c for c in documents.columns if c != column]
 
@@ -181,7 +228,7 @@ def encode_pieces(documents: DataFrame, model: str, column: str = "piece_ids", b
         for batch in slices(batches, 2 * block):
             texts, out = ["" if t is None else t for t in batch.column("text").to_pylist()], []
             for low in range(0, len(texts), block):
-                out += [np.array(ids, "<u4").tobytes() for ids in own.encode(texts[low : low + block])]
+                out += own.encode_bytes(texts[low : low + block])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(out, pa.binary())], names=[*rest, column])
 
     kept = documents.select(rest)

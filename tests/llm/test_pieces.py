@@ -23,6 +23,14 @@ def test_parity(encoder):
     assert encoder.decode(want) == encoder.reference.decode(want)
 
 
+def test_every_text_of_a_batch_has_the_library_ids(encoder):
+    """Long runs of spaces, wherever they stand: 128 texts go before them, so that no sample meets them."""
+    runs = [" " * n for n in range(1, 70)] + ["a\n" + " " * n + "b" for n in range(1, 70)] + ["a ", " a", "▁" * 20]
+    texts = ["plain text"] * 129 + [t for t in runs for _ in range(2)]
+    got = [x for low in range(0, len(texts), 256) for x in encoder.encode(texts[low : low + 256])]
+    assert got == encoder.reference.encode(texts)
+
+
 @pytest.mark.parametrize("fallback", [True, False])
 def test_unigram(fallback):
     """A small unigram model written as a protobuf by hand; nothing is trained."""
