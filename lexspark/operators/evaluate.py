@@ -73,6 +73,26 @@ def recall_at(ranked: DataFrame, gold: DataFrame, cutoffs: tuple[int, ...] = (1,
     return sizes.join(found, "question_id", "left").select("question_id", "first_hit_rank", *[(F.coalesce(f"_{k}", F.lit(0)) / F.col("gold")).alias(f"recall_at_{k}") for k in cutoffs])
 
 
+def holders(questions: DataFrame, documents: DataFrame, run: int = 5) -> DataFrame:
+    """All pairs (question_id, child_id) where the text of a document (child_id, text) contains that of a question.
+
+    Words between a text's first and last one stand whole in whatever contains it, so documents meet a question by the
+    hash of its run of words from the second on, and the texts are compared then. Texts too short for a run are looked
+    for in every document.
+    """
+    q = questions.select("question_id", F.col("text").alias("_q"))
+    words = F.split("_q", r"\s+")
+    enough = F.size(words) >= run + 2
+    wanted = q.where(enough).select("question_id", F.xxhash64(F.struct(*[F.get(words, F.lit(i)) for i in range(1, run + 1)])).alias("_run"))
+    split = documents.select("child_id", F.split("text", r"\s+").alias("_w"))
+    shifted = F.arrays_zip(*[F.slice("_w", i, F.size("_w")) for i in range(1, run + 1)])
+    runs = split.where(F.size("_w") >= run).select("child_id", F.explode(shifted).alias("_r")).select("child_id", F.xxhash64("_r").alias("_run"))
+    met = runs.join(wanted, "_run").select("question_id", "child_id").distinct()
+    found = met.join(q, "question_id").join(documents.select("child_id", "text"), "child_id").where(F.contains("text", "_q"))
+    short = q.where(~enough).join(documents.select("child_id", "text"), F.contains("text", "_q"))
+    return found.select("question_id", "child_id").unionByName(short.select("question_id", "child_id")).distinct()
+
+
 def mean_reciprocal_rank(rank: Column) -> Column:
     return F.avg(F.coalesce(1.0 / rank, F.lit(0.0)))
 

@@ -478,11 +478,10 @@ g AS (SELECT question_id, count(*) AS n, min(rank) AS r, count(*) FILTER (rank <
 
 
 def _gold(spark, d) -> tuple[DataFrame, DataFrame]:
-    """The candidates of each benchmark text, and those that hold it in full."""
+    """The candidates of each benchmark text, and all documents that hold it in full, found or not."""
     q, c = questions(spark, d), children(spark, d)
     rows = retrieve.bm25_top_k(q, c, 20)
-    holds = rows.select("question_id", "child_id").join(q.withColumnRenamed("text", "_q"), "question_id").join(c, "child_id").where(F.contains("text", "_q"))
-    return rows.select("question_id", "rank", F.col("child_id").alias("item")), holds.select("question_id", F.col("child_id").alias("item"))
+    return rows.select("question_id", "rank", F.col("child_id").alias("item")), evaluate.holders(q, c).select("question_id", F.col("child_id").alias("item"))
 
 
 @query(_RECALL + " SELECT question_id, r AS first_hit_rank, a / n::DOUBLE AS recall_at_1, e / n::DOUBLE AS recall_at_5, z / n::DOUBLE AS recall_at_20 FROM g")

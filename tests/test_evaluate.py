@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexspark.conf import Settings, within_parameter_budget
 from lexspark.operators import evaluate as E
+from lexspark.plans import catalog
 
 
 def meteor(h, r):
@@ -92,3 +93,15 @@ def test_settings():
     with pytest.raises(ValueError):
         Settings(child_target_tokens=4, child_overlap_tokens=4)
     assert not within_parameter_budget({"llm": 2_000_000_000}, frozenset({"llm"}))
+
+
+def test_gold_is_looked_for_in_all_documents(spark, tmp_path):
+    """25 documents hold one text and 20 are ranked; one holder of another text shares no token with it and is missed."""
+    text = "one two three four five six seven eight"
+    documents = [(i, f"{i} x{text}y") for i in range(25)] + [(30, "some alpha beta words"), (31, "nothing here"), (32, None)]
+    spark.createDataFrame(documents, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, text), (2, "lpha bet"), (3, "nowhere to be found")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.question_id: r for r in catalog.recall_at_k(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2} and got[1].recall_at_20 == 20 / 25 and got[1].recall_at_1 == 1 / 25
+    assert got[2].first_hit_rank is None and got[2].recall_at_20 == 0
+    assert catalog.mrr(spark, str(tmp_path)).first().asDict() == {"mrr": 0.5, "questions": 2}
