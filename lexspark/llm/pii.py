@@ -15,16 +15,36 @@ from pyspark.sql import functions as F
 
 from lexspark.llm.common import table
 
+#: Characters of an IBAN by country. Lengths keep a capital word or an amount that follows out of it.
+IBAN_LENGTHS: dict[int, str] = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """By country; else groups of digits; else, where letters may be words that follow, letters and digits in one piece."""
+    forms = []
+    for size, countries in IBAN_LENGTHS.items():
+        whole, rest = divmod(size - 4, 4)
+        last = f"(?: ?[0-9A-Z]{{{rest}}})" if rest else ""
+        forms.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{{whole}}}{last}(?![0-9A-Za-z])")
+    forms += ["[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,7}(?: ?[0-9]{1,3})?(?![0-9A-Za-z])", "[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}(?![0-9A-Za-z])"]
+    return f"(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(forms)})"
+
+
 #: Kinds in the order in which they are tried at a place. Java patterns; none has a capturing group.
 PATTERNS: dict[str, str] = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,7}(?: ?[0-9]{1,3})?(?![0-9A-Za-z])",
+    "iban": _iban_pattern(),
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "intl": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z])",
+    "intl": r"(?<![0-9A-Za-z+])\+[0-9](?:[ .-]?[0-9]){8,14}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z]|[.-][0-9])",
 }
 ANY = "(?<![0-9A-Za-z])(?=[0-9A-Za-z+(._%-])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
@@ -68,16 +88,23 @@ def _permuted_digits(digits: Column, key: Column, kind: str) -> Column:
     return F.lpad(out.cast("string"), n, "0")
 
 
-def _laid_out(m: Column, digits: Column) -> Column:
-    """New digits in the places of the old ones; all other characters stay."""
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where a value that is used often, or in a fold, is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _laid_out(m: Column, digits: Column, letters: Column | None = None) -> Column:
+    """New digits, and capital letters if given, in the places of the old ones; all other characters stay."""
     chars = F.split(m, "")
-    start = F.struct(F.lit("").alias("s"), F.lit(1).alias("i"))
+    start = F.struct(F.lit("").alias("s"), F.lit(1).alias("i"), F.lit(1).alias("j"))
 
-    def put(x: Column, c: Column) -> Column:
-        digit = c.rlike("^[0-9]$")
-        return F.struct(F.concat(x["s"], F.when(digit, F.substr(digits, x["i"], F.lit(1))).otherwise(c)).alias("s"), (x["i"] + digit.cast("int")).alias("i"))
+    def put(new: Column, x: Column, c: Column) -> Column:
+        digit, letter = c.rlike("^[0-9]$"), F.lit(False) if letters is None else c.rlike("^[A-Z]$")
+        out = F.when(digit, F.substr(new["digits"], x["i"], F.lit(1))).when(letter, F.substr(new["letters"], x["j"], F.lit(1))).otherwise(c)
+        return F.struct(F.concat(x["s"], out).alias("s"), (x["i"] + digit.cast("int")).alias("i"), (x["j"] + letter.cast("int")).alias("j"))
 
-    return F.aggregate(chars, start, put, lambda x: x["s"])
+    both = F.struct(digits.alias("digits"), (F.lit("") if letters is None else letters).alias("letters"))
+    return _once(both, lambda new: F.aggregate(chars, start, lambda x, c: put(new, x, c), lambda x: x["s"]))
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -98,26 +125,46 @@ def _card(m: Column, key: Column) -> Column:
     return F.when(luhn_sum(digits) % 10 == 0, _laid_out(m, F.concat(body, check.cast("string")))).otherwise(m)
 
 
-def _remainder97(digits: Column) -> Column:
-    return F.aggregate(F.split(digits, ""), F.lit(0), lambda r, d: (r * 10 + d.cast("int")) % 97)
+def _remainder97(text: Column) -> Column:
+    """The remainder by 97 of a number whose letters stand for 10 to 35."""
+
+    def step(r: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(code >= 65, (r * 100 + code - 55) % 97).otherwise((r * 10 + code - 48) % 97)
 
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
 
-def _iban_country(m: Column) -> Column:
-    letter = lambda i: (F.ascii(F.substr(m, F.lit(i), F.lit(1))) - 55).cast("string")
-    return F.concat(letter(1), letter(2))
+
+def _permuted_letters(letters: Column, key: Column, kind: str) -> Column:
+    """Another string of capital letters of the same length (at most 13)."""
+    n = F.length(letters)
+    power = lambda k: F.element_at(F.array(*[F.lit(26**i) for i in range(14)]), (k + 1).cast("int"))
+    low = F.floor(n / 2).cast("int")
+    value = F.aggregate(F.split(letters, ""), F.lit(0).cast("long"), lambda s, c: s * 26 + F.ascii(c) - 65)
+    out = feistel(value, power(n - low), power(low), key, kind)
+    places = F.reverse(F.sequence(F.lit(0), n - 1))
+    spelt = _once(out, lambda x: F.array_join(F.transform(places, lambda i: F.char((F.call_function("div", x, power(i)) % 26 + 65).cast("long"))), ""))
+    return F.when(n > 0, spelt).otherwise("")
 
 
 def _iban(m: Column, key: Column) -> Column:
-    digits = _digits(m)
-    account = F.substr(digits, F.lit(3), F.length(digits) - 2)
-    # up to 30 digits are permuted in two runs of at most 15
-    half = F.floor(F.length(account) / 2).cast("int")
-    first = _permuted_digits(F.substr(account, F.lit(1), half), key, "iban1")
-    second = _permuted_digits(F.substr(account, half + 1, F.length(account) - half), key, "iban2")
-    new = F.concat(first, second)
-    check = F.lpad((98 - _remainder97(F.concat(new, _iban_country(m), F.lit("00")))).cast("string"), 2, "0")
-    valid = _remainder97(F.concat(account, _iban_country(m), F.substr(digits, F.lit(1), F.lit(2)))) == 1
-    return F.when(valid, _laid_out(m, F.concat(check, new))).otherwise(m)
+    joined = F.regexp_replace(m, " ", "")
+    country, check = F.substr(joined, F.lit(1), F.lit(2)), F.substr(joined, F.lit(3), F.lit(2))
+    account = F.substr(joined, F.lit(5), F.length(joined) - 4)
+    # up to 31 digits are permuted in two runs of at most 16, up to 31 letters in three of at most 13
+    digits, letters = _digits(account), F.regexp_replace(account, "[^A-Z]", "")
+    half = F.floor(F.length(digits) / 2).cast("int")
+    runs = [F.substr(digits, F.lit(1), half), F.substr(digits, half + 1, F.length(digits) - half)]
+    new_digits = F.concat(*[F.when(F.length(r) > 0, _permuted_digits(r, key, f"iban{i}")).otherwise("") for i, r in enumerate(runs, 1)])
+    new_letters = F.concat(*[_permuted_letters(F.substr(letters, F.lit(i), F.lit(13)), key, f"iban letters {i}") for i in (1, 14, 27)])
+    valid = _remainder97(F.concat(account, country, check)) == 1
+
+    def put(new: Column) -> Column:
+        laid_out = _laid_out(account, new["digits"], new["letters"])
+        new_check = F.lpad((98 - _remainder97(F.concat(laid_out, country, F.lit("00")))).cast("string"), 2, "0")
+        return _laid_out(m, F.concat(new_check, new["digits"]), F.concat(country, new["letters"]))
+
+    return F.when(valid, _once(F.struct(new_digits.alias("digits"), new_letters.alias("letters")), put)).otherwise(m)
 
 
 def _ip(m: Column, key: Column) -> Column:

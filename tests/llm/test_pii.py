@@ -77,3 +77,29 @@ def test_query_leaves_clean_texts(spark, data):
         assert (r.text == before[r.doc_id]) == (r.n_private == 0)
         for value in re.findall(r"(?<![\w.-])\d{16}(?![\w-])", before[r.doc_id]):
             assert (value in r.text) != luhn(value)
+
+
+IBANS = [
+    "GB82WEST12345698765432", "NL91ABNA0417164300", "FR1420041010050500013M02606", "IT60X0542811101000000123456", "IE29AIBK93115212345678",
+    "MT84MALT011000012345MTLCAST001S", "NO9386011117947", "DE89370400440532013000", "AT611904300234573201",
+]
+
+
+def grouped(iban):
+    return " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))
+
+
+def test_ibans_with_letters_and_short_ones(spark):
+    texts = [t for i in IBANS for t in (f"to {i}.", f"to {grouped(i)} EUR")]
+    got = swap(spark, *texts)
+    for iban, plain, spaced in zip(IBANS, got[::2], got[1::2]):
+        new = plain[3:-1]
+        assert spaced == f"to {grouped(new)} EUR" and new[4:] != iban[4:] and new[:2] == iban[:2]
+        assert [c.isdigit() for c in new] == [c.isdigit() for c in iban]
+        assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
+    assert swap(spark, "GB83WEST12345698765432") == ["GB83WEST12345698765432"]
+
+
+def test_phones_with_groups_of_one_digit(spark):
+    for old, new in zip(texts := ["+33 1 23 45 67 89", "+61 2 9876 5432", "+49 30 123456-7"], swap(spark, *texts)):
+        assert new != old and new[:3] == old[:3] and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", old)
