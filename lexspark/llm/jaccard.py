@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import components, table, text_or_empty, written
+from lexspark.llm.common import components, slices, table, text_or_empty, written
 from lexspark.llm.shingles import set_digest, shingle_sets
 
 
@@ -40,10 +40,10 @@ class JaccardConfig:
     most_matches: int = 5
     verify_cost: float = 8.0
     least_cost: float = 0.1
-    block: int = 2_000_000
+    block: int = 500_000
     block_rows: int = 4000
-    prefix_block: int = 4_000_000
-    prefix_block_rows: int = 60_000
+    prefix_block: int = 1_000_000
+    prefix_block_rows: int = 30_000
 
     def least(self, n: int) -> int:
         """The least overlap that a set of n shingles has with any set it links to."""
@@ -53,17 +53,17 @@ class JaccardConfig:
 _SLICES = 64
 
 
-def count_sketch(documents: DataFrame, config: JaccardConfig) -> np.ndarray:
+def count_sketch(documents: DataFrame, config: JaccardConfig) -> Sketch:
     """How many documents' shingles fall into each of 2**sketch_bits buckets, over all documents; its size is fixed."""
     size = 1 << config.sketch_bits
     part = size // _SLICES
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.uint32)
-        for batch in batches:
-            for low in range(0, len(batch), 256):
-                found = [*shingle_sets(batch.column(0)[low : low + 256].to_pylist(), config.words)]
-                total += np.bincount((np.concatenate([*found, np.zeros(0, np.uint64)]) >> np.uint64(64 - config.sketch_bits)).astype(np.int64), minlength=size).astype(np.uint32)
+        for batch in slices(batches, 256):
+            found = [*shingle_sets(batch.column(0).to_pylist(), config.words)]
+            at, counts = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]) >> np.uint64(64 - config.sketch_bits), return_counts=True)
+            total[at.astype(np.int64)] += counts.astype(np.uint32)
         if total.any():
             yield _packed(total.reshape(_SLICES, part))
 
@@ -89,29 +89,26 @@ def count_sketch(documents: DataFrame, config: JaccardConfig) -> np.ndarray:
     out = np.zeros((_SLICES, part), np.uint32)
     for row in rows.collect():  # a fixed number of bytes
         out[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
-    return out.reshape(-1)
-
+    return Sketch(out.reshape(-1), 1.5 * float(out.mean()))
 
-_noise: dict[int, float] = {}
 
+@dataclass(frozen=True)
+class Sketch:
+    """The counts, and what a bucket holds by chance, with some room."""
 
-def sketch_noise(sketch: np.ndarray) -> float:
-    """What a bucket holds by chance, with some room; computed once for a sketch."""
-    if id(sketch) not in _noise:
-        _noise.clear()
-        _noise[id(sketch)] = 1.5 * float(sketch.mean())
-    return _noise[id(sketch)]
+    counts: np.ndarray
+    noise: float
 
 
-def ordered(hashes: np.ndarray, sketch: np.ndarray, config: JaccardConfig) -> tuple[np.ndarray, int]:
+def ordered(hashes: np.ndarray, sketch: Sketch, config: JaccardConfig) -> tuple[np.ndarray, int]:
     """A set in the global order, and how many shared prefix shingles the document asks for."""
-    seen = sketch[(hashes >> np.uint64(64 - config.sketch_bits)).astype(np.int64)]
+    seen = sketch.counts[(hashes >> np.uint64(64 - config.sketch_bits)).astype(np.int64)]
     order = np.argsort((seen.astype(np.uint64) << np.uint64(32)) | (hashes >> np.uint64(32)), kind="stable")
     n = len(hashes)
     alpha = config.least(n)
     first = n - alpha + 1
     # list lengths beyond what a bucket holds by chance
-    extra = np.maximum(seen[order[: first + config.most_matches - 1]].astype(np.float64) - sketch_noise(sketch), config.least_cost)
+    extra = np.maximum(seen[order[: first + config.most_matches - 1]].astype(np.float64) - sketch.noise, config.least_cost)
     lookups = np.cumsum(extra)[first - 1 :]
     matches = np.arange(1, len(lookups) + 1)
     cost = lookups + config.verify_cost * lookups / matches + matches
@@ -119,12 +116,12 @@ def ordered(hashes: np.ndarray, sketch: np.ndarray, config: JaccardConfig) -> tu
     return hashes[order], best
 
 
-def _as_sets(documents: DataFrame, sketch: np.ndarray, config: JaccardConfig) -> DataFrame:
+def _as_sets(documents: DataFrame, sketch: Sketch, config: JaccardConfig) -> DataFrame:
     """doc_id, n, digests a and b, matches asked for, and the prefix in which they are asked (8 bytes a shingle)."""
     shipped = documents.sparkSession.sparkContext.broadcast(sketch)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 512):
             keys, rows = batch.column(0).to_pylist(), []
             for key, found in zip(keys, shingle_sets(batch.column(1).to_pylist(), config.words)):
                 n, (a, b) = len(found), set_digest(found)
@@ -137,18 +134,27 @@ def _as_sets(documents: DataFrame, sketch: np.ndarray, config: JaccardConfig) ->
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each prefix shingle; `late` are those that come with the matches beyond the first."""
+    """A row for each prefix shingle; `late` are those that come with the matches beyond the first. Of equal sets that a
+    task meets (as many numbers as its split has rows) one goes on."""
+    met: set[tuple[int, int]] = set()
     for batch in batches:
-        keys, asked = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-        data = batch.column(1).to_pylist()
-        sizes = np.array([len(d) // 8 for d in data], np.int64)
-        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        late = place > np.repeat(sizes - asked, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(data), np.int64)), pa.array(late), pa.array(np.repeat(keys, sizes))], names=["token", "late", "set_id"])
+        new = []
+        for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist())):
+            if key not in met:
+                met.add(key)
+                new.append(i)
+        for batch in slices([batch.take(pa.array(new, pa.int64()))], 1024):
+            keys, asked = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            data = batch.column(1).to_pylist()
+            sizes = np.array([len(d) // 8 for d in data], np.int64)
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            late = place > np.repeat(sizes - asked, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(data), np.int64)), pa.array(late), pa.array(np.repeat(keys, sizes))], names=["token", "late", "set_id"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by token, late and set_id those whose token occurs again, each with its list's first set."""
+    """Of entries sorted by token, late and set_id those whose token another set holds too, each with its list's first
+    set; entries that tasks have sent more than once count once."""
     rest, hub = np.zeros((0, 3), np.int64), None  # the last entry waits, as the next may hold the same token
 
     def told(rows: np.ndarray, before: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -164,6 +170,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2).to_numpy()], 1)
         rows = np.concatenate([rest, rows])
+        rows = rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]] if len(rows) else rows
         if len(rows) < 2:
             rest = rows
             continue
@@ -294,42 +301,49 @@ def _gatherings(found: DataFrame) -> DataFrame:
     return found.select(F.col("node").alias("a"), F.col("component").alias("gathering"))
 
 
-def _prefix_links(rows: list[dict], config: JaccardConfig, sketch: None) -> list[tuple[int, int]]:
-    sets = [(r["a"], r["n"], r["matches"], r["side"], np.array(r["tokens"], np.int64), None) for r in rows]
-    return Cell(sets, config).links(verify=False)
+def _prefix_links(rows: pa.Table, config: JaccardConfig, sketch: None) -> list[tuple[int, int]]:
+    tokens = rows.column("tokens").combine_chunks()
+    values, ends = tokens.values.to_numpy(zero_copy_only=False), tokens.offsets.to_numpy()
+    lines = [values[low:high] for low, high in zip(ends[:-1], ends[1:])]
+    return Cell([*zip(*(rows.column(c).to_pylist() for c in ("a", "n", "matches", "side")), lines, [None] * len(lines))], config).links(verify=False)
 
 
-def _verified_links(rows: list[dict], config: JaccardConfig, sketch: np.ndarray) -> list[tuple[int, int]]:
+def _verified_links(rows: pa.Table, config: JaccardConfig, sketch: Sketch) -> list[tuple[int, int]]:
     sets = []
-    for r, found in zip(rows, shingle_sets([r["text"] for r in rows], config.words)):
-        if set_digest(found) == (r["a"], r["b"]):  # else another text of the same doc_id
+    texts = (t for batch in slices(rows.select(["text"]).to_batches(), 256) for t in batch.column(0).to_pylist())
+    for key, side, a, b, found in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "side", "a", "b")), shingle_sets(texts, config.words)):
+        if set_digest(found) == (a, b):  # else another text of the same doc_id
             line, matches = ordered(found, sketch, config)
-            sets.append((r["doc_id"], len(found), matches, r["side"], line[: len(line) - config.least(len(line)) + matches], found))
+            sets.append((key, len(found), matches, side, line[: len(line) - config.least(len(line)) + matches], found))
     return Cell(sets, config).links(verify=True) if len(sets) > 1 else []
 
 
-def _in_cells(met: DataFrame, compare, config: JaccardConfig, sketch: np.ndarray | None) -> DataFrame:
-    """Runs compare on the rows of each cell, one bounded cell after another."""
+def _in_cells(met: DataFrame, compare, config: JaccardConfig, sketch: Sketch | None) -> DataFrame:
+    """Runs compare on the rows of each cell, one bounded cell after another; rows stay Arrow until their cell is compared."""
     shipped = met.sparkSession.sparkContext.broadcast(sketch)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple | None = None
-        rows: list[dict] = []
-        out: list[tuple[int, int]] = []
-        as_batch = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
-        for batch in batches:
-            for row in batch.to_pylist():
-                key = tuple(map(row.__getitem__, _CELL))
+        rows: list[pa.RecordBatch] = []
+
+        def close() -> list[tuple[int, int]]:
+            return compare(pa.Table.from_batches(rows), config, shipped.value) if sum(map(len, rows)) > 1 else []
+
+        as_batch = lambda out: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
+        for batch in slices(batches, 2048):
+            out: list[tuple[int, int]] = []
+            keys = np.stack([batch.column(c).to_numpy() for c in _CELL], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for low, high in zip(cuts, cuts[1:]):
+                key = tuple(keys[low].tolist())
                 if key != at:
-                    if len(rows) > 1:
-                        out += compare(rows, config, shipped.value)
+                    out += close()
                     at, rows = key, []
-                rows.append(row)
+                rows.append(batch.slice(low, high - low))
             if out:
-                yield as_batch()
-                out = []
-        if len(rows) > 1 and (out := compare(rows, config, shipped.value)):
-            yield as_batch()
+                yield as_batch(out)
+        if out := close():
+            yield as_batch(out)
 
     return met.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(linked, "a long, b long")
 
@@ -346,7 +360,7 @@ def jaccard_components(documents: DataFrame, config: JaccardConfig = JaccardConf
     sets = written(_as_sets(documents, sketch, config))
     known = sets.where("n > 0 and doc_id is not null")
     # a set goes by its first digest here: copies are one, and a chance collision only makes a few candidates more
-    entries = known.select("a", "prefix", "matches").mapInArrow(_entries, "token long, late boolean, set_id long")
+    entries = known.select("a", "prefix", "matches", "b").mapInArrow(_entries, "token long, late boolean, set_id long")
     by_token = entries.repartition("token").sortWithinPartitions("token", "late", "set_id")
     shared = written(by_token.mapInArrow(_shared, "token long, late boolean, set_id long, hub long"))
     gathered = _gatherings(components(shared.where("not late and set_id <> hub").select(F.col("set_id").alias("a"), F.col("hub").alias("b"))))

@@ -1,9 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
-Hashed vectors of words, of their character n-grams and of a word's repetition (the word 2-gram of equal words, as one
-feature) are averaged over a document and go through a softmax; both
-are learned together by stochastic gradient descent in numpy. Because the average and the softmax's input are linear,
-a word adds one fixed number to a document's score, so scoring keeps one number for each word.
+A document is the sum of three averages of learned vectors: of its words and their character n-grams (hashed), of its
+word 2-grams (hashed), and of the equality patterns of its word 3-grams (which of a word's two predecessors it equals;
+invented or rare words repeat in this form only). The sum goes through a softmax; vectors and softmax are learned
+together by stochastic gradient descent in numpy. As averages and the softmax's input are linear, each vector adds one
+fixed number to a document's score, so scoring needs one number for each hashed feature.
 """
 
 from __future__ import annotations
@@ -12,94 +13,163 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
-from operator import eq
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import table, text_or_empty
+from lexspark.llm.common import mix64, table, text_or_empty
 
 
 @dataclass(frozen=True)
 class SubwordConfig:
-    """`sample` bounds the labelled rows of each class that are fitted; the model's size is fixed by buckets and dim."""
+    """`sample` bounds the labelled rows of each class that are fitted; the model's size is fixed by buckets (a power of
+    two) and dim. Training goes over the sample `epochs` times, and on until it has made `steps` steps."""
 
     buckets: int = 1 << 17
     dim: int = 12
     shortest: int = 3
     longest: int = 5
-    epochs: int = 4
+    epochs: int = 8
+    steps: int = 12_000
     rate: float = 0.5
     sample: int = 1200
     seed: int = 7
 
 
-def features(word: str, config: SubwordConfig) -> list[int]:
-    """Buckets of a word and of its character n-grams, with marks at both ends; a very long word's n-grams are all taken."""
-    marked = f"<{word}>".encode("utf-8", "surrogatepass").decode("utf-8", "replace")
-    out = [zlib.crc32(b"w" + marked.encode()) % config.buckets]
-    for n in range(config.shortest, config.longest + 1):
-        out += [zlib.crc32(marked[i : i + n].encode()) % config.buckets for i in range(len(marked) - n + 1)]
-    return out
+_step = np.uint64(0x9E3779B97F4A7C15)
+_first, _second = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+PATTERNS = 4
+
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    return mix64(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)) * _step)
 
-#: How many features a repetition counts as, so that it weighs as much as a word of about six letters.
-AGAIN = 12
 
+def subwords(words: list[str], hashes: np.ndarray, config: SubwordConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of their character n-grams (with marks at both ends), and the word that each belongs to."""
+    chars = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    owner, ends = np.repeat(np.arange(len(words)), sizes), np.repeat(np.cumsum(sizes), sizes)
+    mask = np.uint64(config.buckets - 1)
+    buckets, owners = [hashes & mask], [np.arange(len(words))]
+    run = np.zeros(len(chars), np.uint64)
+    for n in range(1, config.longest + 1):
+        run = run[: max(0, len(chars) - n + 1)] * _step + chars[n - 1 :]
+        if n >= config.shortest:
+            inside = np.arange(len(run)) + n <= ends[: len(run)]
+            buckets.append(mix64(run[inside] + np.uint64(n)) & mask)
+            owners.append(owner[: len(run)][inside])
+    return np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
 
-def _again(config: SubwordConfig) -> int:
-    return zlib.crc32(b"again") % config.buckets
 
+def pairs(hashes: np.ndarray, config: SubwordConfig) -> np.ndarray:
+    """Buckets of the 2-grams of consecutive words, from the words' hashes."""
+    return (mix64(hashes[:-1] * _first + hashes[1:] * _second) & np.uint64(config.buckets - 1)).astype(np.int64)
 
-def repeats(words: list[str]) -> int:
-    """How often a word follows itself."""
-    return sum(map(eq, words, islice(words, 1, None)))
+
+def patterns(words: np.ndarray) -> np.ndarray:
+    """For each word from the second on, whether it equals the word before (1) and the one before that (2)."""
+    out = (words[1:] == words[:-1]).astype(np.int64)
+    out[1:] += 2 * (words[2:] == words[:-2])
+    return out
 
 
 @dataclass
 class SubwordModel:
-    """What is left of a trained model: each bucket's part in the logit, and the bias."""
+    """What is left of a trained model: each bucket's and each pattern's part in the logit, and the bias."""
 
     logits: np.ndarray
+    patterns: np.ndarray
     bias: float
     config: SubwordConfig
 
-    @property
-    def again(self) -> float:
-        """The part in the logit of a word that follows itself; it counts as AGAIN features."""
-        return AGAIN * float(self.logits[_again(self.config)])
 
-    def word(self, word: str) -> tuple[float, int]:
-        found = features(word, self.config)
-        return float(self.logits[found].sum()), len(found)
+class Scorer:
+    """Scores texts many at a time; keeps what at most `cached` words add and starts anew beyond that."""
+
+    def __init__(self, model: SubwordModel, cached: int = 150_000):
+        self.model, self.cached = model, cached
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.sums, self.sizes, self.hashes = np.zeros(1024), np.zeros(1024), np.zeros(1024, np.uint64)
+
+    def _learn(self, words: list[str]) -> None:
+        low, high = len(self.place), len(self.place) + len(words)
+        while high > len(self.sums):
+            self.sums, self.sizes, self.hashes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.sizes, self.hashes))
+        hashes = word_hashes(words)
+        buckets, owners = subwords(words, hashes, self.model.config)
+        self.sums[low:high] = np.bincount(owners, weights=self.model.logits[buckets], minlength=len(words))
+        self.sizes[low:high] = np.bincount(owners, minlength=len(words))
+        self.hashes[low:high] = hashes
+        self.place.update(zip(words, range(low, high)))
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        if len(self.place) > self.cached:
+            self._clear()
+        cut = [t.split() for t in texts]
+        ends = np.cumsum([len(c) for c in cut])
+        if not len(texts):
+            return np.zeros(0)
+        starts, n = np.r_[0, ends[:-1]], int(ends[-1])
+        if new := list({w for c in cut for w in c if w not in self.place}):
+            self._learn(new)
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cut)), np.int64, n)
+        total = _mean(self.sums[at], self.sizes[at], starts, ends)
+        # consecutive words of one text; those that reach into the next text count as nothing
+        inside = np.ones(max(n - 1, 0), bool)
+        inside[starts[(starts > 0) & (starts < n)] - 1] = False
+        two = np.where(inside, self.model.logits[pairs(self.hashes[at], self.model.config)].astype(float), 0.0) if n > 1 else np.zeros(0)
+        same = patterns(at) if n > 1 else np.zeros(0, np.int64)
+        third = starts[(starts > 0) & (starts < n - 1)]
+        same[third] &= 1  # a text's second word has one predecessor
+        equal = np.where(inside, self.model.patterns[same].astype(float), 0.0)
+        for values in (two, equal):
+            total += _mean(np.r_[values, 0.0], np.r_[inside, False].astype(float), starts, ends)
+        return 1 / (1 + np.exp(-np.clip(total + self.model.bias, -30, 30)))
+
+
+def _mean(values: np.ndarray, weights: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each range the sum of values over the sum of weights, 0 where there are none; ranges follow on each other."""
+    out, some = np.zeros(len(starts)), starts < ends
+    if some.any():
+        out[some] = np.add.reduceat(values, starts[some]) / np.maximum(np.add.reduceat(weights, starts[some]), 1.0)
+    return out
+
+
+def _bag(words: list[str], config: SubwordConfig) -> tuple[np.ndarray, np.ndarray]:
+    """All features of a text with their weights; the last PATTERNS numbers beyond the buckets are the patterns."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+    counts = Counter(words)
+    kinds = list(counts)
+    place = {w: i for i, w in enumerate(kinds)}
+    hashes = word_hashes(kinds)
+    buckets, owners = subwords(kinds, hashes, config)
+    at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+    times = np.fromiter(counts.values(), float, len(kinds))[owners]
+    families = [(buckets, times)]
+    if len(words) > 1:
+        families += [(f, np.ones(len(f))) for f in (pairs(hashes[at], config), config.buckets + patterns(at))]
+    found, where = np.unique(np.concatenate([f for f, _ in families]), return_inverse=True)
+    return found, np.bincount(where, weights=np.concatenate([w / w.sum() for _, w in families])).astype(np.float32)
 
 
 def train(texts: list[str], labels: list[int], prior: float, config: SubwordConfig = SubwordConfig()) -> SubwordModel:
     """Fits vectors and softmax to texts with labels 0 and 1; `prior` is the share of label 1 among all labelled rows."""
     rng = np.random.default_rng(config.seed)
-    vectors = rng.uniform(-1 / config.dim, 1 / config.dim, (config.buckets, config.dim)).astype(np.float32)
+    vectors = rng.uniform(-1 / config.dim, 1 / config.dim, (config.buckets + PATTERNS, config.dim)).astype(np.float32)
     out = np.zeros((2, config.dim), np.float32)
-    known: dict[str, list[int]] = {}
-    bags = []
-    for text in texts:
-        bag: Counter = Counter()
-        words = text.split()
-        if times := repeats(words):
-            bag[_again(config)] = AGAIN * times
-        for word, times in Counter(words).items():
-            if (found := known.get(word)) is None:
-                found = known[word] = features(word, config)
-            for f in found:
-                bag[f] += times
-        at = np.fromiter(bag.keys(), np.int64, len(bag))
-        weight = np.fromiter(bag.values(), np.float32, len(bag))
-        bags.append((at, weight / max(1.0, weight.sum())))
+    bags = [_bag(t.split(), config) for t in texts]
     share = np.mean(labels) if len(labels) else 0.5
-    steps, step = max(1, config.epochs * len(texts)), 0
-    for _ in range(config.epochs):
+    epochs = max(config.epochs, -(-config.steps // max(1, len(texts))))
+    steps, step = max(1, epochs * len(texts)), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(texts)):
             at, weight = bags[i]
             if not len(at):
@@ -112,51 +182,32 @@ def train(texts: list[str], labels: list[int], prior: float, config: SubwordConf
             p[labels[i]] -= 1
             back = p @ out
             out -= rate * np.outer(p, hidden)
-            # the step of a vector in an average is scaled up, as its weight is small
-            vectors[at] -= (rate * min(len(at), 64)) * np.outer(weight, back)
+            # a step moves the average by about the rate, however many features share it
+            vectors[at] -= rate / float(weight @ weight) * np.outer(weight, back)
             step += 1
     # the classes are sampled alike; the bias brings the score back to the share of label 1 among all labelled rows
     clip = lambda x: min(max(x, 1e-3), 1 - 1e-3)
     bias = np.log(clip(prior) / (1 - clip(prior))) - np.log(clip(share) / (1 - clip(share)))
-    return SubwordModel(vectors @ (out[1] - out[0]), float(bias), config)
+    logits = (vectors @ (out[1] - out[0])).astype(np.float32)
+    return SubwordModel(logits[: config.buckets], logits[config.buckets :], float(bias), config)
 
 
-def score_quality(documents: DataFrame, model: SubwordModel, column: str = "quality_score", cached: int = 400_000) -> DataFrame:
+def score_quality(documents: DataFrame, model: SubwordModel, column: str = "quality_score", rows: int = 128) -> DataFrame:
     """Adds the probability of label 1 for every whole text of documents with a text column.
 
     Null, empty and blank texts get the score of the bias alone. Other columns and rows stay; a clashing column of the
-    same name is replaced. A task keeps at most `cached` words' numbers and starts anew beyond that.
+    same name is replaced. Texts become words `rows` at a time; only scores come back from Python.
     """
-    rest = [c for c in documents.columns if c not in (column, "text")]
-    logits, bias, config = model.logits.astype(np.float32), model.bias, model.config
-    shipped = documents.sparkSession.sparkContext.broadcast(logits)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = SubwordModel(shipped.value, bias, config)
-        sums: dict[str, float] = {}
-        sizes: dict[str, int] = {}
-        for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                words = text.split()
-                try:
-                    total, n = sum(map(sums.__getitem__, words)), sum(map(sizes.__getitem__, words))
-                except KeyError:
-                    for w in set(words):
-                        if w not in sums:
-                            sums[w], sizes[w] = one.word(w)
-                    total, n = sum(map(sums.__getitem__, words)), sum(map(sizes.__getitem__, words))
-                again = repeats(words)
-                total, n = total + again * one.again, n + again * AGAIN
-                out.append(1 / (1 + np.exp(-np.clip(total / max(n, 1) + bias, -30, 30))))
-                if len(sums) > cached:
-                    sums.clear()
-                    sizes.clear()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(out, pa.float64())], names=[*rest, column])
-
-    kept = documents.select(*rest, text_or_empty().alias("text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text"]
-    return kept.mapInArrow(scored, ", ".join([*fields, f"`{column}` double"]))
+    shipped = documents.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = Scorer(shipped.value)
+        for texts in batches:
+            parts = [own.scores(texts[low : low + rows].to_pylist()) for low in range(0, len(texts), rows)]
+            yield pa.array(np.concatenate([np.zeros(0), *parts]))
+
+    return documents.withColumn(column, score(text_or_empty()))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -168,9 +219,11 @@ def labelled_sample(spark: SparkSession, documents: DataFrame, labels: DataFrame
     """At most `per_class` whole texts of each class outside the held-out fold, with labels and the share of label 1 of all rows.
 
     Rows are taken in the order of a hash, so the sample does not depend on the tables' layout. Labels other than 0
-    and 1, nulls included, are left out. The sample's ids (bounded by the two quotas) are all that is broadcast.
+    and 1, nulls included, are left out; of conflicting labels of a doc_id the smaller one holds, of its texts the
+    smallest. The sample's ids (bounded by the two quotas) are all that is broadcast.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col(label).cast("int")).alias("label"))
     order = F.xxhash64(F.col("doc_id"), F.lit(label))
     picked = known.where("label = 1").orderBy(order, "doc_id").limit(per_class).unionByName(known.where("label = 0").orderBy(order, "doc_id").limit(per_class))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -178,7 +231,8 @@ def labelled_sample(spark: SparkSession, documents: DataFrame, labels: DataFrame
     if not ids:
         return [], [], 0.5
     small = spark.createDataFrame(list(ids.items()), "doc_id long, label int")
-    rows = documents.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(small), "doc_id").orderBy("doc_id", "text").limit(2 * per_class).collect()
+    met = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(small), "doc_id")
+    rows = sorted(met.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect())  # one for each id at most
     return [r["text"] for r in rows], [r["label"] for r in rows], counts.get(1, 0) / max(1, sum(counts.values()))
 
 
@@ -200,7 +254,4 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose quality score is at least the threshold."""
     columns = docs.columns
-    model = quality_model(spark, docs, sf_dir)
-    # the text is scored from a copy: the operator gives back all columns but the text it reads
-    scored = score_quality(docs.withColumn("whole_text", F.col("text")), model)
-    return scored.where(F.col("quality_score") >= THRESHOLD).withColumnRenamed("whole_text", "text").select(columns)
+    return score_quality(docs, quality_model(spark, docs, sf_dir), "_quality").where(F.col("_quality") >= THRESHOLD).select(columns)

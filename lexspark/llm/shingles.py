@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -16,7 +16,7 @@ _blank = np.zeros(256, bool)
 _blank[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def shingle_sets(texts: list[str], k: int, block: int = 1 << 19) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str], k: int, block: int = 1 << 19) -> Iterator[np.ndarray]:
     """For each text its distinct k-word shingles as sorted 64-bit hashes.
 
     A-Z are lower-cased; words are runs without the blanks 0x20 and 0x09-0x0D. Fewer than k words make one shingle, no

@@ -1,6 +1,8 @@
 """Toxicity: a classifier chain over categories.
 
-Each category has a linear model of the words and word beginnings that a document holds; a model also gets the probabilities of the
+The labels know one kind of toxicity, so its categories are learned: toxic documents of the labelled sample that share
+telling words fall into groups, in any language. Each group's category, and last the label itself, has a linear model of
+the words and word beginnings that a document holds and of their share in it; a model also gets the probabilities of the
 categories before it. In training these are out-of-fold predictions, so that a later model sees earlier ones as unsure
 as they will be on new texts.
 """
@@ -8,7 +10,6 @@ as they will be on new texts.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,20 +28,15 @@ _word = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class ChainConfig:
-    """Categories in chain order, each with the words that mark it among documents labelled toxic (none: the label itself).
+    """`groups`: how many categories go before the label's own. `sample` bounds the labelled rows of each class that are
+    fitted; `least` drops features of fewer sampled texts (of fewer than a quarter of the toxic ones, if that is less), and
+    `telling` those whose share among a category's texts is fewer standard errors away from the others'. `shares` are the
+    shares of a document's words from which on a stem also counts as frequent."""
 
-    `sample` bounds the labelled rows of each class that are fitted; `least` drops features of fewer sampled texts, and
-    `telling` those whose share among a category's texts is fewer standard errors away from the others'.
-    """
-
-    categories: tuple[tuple[str, tuple[str, ...]], ...] = (
-        ("insult", ("idiot", "moron", "stupid", "clown", "loser")),
-        ("contempt", ("worthless", "pathetic", "disgusting", "trash", "scum")),
-        ("toxic", ()),
-    )
-    buckets: int = 1 << 20
+    groups: int = 2
     sample: int = 1500
     least: int = 5
+    shares: tuple[float, ...] = (0.004, 0.0125)
     folds: int = 3
     steps: int = 60
     rate: float = 0.5
@@ -51,16 +47,17 @@ class ChainConfig:
 
 @dataclass
 class ToxicityChain:
-    """Weights by bucket (only buckets with a weight), biases, and each model's weights of earlier probabilities."""
+    """For each stem with a weight its weights (levels of share x categories), the categories' biases, and each model's
+    weights of earlier probabilities."""
 
     names: list[str]
-    buckets: int
-    weights: dict[int, tuple[float, ...]]
+    shares: tuple[float, ...]
+    weights: dict[str, np.ndarray]
     biases: list[float]
     earlier: list[list[float]] = field(default_factory=list)
 
     def predict(self, sums: np.ndarray) -> np.ndarray:
-        """Probabilities, category by category, from each document's sums of word weights."""
+        """Probabilities, category by category, from each document's sums of weights."""
         out = np.zeros_like(sums)
         for c in range(len(self.names)):
             z = sums[:, c] + self.biases[c] + (out[:, :c] @ np.array(self.earlier[c][:c]) if c else 0)
@@ -68,17 +65,20 @@ class ToxicityChain:
         return out
 
 
-def bucket(word: str, buckets: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets
-
-
-def _words(text: str) -> set[str]:
-    return set(_word.findall(text.lower()))
+def stems(token: str) -> list[str]:
+    """The words in a token and their beginnings of four to six letters, which stand for a stem in all its forms."""
+    out = []
+    for word in _word.findall(token):
+        out += [word, *(f"{word[:n]}*" for n in (4, 5, 6) if len(word) > n)]
+    return out
 
 
-def features(word: str) -> list[str]:
-    """A word and its beginnings of four to six letters, which stand for a stem in all its forms."""
-    return [word, *(f"{word[:n]}*" for n in (4, 5, 6) if len(word) > n)]
+def _told(at: np.ndarray, rows: np.ndarray, n: int, width: int, y: np.ndarray, config: ChainConfig) -> np.ndarray:
+    """For each feature how many standard errors its share among the positive rows is above that among the others."""
+    ones, every = np.bincount(at, weights=y[rows], minlength=width), np.bincount(at, minlength=width)
+    p1, p0, p = ones / y.sum(), (every - ones) / (n - y.sum()), every / n
+    z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / y.sum() + 1 / (n - y.sum())) + 1e-12)
+    return np.where(every >= min(config.least, max(2, int(y.sum()) // 4)), z, 0.0)
 
 
 def _fit(at: np.ndarray, rows: np.ndarray, n: int, width: int, extra: np.ndarray, y: np.ndarray, config: ChainConfig):
@@ -86,11 +86,7 @@ def _fit(at: np.ndarray, rows: np.ndarray, n: int, width: int, extra: np.ndarray
     if n == 0 or y.min() == y.max():
         p = (y.sum() + 0.5) / (n + 1)
         return np.zeros(width), np.zeros(extra.shape[1]), np.log(p / (1 - p))
-    ones = np.bincount(at, weights=y[rows], minlength=width)
-    every = np.bincount(at, minlength=width)
-    p1, p0, p = ones / y.sum(), (every - ones) / (n - y.sum()), every / n
-    told = np.abs(p1 - p0) >= config.telling * np.sqrt(p * (1 - p) * (1 / y.sum() + 1 / (n - y.sum())) + 1e-12)
-    told &= every >= config.least
+    told = np.abs(_told(at, rows, n, width, y, config)) >= config.telling
     full, back = width, np.flatnonzero(told)
     place = np.cumsum(told) - 1
     inside = told[at]
@@ -113,31 +109,63 @@ def _fit(at: np.ndarray, rows: np.ndarray, n: int, width: int, extra: np.ndarray
     return out, v, b
 
 
+def _groups(at: np.ndarray, rows: np.ndarray, n: int, width: int, y: np.ndarray, config: ChainConfig) -> np.ndarray:
+    """The group (from 0) of each positive row, -1 elsewhere: spherical k-means over the telling features that rows hold,
+    from the row next to the mean on, each next centre being the row that is least like those before."""
+    out = np.full(n, -1)
+    pos = np.flatnonzero(y > 0)
+    if not len(pos) or len(pos) == n:
+        return out
+    told = np.flatnonzero(_told(at, rows, n, width, y, config) >= config.telling)
+    place = np.full(width, -1)
+    place[told] = np.arange(len(told))
+    cells = np.zeros((n, len(told)), np.float32)
+    inside = place[at] >= 0
+    cells[rows[inside], place[at[inside]]] = 1
+    x = cells[pos]
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    out[pos] = 0
+    x, some = x / np.maximum(size, 1), size[:, 0] > 0
+    if not some.any():
+        return out
+    centres = [x[int(np.argmax(np.where(some, x @ x.mean(axis=0), -1)))]]
+    while len(centres) < config.groups:
+        centres.append(x[int(np.argmin(np.where(some, (x @ np.array(centres).T).max(axis=1), 2)))])
+    for _ in range(10):
+        near = (x @ np.array(centres).T).argmax(axis=1)
+        centres = [m / max(float(np.linalg.norm(m)), 1e-9) for m in (x[near == g].sum(axis=0) for g in range(config.groups))]
+    out[pos] = (x @ np.array(centres).T).argmax(axis=1)
+    return out
+
+
 def train_chain(texts: list[str], toxic: list[int], config: ChainConfig = ChainConfig()) -> ToxicityChain:
     """Fits the chain to texts with labels 0 and 1."""
-    names = [c for c, _ in config.categories]
-    bags = [_words(t) for t in texts]
-    known: dict[str, list[int]] = {}
-    found = []
-    for bag in bags:
-        for w in bag:
-            if w not in known:
-                known[w] = [bucket(f, config.buckets) for f in features(w)]
-        found.append({b for w in bag for b in known[w]})
-    seen = Counter(b for have in found for b in have)
-    kept = sorted(b for b, n in seen.items() if n >= config.least)
-    column = {b: i for i, b in enumerate(kept)}
-    cells = [[column[b] for b in have if b in column] for have in found]
-    n, width = len(texts), max(1, len(kept))
-    sizes = np.array([len(c) for c in cells], np.int64)
+    known: dict[str, list[str]] = {}
+    levels = 1 + len(config.shares)
+    found: list[list[tuple[str, int]]] = []  # stems, and how many of the levels presence, first share, second share they reach
+    for text in texts:
+        tokens = text.lower().split()
+        counts: Counter = Counter()
+        for token, times in Counter(tokens).items():
+            if token not in known:
+                known[token] = stems(token)
+            for s in known[token]:
+                counts[s] += times
+        found.append([(s, 1 + sum(c >= x * len(tokens) for x in config.shares)) for s, c in counts.items()])
+    seen = Counter(s for have in found for s, _ in have)
+    kept = sorted(s for s, n in seen.items() if n >= 2)
+    column = {s: levels * i for i, s in enumerate(kept)}
+    cells = [[column[s] + j for s, reached in have if s in column for j in range(reached)] for have in found]
+    n, width = len(texts), max(1, levels * len(kept))
     at = np.array([x for c in cells for x in c], np.int64)
-    rows = np.repeat(np.arange(n), sizes)
+    rows = np.repeat(np.arange(n), [len(c) for c in cells])
     label = np.array(toxic, float)
+    group = _groups(at, rows, n, width, label, config)
     fold = np.random.default_rng(config.seed).permutation(n) % config.folds
     before = np.zeros((n, 0))
+    names = [*(f"group_{g + 1}" for g in range(config.groups)), "toxic"]
     weights, biases, earlier = [], [], []
-    for _, marks in config.categories:
-        y = label * np.array([1.0 if not marks else float(bool(bag & set(marks))) for bag in bags]) if n else label
+    for y in [*((group == g).astype(float) for g in range(config.groups)), label]:
         out = np.zeros(n)
         for f in range(config.folds):
             train_rows, test_rows = fold != f, fold == f
@@ -151,43 +179,74 @@ def train_chain(texts: list[str], toxic: list[int], config: ChainConfig = ChainC
         biases.append(float(b))
         earlier.append([float(x) for x in v])
         before = np.column_stack([before, out])
-    table_ = np.array(weights)
-    used = np.flatnonzero(np.abs(table_).max(axis=0) > 1e-6) if len(kept) else []
-    return ToxicityChain(names, config.buckets, {kept[i]: tuple(table_[:, i]) for i in used}, biases, earlier)
-
-
-def score_toxicity(documents: DataFrame, fitted: ToxicityChain, cached: int = 400_000) -> DataFrame:
+    by_stem = np.array(weights).T[: levels * len(kept)].reshape(len(kept), levels, len(names))
+    used = np.flatnonzero(np.abs(by_stem).max(axis=(1, 2)) > 1e-6) if len(kept) else []
+    return ToxicityChain(names, config.shares, {kept[i]: by_stem[i] for i in used}, biases, earlier)
+
+
+class Scorer:
+    """Scores texts many at a time; keeps at most `cached` tokens and starts anew beyond that."""
+
+    def __init__(self, model: ToxicityChain, cached: int = 200_000):
+        self.model, self.cached = model, cached
+        self.number = {s: i for i, s in enumerate(model.weights)}
+        levels = 1 + len(model.shares)
+        #: What a stem adds that has reached a level.
+        self.adds = np.cumsum(np.array([*model.weights.values()]).reshape(len(self.number), levels, len(model.names)), axis=1)
+        self.place: dict[str, int] = {}
+        #: Tokens are of a kind if they hold the same stems with weights; most hold none and are kind 0.
+        self.kind_of: dict[tuple[int, ...], int] = {(): 0}
+        self._lay_out()
+
+    def _lay_out(self) -> None:
+        self.held = np.array([*chain.from_iterable(self.kind_of)], np.int64)
+        self.sizes = np.fromiter(map(len, self.kind_of), np.int64, len(self.kind_of))
+        self.low = np.cumsum(self.sizes) - self.sizes
+
+    def _learn(self, tokens: set[str]) -> None:
+        for token in tokens:
+            have = tuple(self.number[s] for s in stems(token) if s in self.number)
+            self.place[token] = self.kind_of.setdefault(have, len(self.kind_of))
+        if len(self.kind_of) > len(self.sizes):
+            self._lay_out()
+
+    def probabilities(self, texts: list[str]) -> np.ndarray:
+        if len(self.place) > self.cached:
+            self.place.clear()
+        cut = [t.lower().split() for t in texts]
+        self._learn({w for c in cut for w in c if w not in self.place})
+        sizes = np.array([len(c) for c in cut], np.int64)
+        kinds = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        hits = np.flatnonzero(kinds)
+        rows, kinds = np.repeat(np.arange(len(texts)), sizes)[hits], kinds[hits]
+        many = self.sizes[kinds]
+        at = np.repeat(self.low[kinds] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        cells, times = np.unique(np.repeat(rows, many) * max(1, len(self.number)) + self.held[at], return_counts=True)
+        row, stem = np.divmod(cells, max(1, len(self.number)))
+        level = sum((times >= s * sizes[row]).astype(np.int64) for s in self.model.shares)
+        sums = np.stack([np.bincount(row, weights=self.adds[stem, level, c], minlength=len(texts)) for c in range(len(self.model.names))], axis=1).astype(float)
+        return self.model.predict(sums)
+
+
+def score_toxicity(documents: DataFrame, fitted: ToxicityChain, rows: int = 128) -> DataFrame:
     """Adds one probability p_<category> for each category to documents with a text column.
 
-    The words of the whole text count once each; null, empty and wordless texts get the biases alone. Other columns and
-    rows stay; clashing columns are replaced. A task keeps the weights of at most `cached` words and starts anew beyond.
+    Whole texts count; null, empty and wordless texts get the biases alone. Other columns and rows stay; clashing columns
+    are replaced. Texts become words `rows` at a time; only probabilities come back from Python.
     """
-    new = [f"p_{n}" for n in fitted.names]
-    rest = [c for c in documents.columns if c not in (*new, "text")]
     shipped = documents.sparkSession.sparkContext.broadcast(fitted)
+    names = [f"p_{n}" for n in fitted.names]
+
+    @F.arrow_udf(", ".join(f"{n} double" for n in names))
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = Scorer(shipped.value)
+        for texts in batches:
+            p = np.concatenate([np.zeros((0, len(names))), *(own.probabilities(texts[low : low + rows].to_pylist()) for low in range(0, len(texts), rows))])
+            yield pa.StructArray.from_arrays([pa.array(p[:, i]) for i in range(len(names))], names)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
-        places: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            sums = np.zeros((len(texts), len(new)))
-            for i, text in enumerate(texts):
-                words = _words(text)
-                for w in words:
-                    if w in places:
-                        continue
-                    places[w] = tuple(b for b in (bucket(f, model.buckets) for f in features(w)) if b in model.weights)
-                for b in set(chain.from_iterable(map(places.__getitem__, words))):
-                    sums[i] += model.weights[b]
-                if len(places) > cached:
-                    places.clear()
-            p = model.predict(sums)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(p[:, j]) for j in range(len(new)))], names=[*rest, *new])
-
-    kept = documents.select(*rest, text_or_empty().alias("text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text"]
-    return kept.mapInArrow(scored, ", ".join([*fields, *(f"`{c}` double" for c in new)]))
+    rest = [c for c in documents.columns if c not in names]
+    done = documents.select(*rest, scored(text_or_empty()).alias("_p"))
+    return done.select(*rest, *(F.col("_p")[n].alias(n) for n in names))
 
 
 def toxicity_chain(spark: SparkSession, documents: DataFrame, sf_dir: str, config: ChainConfig = ChainConfig()) -> ToxicityChain:
@@ -201,11 +260,11 @@ THRESHOLD = 0.5
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category probabilities of all documents, and whether each counts as toxic."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_toxicity(documents, toxicity_chain(spark, documents, sf_dir)).withColumn("toxic", (F.col("p_toxic") >= THRESHOLD).cast("int"))
+    scored = score_toxicity(documents, toxicity_chain(spark, documents, sf_dir)).drop("text")
+    return scored.withColumn("toxic", (F.col("p_toxic") >= THRESHOLD).cast("int"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that don't count as toxic."""
     columns = docs.columns
-    scored = score_toxicity(docs.withColumn("whole_text", F.col("text")), toxicity_chain(spark, docs, sf_dir))
-    return scored.where(F.col("p_toxic") < THRESHOLD).withColumnRenamed("whole_text", "text").select(columns)
+    return score_toxicity(docs, toxicity_chain(spark, docs, sf_dir)).where(F.col("p_toxic") < THRESHOLD).select(columns)
