@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -51,6 +54,14 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 128) -> Iterator[pa.Re
             yield batch.slice(low, rows)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, which allocators keep otherwise; workers and the driver live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every bit of unsigned 64-bit numbers over all bits."""
     x = x.astype(np.uint64, copy=True)

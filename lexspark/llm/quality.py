@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import mix64, table, text_or_empty
+from lexspark.llm.common import give_back, mix64, table, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -90,7 +90,7 @@ class SubwordModel:
 class Scorer:
     """Scores texts many at a time; keeps what at most `cached` words add and starts anew beyond that."""
 
-    def __init__(self, model: SubwordModel, cached: int = 150_000):
+    def __init__(self, model: SubwordModel, cached: int = 100_000):
         self.model, self.cached = model, cached
         self._clear()
 
@@ -157,7 +157,7 @@ def _bag(words: list[str], config: SubwordConfig) -> tuple[np.ndarray, np.ndarra
     if len(words) > 1:
         families += [(f, np.ones(len(f))) for f in (pairs(hashes[at], config), config.buckets + patterns(at))]
     found, where = np.unique(np.concatenate([f for f, _ in families]), return_inverse=True)
-    return found, np.bincount(where, weights=np.concatenate([w / w.sum() for _, w in families])).astype(np.float32)
+    return found.astype(np.int32), np.bincount(where, weights=np.concatenate([w / w.sum() for _, w in families])).astype(np.float32)
 
 
 def train(texts: list[str], labels: list[int], prior: float, config: SubwordConfig = SubwordConfig()) -> SubwordModel:
@@ -206,6 +206,8 @@ def score_quality(documents: DataFrame, model: SubwordModel, column: str = "qual
         for texts in batches:
             parts = [own.scores(texts[low : low + rows].to_pylist()) for low in range(0, len(texts), rows)]
             yield pa.array(np.concatenate([np.zeros(0), *parts]))
+        del own
+        give_back()
 
     return documents.withColumn(column, score(text_or_empty()))
 
@@ -238,7 +240,9 @@ def labelled_sample(spark: SparkSession, documents: DataFrame, labels: DataFrame
 
 def quality_model(spark: SparkSession, documents: DataFrame, sf_dir: str, config: SubwordConfig = SubwordConfig()) -> SubwordModel:
     texts, labels, prior = labelled_sample(spark, documents, table(spark, sf_dir, "labels"), "quality", config.sample)
-    return train(texts, labels, prior, config)
+    model = train(texts, labels, prior, config)
+    give_back()
+    return model
 
 
 THRESHOLD = 0.3

@@ -10,6 +10,7 @@ as they will be on new texts.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import table, text_or_empty
+from lexspark.llm.common import give_back, table, text_or_empty
 from lexspark.llm.quality import labelled_sample
 
 _word = re.compile(r"[^\W\d_]+")
@@ -47,12 +48,12 @@ class ChainConfig:
 
 @dataclass
 class ToxicityChain:
-    """For each stem with a weight its weights (levels of share x categories), the categories' biases, and each model's
-    weights of earlier probabilities."""
+    """For each hashed stem with a weight its weights (levels of share x categories), the categories' biases, and each
+    model's weights of earlier probabilities."""
 
     names: list[str]
     shares: tuple[float, ...]
-    weights: dict[str, np.ndarray]
+    weights: dict[int, np.ndarray]
     biases: list[float]
     earlier: list[list[float]] = field(default_factory=list)
 
@@ -65,11 +66,11 @@ class ToxicityChain:
         return out
 
 
-def stems(token: str) -> list[str]:
-    """The words in a token and their beginnings of four to six letters, which stand for a stem in all its forms."""
+def stems(token: str) -> list[int]:
+    """The words in a token and their beginnings of four to six letters, which stand for a stem in all its forms; hashed."""
     out = []
     for word in _word.findall(token):
-        out += [word, *(f"{word[:n]}*" for n in (4, 5, 6) if len(word) > n)]
+        out += [zlib.crc32(s.encode("utf-8", "surrogatepass")) for s in (word, *(f"{word[:n]}*" for n in (4, 5, 6) if len(word) > n))]
     return out
 
 
@@ -78,7 +79,7 @@ def _told(at: np.ndarray, rows: np.ndarray, n: int, width: int, y: np.ndarray, c
     ones, every = np.bincount(at, weights=y[rows], minlength=width), np.bincount(at, minlength=width)
     p1, p0, p = ones / y.sum(), (every - ones) / (n - y.sum()), every / n
     z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / y.sum() + 1 / (n - y.sum())) + 1e-12)
-    return np.where(every >= min(config.least, max(2, int(y.sum()) // 4)), z, 0.0)
+    return np.where(every > 1, z, 0.0)
 
 
 def _fit(at: np.ndarray, rows: np.ndarray, n: int, width: int, extra: np.ndarray, y: np.ndarray, config: ChainConfig):
@@ -140,25 +141,32 @@ def _groups(at: np.ndarray, rows: np.ndarray, n: int, width: int, y: np.ndarray,
 
 def train_chain(texts: list[str], toxic: list[int], config: ChainConfig = ChainConfig()) -> ToxicityChain:
     """Fits the chain to texts with labels 0 and 1."""
-    known: dict[str, list[str]] = {}
-    levels = 1 + len(config.shares)
-    found: list[list[tuple[str, int]]] = []  # stems, and how many of the levels presence, first share, second share they reach
+    known: dict[str, np.ndarray] = {}
+    levels, n = 1 + len(config.shares), len(texts)
+    found: list[tuple[np.ndarray, np.ndarray]] = []  # stems, and how many of the levels presence, first share... they reach
     for text in texts:
         tokens = text.lower().split()
-        counts: Counter = Counter()
-        for token, times in Counter(tokens).items():
+        counts = Counter(tokens)
+        for token in counts:
             if token not in known:
-                known[token] = stems(token)
-            for s in known[token]:
-                counts[s] += times
-        found.append([(s, 1 + sum(c >= x * len(tokens) for x in config.shares)) for s, c in counts.items()])
-    seen = Counter(s for have in found for s, _ in have)
-    kept = sorted(s for s, n in seen.items() if n >= 2)
-    column = {s: levels * i for i, s in enumerate(kept)}
-    cells = [[column[s] + j for s, reached in have if s in column for j in range(reached)] for have in found]
-    n, width = len(texts), max(1, levels * len(kept))
-    at = np.array([x for c in cells for x in c], np.int64)
-    rows = np.repeat(np.arange(n), [len(c) for c in cells])
+                known[token] = np.array(stems(token), np.uint32)
+        held = [known[t] for t in counts]
+        have, where = np.unique(np.concatenate([np.zeros(0, np.uint32), *held]), return_inverse=True)
+        times = np.bincount(where, weights=np.repeat([*counts.values()], [len(h) for h in held]), minlength=len(have))
+        found.append((have, (1 + sum((times >= x * len(tokens)).astype(np.int8) for x in config.shares)).astype(np.int8)))
+    del known
+    least = min(config.least, max(2, sum(toxic) // 4))
+    kept, seen = np.unique(np.concatenate([np.zeros(0, np.uint32), *(have for have, _ in found)]), return_counts=True)
+    kept = kept[seen >= least]
+    at, rows = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for i, (have, reached) in enumerate(found):
+        inside = np.isin(have, kept, assume_unique=True)
+        first, reached = levels * np.searchsorted(kept, have[inside]), reached[inside]
+        cells = np.concatenate([first[reached > j] + j for j in range(levels)]).astype(np.int32)
+        at.append(cells)
+        rows.append(np.full(len(cells), i, np.int32))
+    del found
+    at, rows, width = np.concatenate(at), np.concatenate(rows), max(1, levels * len(kept))
     label = np.array(toxic, float)
     group = _groups(at, rows, n, width, label, config)
     fold = np.random.default_rng(config.seed).permutation(n) % config.folds
@@ -181,13 +189,13 @@ def train_chain(texts: list[str], toxic: list[int], config: ChainConfig = ChainC
         before = np.column_stack([before, out])
     by_stem = np.array(weights).T[: levels * len(kept)].reshape(len(kept), levels, len(names))
     used = np.flatnonzero(np.abs(by_stem).max(axis=(1, 2)) > 1e-6) if len(kept) else []
-    return ToxicityChain(names, config.shares, {kept[i]: by_stem[i] for i in used}, biases, earlier)
+    return ToxicityChain(names, config.shares, {int(kept[i]): by_stem[i] for i in used}, biases, earlier)
 
 
 class Scorer:
     """Scores texts many at a time; keeps at most `cached` tokens and starts anew beyond that."""
 
-    def __init__(self, model: ToxicityChain, cached: int = 200_000):
+    def __init__(self, model: ToxicityChain, cached: int = 150_000):
         self.model, self.cached = model, cached
         self.number = {s: i for i, s in enumerate(model.weights)}
         levels = 1 + len(model.shares)
@@ -243,6 +251,8 @@ def score_toxicity(documents: DataFrame, fitted: ToxicityChain, rows: int = 128)
         for texts in batches:
             p = np.concatenate([np.zeros((0, len(names))), *(own.probabilities(texts[low : low + rows].to_pylist()) for low in range(0, len(texts), rows))])
             yield pa.StructArray.from_arrays([pa.array(p[:, i]) for i in range(len(names))], names)
+        del own
+        give_back()
 
     rest = [c for c in documents.columns if c not in names]
     done = documents.select(*rest, scored(text_or_empty()).alias("_p"))
@@ -251,7 +261,9 @@ def score_toxicity(documents: DataFrame, fitted: ToxicityChain, rows: int = 128)
 
 def toxicity_chain(spark: SparkSession, documents: DataFrame, sf_dir: str, config: ChainConfig = ChainConfig()) -> ToxicityChain:
     texts, toxic, _ = labelled_sample(spark, documents, table(spark, sf_dir, "labels"), "toxic", config.sample)
-    return train_chain(texts, toxic, config)
+    fitted = train_chain(texts, toxic, config)
+    give_back()
+    return fitted
 
 
 THRESHOLD = 0.5
