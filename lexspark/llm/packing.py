@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import heapq
+import json
+import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from lexspark.llm.common import table, text_or_empty
+from lexspark.llm.common import give_back, slices, table, text_or_empty
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -63,35 +65,46 @@ def windows_for(sizes: list[int], capacity: int) -> tuple[int, list[int]]:
         n += 1
 
 
-@cache
-def _encoders(path: str):
-    """The tokenizers library's model, and the same merges as ranks for a faster byte-pair engine."""
-    import json
-
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    spec = json.load(open(path, encoding="utf-8"))
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
-    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    ranks = {bytes(byte_of[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
-    words = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    fast = tiktoken.Encoding("ranks", pat_str=words, mergeable_ranks=ranks, special_tokens=special)
-    return Tokenizer.from_file(path), fast
-
-
-def encode(texts: list[str], path: str, verify_every: int = 256) -> list[np.ndarray]:
+class Encoder:
     """Token ids of whole texts, as the tokenizers library gives them with add_special_tokens=False.
 
-    A byte-pair engine that is about five times as fast does the work; the library itself encodes the first text of
-    every `verify_every`, and all of them if it ever differs.
+    Byte-level models cut a text into runs of letters, numbers, other characters and white space, and none of these reaches
+    across the start of a word (a run without white space, with the blank before it). So each distinct word, and each run of
+    other white space, is encoded by the library once and looked up afterwards; at most `cached` of them are kept. Texts
+    that hold an added token, which cuts before words do, and texts for models of other kinds go to the library whole.
     """
-    exact, fast = _encoders(path)
-    out = [fast.encode_to_numpy(t, allowed_special="all") for t in texts]
-    if any(exact.encode(texts[i], add_special_tokens=False).ids != out[i].tolist() for i in range(0, len(texts), verify_every)):
-        out = [np.array(e.ids, np.uint32) for e in exact.encode_batch(texts, add_special_tokens=False)]
-    return out
+
+    def __init__(self, path: str, cached: int = 200_000):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cut = spec.get("pre_tokenizer") or {}
+        self.by_word = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not spec.get("normalizer")
+        added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.library = Tokenizer.from_file(path)
+        self.cut = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+        self.known: dict[str, bytes] = {}
+        self.cached = cached
+
+    def _learn(self, words: list[str]) -> None:
+        if not words:
+            return
+        done = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
+        data = np.array(done.ids, "<u4").tobytes()
+        ends = (4 * np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(words) + 1))).tolist()
+        self.known.update((w, data[low:high]) for w, low, high in zip(words, ends, ends[1:]))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        whole = [not self.by_word or (self.added is not None and self.added.search(t) is not None) for t in texts]
+        if len(self.known) > self.cached:
+            self.known.clear()
+        words = [[] if w else self.cut.findall(t) for t, w in zip(texts, whole)]
+        self._learn(list({w for c in words for w in c if w not in self.known}))
+        out = [b"".join(map(self.known.__getitem__, c)) for c in words]
+        for i in (i for i, w in enumerate(whole) if w):
+            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, piece: int = 256, block: int = 512) -> DataFrame:
@@ -121,26 +134,27 @@ def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 1024, e
             number += n
             return out
 
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for low in range(0, len(texts), 512):
-                out: list[tuple] = []
-                for key, ids in zip(keys[low : low + 512], encode(texts[low : low + 512], tokenizer)):
-                    data, n, start = np.append(ids, end_id).astype("<u4").tobytes(), len(ids) + 1, 0
-                    while n - start >= capacity:
-                        out.append((key, start, capacity, data[4 * start : 4 * (start + capacity)], n, number, 0))
-                        number, start = number + 1, start + capacity
-                    while start < n:
-                        length = min(piece, n - start)
-                        waiting.append((key, start, length, data[4 * start : 4 * (start + length)], n))
-                        start += length
-                while len(waiting) >= block:
-                    out += dealt(waiting[:block])
-                    del waiting[:block]
-                if out:
-                    yield as_batch(out)
+        encoder, last = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        for batch in slices(batches, 256):
+            out: list[tuple] = []
+            for key, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
+                data, n, start = ids + last, len(ids) // 4 + 1, 0
+                while n - start >= capacity:
+                    out.append((key, start, capacity, data[4 * start : 4 * (start + capacity)], n, number, 0))
+                    number, start = number + 1, start + capacity
+                while start < n:
+                    length = min(piece, n - start)
+                    waiting.append((key, start, length, data[4 * start : 4 * (start + length)], n))
+                    start += length
+            while len(waiting) >= block:
+                out += dealt(waiting[:block])
+                del waiting[:block]
+            if out:
+                yield as_batch(out)
         if waiting:
             yield as_batch(dealt(waiting))
+        del encoder
+        give_back()
 
     return documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(packed, PIECES)
 

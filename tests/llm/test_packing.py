@@ -64,11 +64,35 @@ def test_little_padding_and_query(spark, data):
     for r in rows:
         sizes[r.sequence_id] = sizes.get(r.sequence_id, 0) + r.length
     assert sum(sizes.values()) / (1024 * len(sizes)) > 0.97
+
+
+def test_all_pieces_have_the_library_ids(spark):
+    sf = "/root/testdata/sf0.01"
     exact = Tokenizer.from_file(packing.byte_bpe())
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
-    for r in rows[:200]:
-        ids = [*exact.encode(texts[r.doc_id], add_special_tokens=False).ids, 0][r.start : r.start + r.length]
-        assert zlib.crc32(np.array(ids, "<u4").tobytes()) == r.ids_crc32
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    ids = {r.doc_id: [*e.ids, 0] for r, e in zip(docs, exact.encode_batch([r.text or "" for r in docs], add_special_tokens=False))}
+    covered = {key: 0 for key in ids}
+    for r in packing.op5_pack(spark, sf).collect():
+        assert zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+        assert r.doc_tokens == len(ids[r.doc_id])
+        covered[r.doc_id] += r.length
+    assert covered == {key: len(x) for key, x in ids.items()}
+
+
+def test_white_space_and_added_tokens():
+    """Every character below U+3100 next to letters and blanks, and added tokens after runs of blanks."""
+    odd = [t for cp in range(0x3100) for c in [chr(cp)] for t in (f"a{c}b", f"a {c} b", f"a {c}{c}b{c}")]
+    odd += ["x  <|endoftext|>  y", "<|endoftext|>", "a<|endoftext|>b", "<|endoftext", "'s 't''s x's", "\n" * 100_000, " " * 100_000, "z" * 100_000, ""]
+    exact = Tokenizer.from_file(packing.byte_bpe())
+    want = [np.array(e.ids, "<u4").tobytes() for e in exact.encode_batch(odd, add_special_tokens=False)]
+    assert packing.Encoder(packing.byte_bpe()).encode(odd) == want
+    small = packing.Encoder(packing.byte_bpe(), cached=10)
+    assert [x for low in range(0, len(odd), 500) for x in small.encode(odd[low : low + 500])] == want
+
+
+def test_a_million_line_feeds(spark):
+    got = packing.pack_documents(spark.createDataFrame([(1, "\n" * 1_000_000), (2, None)], "doc_id long, text string"), packing.byte_bpe())
+    assert got.where("doc_id = 1").agg(F.sum("length")).first()[0] == 500_001
 
 
 def test_empty(spark):
