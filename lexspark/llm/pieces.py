@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import slices, table, text_or_empty
+from lexspark.llm.common import give_back, table, text_or_empty
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -124,7 +124,7 @@ def splits(model: PieceModel) -> bool:
 class Encoder:
     """Encodes and decodes texts; keeps the ids of at most `cached` words. Tokenizers are built when first used."""
 
-    def __init__(self, data: bytes, cached: int = 300_000, verify_every: int = 128):
+    def __init__(self, data: bytes, cached: int = 100_000, verify_every: int = 128):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         self.data, self.model = data, parse_model(data)
         # unknown words next to each other become one id, unless they are bytes or a known marker parts them
@@ -166,12 +166,16 @@ class Encoder:
         return ids
 
     def _learn(self, words: list[str]) -> None:
-        own = (e.ids for e in self.single.encode_batch_fast(words, add_special_tokens=False))
-        ids = [a if a == b else b for a, b in zip(own, self._library_ids(words))]
-        flat, at = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
-        for w, x in zip(words, ids):
-            self.known[w] = flat[at : at + 4 * len(x)]
-            at += 4 * len(x)
+        if not words:
+            return
+        done = self.single.encode(words, is_pretokenized=True, add_special_tokens=False)
+        own, ends = np.array(done.ids, "<u4"), np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(words) + 1))
+        theirs = self._library_ids(words)
+        flat, sizes = np.fromiter(chain.from_iterable(theirs), "<u4"), np.fromiter(map(len, theirs), np.int64, len(words))
+        if not (np.array_equal(own, flat) and np.array_equal(np.diff(ends), sizes)):  # the library's ids hold
+            own, ends = flat, np.r_[0, np.cumsum(sizes)]
+        data, at = own.tobytes(), (4 * ends).tolist()
+        self.known.update((w, data[low:high]) for w, low, high in zip(words, at, at[1:]))
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
@@ -213,44 +217,58 @@ def _encoder(path: str) -> Encoder:
         return Encoder(f.read())
 
 
-def encode_pieces(documents: DataFrame, model: str, column: str = "piece_ids", block: int = 256) -> DataFrame:
+def _by_slices(use, model: str, rows: int):
+    """An Arrow function that runs use(encoder, values) on so many values at a time."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = [use(_encoder(model), batch[low : low + rows].to_pylist()) for low in range(0, len(batch), rows)]
+            yield parts[0] if len(parts) == 1 else pa.concat_arrays(parts or [use(_encoder(model), [])])
+        give_back()
+
+    return run
+
+
+def _ids(encoder: Encoder, texts: list[str]) -> pa.Array:
+    return pa.array(encoder.encode_bytes(texts), pa.binary())
+
+
+def _texts(encoder: Encoder, data: list[bytes]) -> pa.Array:
+    return pa.array(encoder.decode([np.frombuffer(d, "<u4").tolist() for d in data]), pa.string())
+
+
+def _both(encoder: Encoder, texts: list[str]) -> pa.Array:
+    ids = encoder.encode_bytes(texts)
+    return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), _texts(encoder, ids)], ["ids", "text"])
+
+
+def encode_pieces(documents: DataFrame, model: str, column: str = "piece_ids", rows: int = 128) -> DataFrame:
     """Adds the piece ids of whole texts, as little-endian unsigned 32-bit numbers in a binary column.
 
     `model` is a path that every executor has. A null or empty text has no ids. Each distinct word that a task meets is
     compared with the sentencepiece library, whose ids are taken where they differ. That words can be joined is checked
-    with the first text of every 128 in a block; the library encodes the whole block if they ever differ. Other columns
+    with the first text of every `rows`; the library encodes all of these if they ever differ. Other columns
     and rows stay; a clashing column of the same name is replaced.
     """
-    rest = [c for c in documents.columns if c != column]
+    return documents.withColumn(column, _arrow(_by_slices(_ids, model, rows), "binary")(text_or_empty()))
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoder(model)
-        for batch in slices(batches, 2 * block):
-            texts, out = ["" if t is None else t for t in batch.column("text").to_pylist()], []
-            for low in range(0, len(texts), block):
-                out += own.encode_bytes(texts[low : low + block])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(out, pa.binary())], names=[*rest, column])
 
-    kept = documents.select(rest)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]
-    return kept.mapInArrow(encoded, ", ".join([*fields, f"`{column}` binary"]))
+def decode_pieces(encoded: DataFrame, model: str, column: str = "piece_ids", text: str = "decoded", rows: int = 128) -> DataFrame:
+    """Adds the text of piece ids; null or no ids give an empty text. Ids outside the model's range raise an error."""
+    return encoded.withColumn(text, _arrow(_by_slices(_texts, model, rows), "string")(F.coalesce(column, F.lit(b""))))
 
 
-def decode_pieces(encoded: DataFrame, model: str, column: str = "piece_ids", text: str = "decoded", block: int = 256) -> DataFrame:
-    """Adds the text of piece ids; null or no ids give an empty text. Ids outside the model's range raise an error."""
-    rest = [c for c in encoded.columns if c != text]
+def recode_pieces(documents: DataFrame, model: str, column: str = "recoded", rows: int = 128) -> DataFrame:
+    """Adds a struct of the piece ids of whole texts (as encode_pieces gives them) and the text that they decode to, in one pass."""
+    return documents.withColumn(column, _arrow(_by_slices(_both, model, rows), "ids binary, text string")(text_or_empty()))
+
 
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoder(model)
-        for batch in slices(batches, 2 * block):
-            data, out = batch.column(column).to_pylist(), []
-            for low in range(0, len(data), block):
-                out += own.decode([np.frombuffer(d or b"", "<u4").tolist() for d in data[low : low + block]])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(out, pa.string())], names=[*rest, text])
+def _arrow(run, kind: str):
+    @F.arrow_udf(kind)
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return run(batches)
 
-    kept = encoded.select(rest)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]
-    return kept.mapInArrow(decoded, ", ".join([*fields, f"`{text}` string"]))
+    return coded
 
 
 def piece_model() -> str:
@@ -262,11 +280,11 @@ def piece_model() -> str:
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again."""
     documents = table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
-    both = decode_pieces(encode_pieces(documents, piece_model()), piece_model())
-    return both.select(
+    ids, decoded = F.col("recoded.ids"), F.col("recoded.text")
+    return recode_pieces(documents, piece_model()).select(
         "doc_id",
-        (F.octet_length("piece_ids") / 4).cast("long").alias("n_pieces"),
-        F.crc32("piece_ids").alias("ids_crc32"),
-        F.length("decoded").cast("long").alias("decoded_chars"),
-        (F.col("decoded") == F.col("text")).alias("round_trip"),
+        (F.octet_length(ids) / 4).cast("long").alias("n_pieces"),
+        F.crc32(ids).alias("ids_crc32"),
+        F.length(decoded).cast("long").alias("decoded_chars"),
+        (decoded == F.col("text")).alias("round_trip"),
     )
