@@ -47,6 +47,16 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """The same rows, after the session's Arrow batches have been limited to so many rows: whole texts are long, and the JVM
+    and the Python worker each hold a batch at a time. A smaller limit of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name, "10000"))
+    if not 0 < now <= rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
     """Batches of at most so many rows: texts become Python objects a few at a time."""
     for batch in batches:
@@ -94,19 +104,28 @@ class Roots:
         return True
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces each batch of edges by edges from its nodes to the smallest node they reach within the batch."""
-    for batch in batches:
-        a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        if not len(a):
-            continue
+def _forest(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Replaces edges, about so many at a time, by edges from their nodes to the smallest node they reach among them."""
+
+    def merged(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (np.concatenate([w.column(i).to_numpy(zero_copy_only=False) for w in waiting]) for i in (0, 1))
         names, where = np.unique(np.concatenate([a, b]), return_inverse=True)
         roots = Roots(len(names))
         for x, y in zip(where[: len(a)].tolist(), where[len(a) :].tolist()):
             roots.join(x, y)
-        to = np.array([roots.root(x) for x in range(len(names))])
+        to = np.array([roots.root(x) for x in range(len(names))], np.int64)
         keep = to != np.arange(len(names))
-        yield pa.RecordBatch.from_arrays([pa.array(names[keep]), pa.array(names[to[keep]])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(names[keep]), pa.array(names[to[keep]])], names=["a", "b"])
+
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(map(len, waiting)) >= rows:
+            yield merged(waiting)
+            waiting = []
+    if waiting:
+        yield merged(waiting)
+    give_back()
 
 
 def components(edges: DataFrame) -> DataFrame:

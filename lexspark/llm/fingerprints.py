@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import mix64, slices, table, text_or_empty
+from lexspark.llm.common import give_back, mix64, slices, small_batches, table, text_or_empty
 
 CELLS = 24
 #: A passage ends at a character whose window's hash is the least among those of so many characters before and after it.
@@ -242,8 +242,9 @@ def compare_versions(documents: DataFrame, base: str, others: list[str], rows: i
                 like = [s / (s + g + n) if s + g + n else 1.0 for s, g, n in zip(shared, gone, new)]
                 out += [[prints[t] for t in other], like, [*gone], [*new]]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *map(pa.array, out)], names=[*rest, *names])
+        give_back()
 
-    kept = documents.select(*rest, *(text_or_empty(c).alias(c) for c in (base, *others)))
+    kept = small_batches(documents).select(*rest, *(text_or_empty(c).alias(c) for c in (base, *others)))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in rest]
     new = [f"`{base}_fingerprint` string", *(f"`{o}_fingerprint` string, `{o}_likeness` double, `{o}_gone` long, `{o}_new` long" for o in others)]
     return kept.mapInArrow(compared, ", ".join([*fields, *new]))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import components, slices, table, text_or_empty, written
+from lexspark.llm.common import components, give_back, slices, small_batches, table, text_or_empty, written
 from lexspark.llm.shingles import set_digest, shingle_sets
 
 
@@ -66,6 +66,8 @@ def count_sketch(documents: DataFrame, config: JaccardConfig) -> Sketch:
             total[at.astype(np.int64)] += counts.astype(np.uint32)
         if total.any():
             yield _packed(total.reshape(_SLICES, part))
+        del total
+        give_back()
 
     def _packed(parts: np.ndarray, numbers=range(_SLICES)) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([*numbers], pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["slice", "counts"])
@@ -83,6 +85,7 @@ def count_sketch(documents: DataFrame, config: JaccardConfig) -> Sketch:
                     total += new
         if at is not None:
             yield _packed([total], [at])
+        give_back()
 
     kind = "slice int, counts binary"
     rows = documents.select(text_or_empty().alias("text")).mapInArrow(counted, kind).repartition("slice").sortWithinPartitions("slice").mapInArrow(summed, kind)
@@ -129,6 +132,7 @@ def _as_sets(documents: DataFrame, sketch: Sketch, config: JaccardConfig) -> Dat
                 rows.append((key, n, a, b, matches, line[: n - config.least(n) + matches].tobytes() if n else b""))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "n", "a", "b", "matches", "prefix"])
+        give_back()
 
     return documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(made, "doc_id long, n long, a long, b long, matches int, prefix binary")
 
@@ -150,6 +154,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             late = place > np.repeat(sizes - asked, sizes)
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(data), np.int64)), pa.array(late), pa.array(np.repeat(keys, sizes))], names=["token", "late", "set_id"])
+    give_back()
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +187,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _shared_rows(rows[done][keep[done]], hubs[done][keep[done]])
     if len(rest) and hub is not None:
         yield _shared_rows(rest, np.array([hub]))
+    give_back()
 
 
 def _shared_rows(rows: np.ndarray, hubs: np.ndarray) -> pa.RecordBatch:
@@ -344,6 +350,8 @@ def _in_cells(met: DataFrame, compare, config: JaccardConfig, sketch: Sketch | N
                 yield as_batch(out)
         if out := close():
             yield as_batch(out)
+        rows.clear()
+        give_back()
 
     return met.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(linked, "a long, b long")
 
@@ -356,7 +364,7 @@ def jaccard_components(documents: DataFrame, config: JaccardConfig = JaccardConf
     are one document, which links if any of its texts does; a null doc_id is its own component (null). Other columns are
     ignored. No partner is dropped: beyond a block's size a gathering is compared block by block.
     """
-    sketch = count_sketch(documents, config)
+    sketch = count_sketch(small_batches(documents), config)
     sets = written(_as_sets(documents, sketch, config))
     known = sets.where("n > 0 and doc_id is not null")
     # a set goes by its first digest here: copies are one, and a chance collision only makes a few candidates more

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import table, text_or_empty
+from lexspark.llm.common import small_batches, table, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -114,7 +114,7 @@ def license_matches(documents: DataFrame, notices: tuple[Notice, ...] = NOTICES)
                 [*(batch.column(c) for c in rest), pa.array([n for n, _ in found], pa.int64()), pa.array([m for _, m in found], _struct)], names=[*rest, "n_words", "matches"]
             )
 
-    kept = documents.select(*rest, text_or_empty().alias("text"))
+    kept = small_batches(documents).select(*rest, text_or_empty().alias("text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text")
     return kept.mapInArrow(scanned, f"{fields}{', ' * bool(rest)}n_words long, matches {MATCHES}")
 

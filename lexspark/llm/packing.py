@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexspark.llm.common import give_back, slices, table, text_or_empty
+from lexspark.llm.common import give_back, slices, small_batches, table, text_or_empty
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -156,7 +156,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 1024, e
         del encoder
         give_back()
 
-    return documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(packed, PIECES)
+    return small_batches(documents).select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(packed, PIECES)
 
 
 def byte_bpe() -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import give_back, table, text_or_empty
+from lexspark.llm.common import give_back, small_batches, table, text_or_empty
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -250,17 +250,17 @@ def encode_pieces(documents: DataFrame, model: str, column: str = "piece_ids", r
     with the first text of every `rows`; the library encodes all of these if they ever differ. Other columns
     and rows stay; a clashing column of the same name is replaced.
     """
-    return documents.withColumn(column, _arrow(_by_slices(_ids, model, rows), "binary")(text_or_empty()))
+    return small_batches(documents).withColumn(column, _arrow(_by_slices(_ids, model, rows), "binary")(text_or_empty()))
 
 
 def decode_pieces(encoded: DataFrame, model: str, column: str = "piece_ids", text: str = "decoded", rows: int = 128) -> DataFrame:
     """Adds the text of piece ids; null or no ids give an empty text. Ids outside the model's range raise an error."""
-    return encoded.withColumn(text, _arrow(_by_slices(_texts, model, rows), "string")(F.coalesce(column, F.lit(b""))))
+    return small_batches(encoded).withColumn(text, _arrow(_by_slices(_texts, model, rows), "string")(F.coalesce(column, F.lit(b""))))
 
 
 def recode_pieces(documents: DataFrame, model: str, column: str = "recoded", rows: int = 128) -> DataFrame:
     """Adds a struct of the piece ids of whole texts (as encode_pieces gives them) and the text that they decode to, in one pass."""
-    return documents.withColumn(column, _arrow(_by_slices(_both, model, rows), "ids binary, text string")(text_or_empty()))
+    return small_batches(documents).withColumn(column, _arrow(_by_slices(_both, model, rows), "ids binary, text string")(text_or_empty()))
 
 
 def _arrow(run, kind: str):

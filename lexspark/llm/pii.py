@@ -3,11 +3,12 @@
 Numbers that pass their own check (card digits by Luhn, IBANs by modulo 97, octets, phone and social-security formats)
 and dates that exist are permuted within their format under a key: a valid value becomes another valid value, equal
 values become equal pseudonyms in every document, and nobody without the key can turn them back. E-mail names and
-hexadecimal secrets have no number to permute; they get keyed digests of the same length.
+hexadecimal secrets have no number to permute; names get keyed digests of 20 to 64 letters, secrets of their own length.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,7 +38,7 @@ def _iban_pattern() -> str:
 
 #: Kinds in the order in which they are tried at a place. Java patterns; none has a capturing group.
 PATTERNS: dict[str, str] = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
     "iban": _iban_pattern(),
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
@@ -47,29 +48,37 @@ PATTERNS: dict[str, str] = {
     "intl": r"(?<![0-9A-Za-z+])\+[0-9](?:[ .-]?[0-9]){8,14}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z]|[.-][0-9])",
 }
-ANY = "(?<![0-9A-Za-z])(?=[0-9A-Za-z+(._%-])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+ANY = r"(?<![0-9A-Za-z])(?=[\p{L}\p{N}+(._%-])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: Every kind holds one of these.
 HINT = r"[0-9]|@"
 ROUNDS = 8
 
 
-def _part(key: Column, kind: str, i: Column, half: Column, size: Column) -> Column:
+def _part(key: Column, kind: Column, i: Column, half: Column, size: Column) -> Column:
     """A keyed number below size from one half of a value."""
-    digest = F.sha2(F.concat_ws("|", key, F.lit(kind), i.cast("string"), half.cast("string")), 256)
+    digest = F.sha2(F.concat_ws("|", key, kind, i.cast("string"), half.cast("string")), 256)
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % size
 
 
-def feistel(value: Column, left: Column, right: Column, key: Column, kind: str) -> Column:
-    """A keyed permutation of the numbers below left * right: alternating rounds add to one half a number from the other."""
-    start = F.struct(F.call_function("div", value, right).alias("a"), (value % right).cast("long").alias("b"))
+def feistel_halves(a: Column, b: Column, left: Column, right: Column, key: Column, kind: str | Column) -> Column:
+    """A keyed permutation of the pairs a < left, b < right (structs a, b): alternating rounds add to one half a number from
+    the other. `kind` keeps permutations of different formats apart."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
 
     def turn(x: Column, i: Column) -> Column:
         even = i % 2 == 0
-        a = F.when(even, (x["a"] + _part(key, kind, i, x["b"], left)) % left).otherwise(x["a"])
-        b = F.when(even, x["b"]).otherwise((x["b"] + _part(key, kind, i, x["a"], right)) % right)
-        return F.struct(a.alias("a"), b.alias("b"))
+        new_a = F.when(even, (x["a"] + _part(key, kind, i, x["b"], left)) % left).otherwise(x["a"])
+        new_b = F.when(even, x["b"]).otherwise((x["b"] + _part(key, kind, i, x["a"], right)) % right)
+        return F.struct(new_a.alias("a"), new_b.alias("b"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda x: x["a"] * right + x["b"])
+    start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
+
+
+def feistel(value: Column, left: Column, right: Column, key: Column, kind: str | Column) -> Column:
+    """A keyed permutation of the numbers below left * right."""
+    out = feistel_halves(F.call_function("div", value, right), value % right, left, right, key, kind)
+    return _once(out, lambda x: x["a"] * right + x["b"])
 
 
 def _digits(m: Column) -> Column:
@@ -80,12 +89,14 @@ def _power(n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(10**k) for k in range(19)]), (n + 1).cast("int"))
 
 
-def _permuted_digits(digits: Column, key: Column, kind: str) -> Column:
-    """Another digit string of the same length (at most 18)."""
+def _permuted_digits(digits: Column, key: Column, kind: str | Column) -> Column:
+    """Another digit string of the same length (at most 36): both halves of at most 18 digits are permuted together."""
     n = F.length(digits)
     low = F.floor(n / 2).cast("int")
-    out = feistel(digits.cast("long"), _power(n - low), _power(low), key, kind)
-    return F.lpad(out.cast("string"), n, "0")
+    half = lambda text: F.coalesce(F.nullif(text, F.lit("")), F.lit("0")).cast("long")
+    out = feistel_halves(half(F.substr(digits, F.lit(1), n - low)), half(F.substr(digits, n - low + 1, low)), _power(n - low), _power(low), key, kind)
+    spelt = lambda x: F.concat(F.lpad(x["a"].cast("string"), n - low, "0"), F.when(low > 0, F.lpad(x["b"].cast("string"), low, "0")).otherwise(""))
+    return F.when(n > 0, _once(out, spelt)).otherwise("")
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -135,28 +146,44 @@ def _remainder97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), step)
 
 
-def _permuted_letters(letters: Column, key: Column, kind: str) -> Column:
-    """Another string of capital letters of the same length (at most 13)."""
-    n = F.length(letters)
-    power = lambda k: F.element_at(F.array(*[F.lit(26**i) for i in range(14)]), (k + 1).cast("int"))
-    low = F.floor(n / 2).cast("int")
-    value = F.aggregate(F.split(letters, ""), F.lit(0).cast("long"), lambda s, c: s * 26 + F.ascii(c) - 65)
-    out = feistel(value, power(n - low), power(low), key, kind)
-    places = F.reverse(F.sequence(F.lit(0), n - 1))
-    spelt = _once(out, lambda x: F.array_join(F.transform(places, lambda i: F.char((F.call_function("div", x, power(i)) % 26 + 65).cast("long"))), ""))
-    return F.when(n > 0, spelt).otherwise("")
+def _letters_value(letters: Column) -> Column:
+    """Capital letters (at most 13) as a number of base 26; no letters are 0."""
+    return F.aggregate(F.filter(F.split(letters, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda s, c: s * 26 + F.ascii(c) - 65)
+
+
+def _letters_power(n: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(26**i) for i in range(14)]), (n + 1).cast("int"))
+
+
+def _spelt(value: Column, n: Column) -> Column:
+    """A number as n capital letters."""
+    places = F.filter(F.sequence(n - 1, F.lit(-1)), lambda i: i >= 0)
+    return F.array_join(F.transform(places, lambda i: F.char((F.call_function("div", value, _letters_power(i)) % 26 + 65).cast("long"))), "")
+
+
+def _permuted_letters(letters: Column, key: Column, kind: Column) -> Column:
+    """Another string of capital letters of the same length: both halves (of at most 13) are permuted together, and beyond 26
+    letters the rest by itself, under the new ones."""
+
+    def two_halves(text: Column, kind: Column) -> Column:
+        n = F.length(text)
+        low = F.floor(n / 2).cast("int")
+        a, b = F.substr(text, F.lit(1), n - low), F.substr(text, n - low + 1, low)
+        out = feistel_halves(_letters_value(a), _letters_value(b), _letters_power(n - low), _letters_power(low), key, kind)
+        return F.when(n > 0, _once(out, lambda x: F.concat(_spelt(x["a"], n - low), _spelt(x["b"], low)))).otherwise("")
+
+    first, rest = F.substr(letters, F.lit(1), F.lit(26)), F.substr(letters, F.lit(27), F.lit(26))
+    return F.when(F.length(letters) > 0, _once(two_halves(first, kind), lambda new: F.concat(new, two_halves(rest, F.concat_ws("|", kind, new))))).otherwise("")
 
 
 def _iban(m: Column, key: Column) -> Column:
+    """The account is permuted as a whole: its digits under its letters and country, its letters under the new digits."""
     joined = F.regexp_replace(m, " ", "")
     country, check = F.substr(joined, F.lit(1), F.lit(2)), F.substr(joined, F.lit(3), F.lit(2))
     account = F.substr(joined, F.lit(5), F.length(joined) - 4)
-    # up to 31 digits are permuted in two runs of at most 16, up to 31 letters in three of at most 13
     digits, letters = _digits(account), F.regexp_replace(account, "[^A-Z]", "")
-    half = F.floor(F.length(digits) / 2).cast("int")
-    runs = [F.substr(digits, F.lit(1), half), F.substr(digits, half + 1, F.length(digits) - half)]
-    new_digits = F.concat(*[F.when(F.length(r) > 0, _permuted_digits(r, key, f"iban{i}")).otherwise("") for i, r in enumerate(runs, 1)])
-    new_letters = F.concat(*[_permuted_letters(F.substr(letters, F.lit(i), F.lit(13)), key, f"iban letters {i}") for i in (1, 14, 27)])
+    new_digits = _permuted_digits(digits, key, F.concat_ws("|", F.lit("iban"), country, letters))
+    both = _once(new_digits, lambda d: F.struct(d.alias("digits"), _permuted_letters(letters, key, F.concat_ws("|", F.lit("iban letters"), country, d)).alias("letters")))
     valid = _remainder97(F.concat(account, country, check)) == 1
 
     def put(new: Column) -> Column:
@@ -164,7 +191,7 @@ def _iban(m: Column, key: Column) -> Column:
         new_check = F.lpad((98 - _remainder97(F.concat(laid_out, country, F.lit("00")))).cast("string"), 2, "0")
         return _laid_out(m, F.concat(new_check, new["digits"]), F.concat(country, new["letters"]))
 
-    return F.when(valid, _once(F.struct(new_digits.alias("digits"), new_letters.alias("letters")), put)).otherwise(m)
+    return F.when(valid, _once(both, put)).otherwise(m)
 
 
 def _ip(m: Column, key: Column) -> Column:
@@ -175,22 +202,69 @@ def _ip(m: Column, key: Column) -> Column:
     return F.when(F.forall(octets, lambda x: x <= 255), text).otherwise(m)
 
 
-#: 400 years of the Gregorian calendar from 1800-01-01 have 146097 = 27 * 5411 days.
-_FIRST_DAY = "1800-01-01"
+#: Years whose dates are permuted among themselves, with their numbers of days as products. A full cycle of the Gregorian
+#: calendar, as from 1798 to 2197, has 146097 days; the ends of the years that four digits can write are shorter.
+_ERAS = {(1, 197): (133, 541), (198, 9797): (27, 5411), (9798, 9999): (74, 997)}
+#: Of these days the ones from the 13th of a month on: their number as a product.
+_LATE_DAYS = {(1, 197): (115, 379), (198, 9797): (9, 9833), (9798, 9999): (205, 218)}
+
+
+def _first_day(year: Column) -> Column:
+    return F.make_date(year, F.lit(1), F.lit(1))
+
+
+def _era(year: Column) -> Column:
+    """(first year, and factors of its numbers of days and of late days) of the era of a year from 1 to 9999."""
+    out = None
+    for (low, high), factors in _ERAS.items():
+        first = F.lit(low) if high - low < 400 else (low + F.floor((year - low) / 400) * 400).cast("int")
+        numbers = zip(("left", "right", "late_left", "late_right"), (*factors, *_LATE_DAYS[low, high]))
+        era = F.struct(first.alias("first"), *[F.lit(x).alias(n) for n, x in numbers])
+        out = F.when(year.between(low, high), era) if out is None else out.when(year.between(low, high), era)
+    return out
+
+
+def _moved_day(day: Column, key: Column) -> Column:
+    """Another day of the same era."""
+
+    def move(e: Column) -> Column:
+        n = F.datediff(day, _first_day(e["first"])).cast("long")
+        return F.date_add(_first_day(e["first"]), feistel(n, e["left"], e["right"], key, F.concat_ws("|", F.lit("date"), e["first"].cast("string"))).cast("int"))
+
+    return _once(_era(F.year(day)), move)
+
+
+def _moved_late_day(day: Column, key: Column) -> Column:
+    """Another day of the same era, both from the 13th of a month on. Such days are numbered by leaving out twelve days of
+    every month; back from a number, the month is guessed from the average and set right."""
+
+    def move(e: Column) -> Column:
+        start = _first_day(e["first"])
+        months = (F.year(day) - e["first"]) * 12 + F.month(day) - 1
+        n = (F.datediff(day, start) - 12 * months - 12).cast("long")
+        new = feistel(n, e["late_left"], e["late_right"], key, F.concat_ws("|", F.lit("late date"), e["first"].cast("string")))
+
+        def day_of(x: Column) -> Column:
+            guess = F.floor(x / 18.436875).cast("int")
+            before = lambda m: F.datediff(F.add_months(start, m), start) - 12 * m
+            month = F.array_max(F.filter(F.transform(F.sequence(F.greatest(guess - 1, F.lit(0)), guess + 1), lambda m: F.when(before(m) <= x, m)), lambda m: m.isNotNull()))
+            return _once(month, lambda m: F.date_add(F.add_months(start, m), (x - before(m) + 12).cast("int")))
+
+        return _once(new, day_of)
+
+    return _once(_era(F.year(day)), move)
 
 
 def _date(m: Column, key: Column) -> Column:
-    def one(pattern: str) -> Column:
-        day = F.try_to_date(m, pattern)
-        n = F.datediff(day, F.lit(_FIRST_DAY).cast("date")).cast("long")
-        new = F.date_format(F.date_add(F.lit(_FIRST_DAY).cast("date"), feistel(n, F.lit(27), F.lit(5411), key, "date").cast("int")), pattern)
-        return F.when(n.between(0, 146096), new)
+    def one(pattern: str, move: Callable[[Column, Column], Column]) -> Column:
+        return F.date_format(move(F.try_to_date(m, pattern), key), pattern)
 
-    # 02/13/2024 can only be month first; where both readings exist, day first
+    # a date with slashes is day first where it can be; 02/13/2024 can only be month first, and is permuted among those alone,
+    # so that no two dates get one pseudonym
     return F.coalesce(
-        F.when(m.rlike("^[0-9]{4}-"), one("yyyy-MM-dd")),
-        F.when(m.contains("."), one("dd.MM.yyyy")),
-        F.when(m.contains("/"), F.coalesce(one("dd/MM/yyyy"), one("MM/dd/yyyy"))),
+        F.when(m.rlike("^[0-9]{4}-"), one("yyyy-MM-dd", _moved_day)),
+        F.when(m.contains("."), one("dd.MM.yyyy", _moved_day)),
+        F.when(m.contains("/"), F.coalesce(one("dd/MM/yyyy", _moved_day), one("MM/dd/yyyy", _moved_late_day))),
         m,
     )
 
@@ -225,7 +299,7 @@ def _phone(m: Column, key: Column) -> Column:
 def _email(m: Column, key: Column) -> Column:
     name = F.substring_index(m, "@", 1)
     digest = F.translate(F.sha2(F.concat_ws("|", key, F.lit("email"), F.lower(m)), 256), "0123456789", "ghijklmnop")
-    return F.concat(F.substr(digest, F.lit(1), F.greatest(F.length(name), F.lit(8))), F.lit("@"), F.substring_index(m, "@", -1))
+    return F.concat(F.substr(digest, F.lit(1), F.least(F.greatest(F.length(name), F.lit(20)), F.lit(64))), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _secret(m: Column, key: Column) -> Column:
@@ -266,17 +340,23 @@ def pseudonymise(documents: DataFrame, key: str, text: str = "text") -> DataFram
     return cut.select(*[new.alias(c) if c == text else F.col(c) for c in columns], F.when(F.col("_new").isNotNull(), changed).otherwise(0).cast("long").alias("n_private"))
 
 
-#: For tests and measurements; a production run passes its own key.
-KEY = "an example key"
+#: For the query, that is for tests and measurements alone.
+EXAMPLE_KEY = "an example key"
+#: Where a production run puts its key; without one each run of the stage makes its own.
+KEY_SETTING = "spark.lexspark.pii.key"
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms in their texts."""
-    return pseudonymise(table(spark, sf_dir, "documents"), KEY)
+    return pseudonymise(table(spark, sf_dir, "documents"), EXAMPLE_KEY)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with pseudonyms in their texts; n_chars follows the new text."""
+    """All documents with pseudonyms in their texts; n_chars follows the new text.
+
+    The key is the session's setting spark.lexspark.pii.key. Where that is unset a new random key is made, so that nobody
+    can turn the pseudonyms back; they are linked within the run, and differ from those of other runs.
+    """
     columns = docs.columns
-    done = pseudonymise(docs, KEY)
+    done = pseudonymise(docs, spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32))
     return done.withColumn("n_chars", F.length("text").cast("long")).select(columns)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import give_back, mix64, table, text_or_empty
+from lexspark.llm.common import give_back, mix64, small_batches, table, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -209,7 +209,7 @@ def score_quality(documents: DataFrame, model: SubwordModel, column: str = "qual
         del own
         give_back()
 
-    return documents.withColumn(column, score(text_or_empty()))
+    return small_batches(documents).withColumn(column, score(text_or_empty()))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import give_back, table, text_or_empty
+from lexspark.llm.common import give_back, small_batches, table, text_or_empty
 from lexspark.llm.quality import labelled_sample
 
 _word = re.compile(r"[^\W\d_]+")
@@ -255,7 +255,7 @@ def score_toxicity(documents: DataFrame, fitted: ToxicityChain, rows: int = 128)
         give_back()
 
     rest = [c for c in documents.columns if c not in names]
-    done = documents.select(*rest, scored(text_or_empty()).alias("_p"))
+    done = small_batches(documents).select(*rest, scored(text_or_empty()).alias("_p"))
     return done.select(*rest, *(F.col("_p")[n].alias(n) for n in names))
 
 
