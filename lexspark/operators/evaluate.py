@@ -121,8 +121,10 @@ def latency_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean, median, 95th percentile by nearest rank, minimum and maximum of each group, rounded half-even to 4 digits."""
     p95 = at_place(rows, by, value, F.bround(0.95 * (F.col("_n") - 1), 0), "p95")
     r = lambda c: F.bround(c, 4)
+    # summed as decimals, a mean doesn't depend on the order of the rows, and no last bit can turn its rounding
+    mean = F.sum(F.col(value).cast("decimal(30,10)")).cast("double") / F.count(value)
     plain = rows.groupBy(*by).agg(
-        F.count(value).alias("n"), r(F.avg(value)).alias("mean"), r(F.expr(f"percentile({value}, 0.5)")).alias("median"), r(F.min(value)).alias("min"), r(F.max(value)).alias("max")
+        F.count(value).alias("n"), r(mean).alias("mean"), r(F.expr(f"percentile({value}, 0.5)")).alias("median"), r(F.min(value)).alias("min"), r(F.max(value)).alias("max")
     )
     return plain.join(p95, by, "left").withColumn("p95", r(F.col("p95")))
 
@@ -273,7 +275,7 @@ def sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def tail_split(rows: DataFrame, order: str, fraction: float) -> DataFrame:
-    """Adds `validation`: whether a row is among the last int(n * fraction) in order; counts by value, no global sort."""
+    """Adds `validation`: whether a row is among the last int(n * fraction) in order."""
     held = int(rows.count() * fraction)
     if held == 0:
         return rows.withColumn("validation", F.lit(False))

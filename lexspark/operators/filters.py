@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +48,7 @@ def documents_of_identifiers(names: DataFrame, identifiers: DataFrame) -> DataFr
     wanted = wanted.withColumn("_first", F.substring_index("_slug", "-", 1))
     parts = names.select("document_id", F.lower("document_name").alias("_name")).distinct()
     # a part may end in the middle of the name's part, so the part's digits are compared
-    parts = parts.select("document_id", "_name", F.explode(F.array_distinct(F.slice(F.split("_name", "-"), 2, 1000))).alias("_first"))
+    parts = parts.select("document_id", "_name", F.explode(F.array_distinct(F.slice(F.split("_name", "-"), F.lit(2), F.length("_name") + 1))).alias("_first"))
     return parts.join(wanted, "_first").where(F.contains(F.col("_name"), F.concat(F.lit("-"), F.col("_slug")))).select("document_number", "document_id").distinct()
 
 
@@ -57,7 +60,7 @@ def metadata_filter(questions: DataFrame, names: DataFrame, children: DataFrame,
     document, else it is ambiguous; a filter that no child passes is an empty lookup and doesn't apply.
     """
     heads = ["article", "clause", "point", "chapter", "section"]
-    q = questions.select("question_id", "metadata.*").where((F.col("confidence") >= least) & F.coalesce("document_id", "document_number", *heads).isNotNull())
+    q = questions.select("question_id", "metadata.*").where((F.col("confidence") >= least) & reduce(or_, (F.col(c).isNotNull() for c in ("document_id", "document_number", *heads))))
     by_number = documents_of_identifiers(names, q.where("document_number is not null and document_id is null"))
     found = by_number.groupBy("document_number").agg(F.count("*").alias("_found"), F.min("document_id").alias("_only"))
     q = q.join(found, "document_number", "left")

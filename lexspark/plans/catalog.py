@@ -416,11 +416,27 @@ def _asked(spark, d) -> DataFrame:
     return _turns(spark, d).select(key.alias("question_id"), "text", evidence.alias("evidence"))
 
 
-@query()
+_STOPS = "(" + ", ".join(f"'{w}'" for w in validate.STOP_WORDS) + ")"
+_CONTENT = rf"list_distinct(list_transform(list_filter(regexp_extract_all(trim(regexp_replace(replace(strip_accents(lower({{}})), 'đ', 'd'), '[\s\p{{{{Z}}}}]+', ' ', 'g')), '[a-z0-9]+'), lambda w: len(w) > 1 AND w NOT IN {_STOPS}), lambda w: regexp_replace(w, '^0+([0-9]+)$', '\1')))"
+_WORDS = r"regexp_extract_all(coalesce({}, ''), '\p{{L}}+')"
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'), p AS (SELECT a.conv_id, a.turn, a.text, {_WORDS.format("a.text")} AS w, {_WORDS.format("o.text")} AS o FROM a LEFT JOIN a o ON o.conv_id = a.conv_id + 1 AND o.turn = a.turn),
+c AS (SELECT conv_id, turn, text, array_to_string(CASE conv_id % 4 WHEN 0 THEN w[1:12] WHEN 1 THEN list_concat(w[1:12], ['9731']) WHEN 2 THEN list_concat(w[1:10], o[1:5]) ELSE o[1:12] END, ' ') AS claim FROM p),
+t AS (SELECT conv_id, turn, conv_id % 4 = 1 AS number, {_CONTENT.format("claim")} AS need, {_CONTENT.format("'Luật' || chr(10) || text")} AS have FROM c),
+e AS (SELECT conv_id, turn, CASE WHEN len(need) = 0 THEN 0 WHEN number OR len(list_intersect(need, have)) / len(need)::DOUBLE < CASE WHEN len(need) <= 3 THEN 1.0::DOUBLE ELSE 0.72::DOUBLE END THEN 1 ELSE 0 END AS errors FROM t)
+SELECT conv_id || ':' || turn AS question_id, errors = 0 AS grounded, errors FROM e""")
 def grounding_validate(spark, d):
-    """Answers taken from their evidence are grounded; the same with a number that the evidence lacks are not."""
-    rows = _asked(spark, d).withColumn("answer", F.concat(F.split("text", r"\. ")[0], F.when(F.length("text") % 2 == 0, " 9731 [1].").otherwise(" [1]."))).withColumn("n_evidence", F.lit(1))
-    return validate.validate_grounding(validate.validate_citations(rows)).select("question_id", "grounded", F.size("grounding_errors").alias("errors"))
+    """Answers of a turn's own words, of these and a number, of these and some of another conversation's, and of another
+    conversation's alone, each citing the turn's text."""
+    rows = _turns(spark, d)
+    others = rows.select((F.col("conv_id") - 1).alias("conv_id"), "turn", F.col("text").alias("_other"))
+    cut = lambda c: F.coalesce(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\p{L}+"), F.lit(0)), F.array().cast("array<string>"))
+    own, other, kind = cut("text"), cut("_other"), F.col("conv_id") % 4
+    said = F.when(kind == 0, F.slice(own, 1, 12)).when(kind == 1, F.concat(F.slice(own, 1, 12), F.array(F.lit("9731")))).when(kind == 2, F.concat(F.slice(own, 1, 10), F.slice(other, 1, 5))).otherwise(F.slice(other, 1, 12))
+    answers = rows.join(others, ["conv_id", "turn"], "left").select(F.concat_ws(":", "conv_id", "turn").alias("question_id"), F.concat(F.array_join(said, " "), F.lit(" [1].")).alias("answer"))
+    asked = _asked(spark, d).join(answers, "question_id").withColumn("n_evidence", F.lit(1))
+    return validate.validate_grounding(validate.validate_citations(asked)).select("question_id", "grounded", F.size("grounding_errors").alias("errors"))
 
 
 @query()
@@ -473,7 +489,7 @@ def rouge_l(spark, d):
     return _pairs(spark, d).select("id", F.round(evaluate.rouge_l(F.col("hypothesis"), F.col("reference")), 9).alias("rouge_l"))
 
 
-_RECALL = f"""WITH {_bm25("b", 20)}, gold AS (SELECT question_id, b.doc_id, b.rank FROM b JOIN benchmark m ON m.item_id = question_id JOIN documents x ON x.doc_id = b.doc_id WHERE contains(x.text, m.text)),
+_RECALL = f"""WITH {_bm25("b", 20)}, gold AS (SELECT m.item_id AS question_id, x.doc_id, b.rank FROM benchmark m JOIN documents x ON contains(x.text, m.text) LEFT JOIN b ON b.question_id = m.item_id AND b.doc_id = x.doc_id),
 g AS (SELECT question_id, count(*) AS n, min(rank) AS r, count(*) FILTER (rank <= 1) AS a, count(*) FILTER (rank <= 5) AS e, count(*) FILTER (rank <= 20) AS z FROM gold GROUP BY question_id)"""
 
 
@@ -494,7 +510,7 @@ def mrr(spark, d):
     return evaluate.recall_at(*_gold(spark, d)).agg(F.round(evaluate.mean_reciprocal_rank(F.col("first_hit_rank")), 9).alias("mrr"), F.count("*").alias("questions"))
 
 
-@query("""SELECT event_type, user_id, count(value) AS n, round_even(avg(value), 4) AS mean, round_even(quantile_cont(value, 0.5), 4) AS median, round_even(min(value), 4) AS min, round_even(max(value), 4) AS max,
+@query("""SELECT event_type, user_id, count(value) AS n, round_even(sum(value::DECIMAL(30, 10))::DOUBLE / count(value), 4) AS mean, round_even(quantile_cont(value, 0.5), 4) AS median, round_even(min(value), 4) AS min, round_even(max(value), 4) AS max,
 round_even(list(value ORDER BY value)[round_even(0.95 * (count(value) - 1), 0)::BIGINT + 1], 4) AS p95 FROM events WHERE value IS NOT NULL GROUP BY ALL""")
 def latency_summary(spark, d):
     return evaluate.latency_summary(table(spark, d, "events").where("value is not null"), ["event_type", "user_id"], "value")
