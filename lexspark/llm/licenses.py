@@ -6,22 +6,25 @@ exactly. An automaton over all pieces finds these places, and the regex library
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import small_batches, table, text_or_empty
+from lexspark.llm.common import slices, small_batches, table, text_or_empty
 
 
 @dataclass(frozen=True)
 class Notice:
-    """A notice in lower-case words; `edits` it may carry; `key` must stand in it as it is (it tells similar notices apart)."""
+    """A notice in lower-case words; `edits` it may carry; `key` is the part that tells similar notices apart, and may carry
+    few of them (see _key_holds)."""
 
     label: str
     words: str
@@ -49,9 +52,32 @@ MATCHES = "array<struct<label:string,first_word:bigint,last_word:bigint,edits:in
 _struct = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int32()), ("base", pa.bool_())]))
 
 
+def distance(a: str, b: str) -> int:
+    """The least number of insertions, deletions and substitutions of characters between two short strings."""
+    row = [*range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _key_holds(notice: Notice, m: regex.Match) -> bool:
+    """Whether the key carries at most one edit for every three of its characters, so that no other name passes for it."""
+    return not notice.key or distance(m["key"], notice.key) <= len(notice.key) // 3
+
+
+def _pattern(notice: Notice):
+    """The whole notice with at most its edits; what stands for its key is a group."""
+    literal = lambda text: regex.escape(text, literal_spaces=True)
+    before, _, after = notice.words.partition(notice.key) if notice.key else (notice.words, "", "")
+    key = f"(?P<key>{literal(notice.key)})" if notice.key else ""
+    return regex.compile(rf"(?b)\b(?:{literal(before)}{key}{literal(after)}){{e<={notice.edits}}}\b")
+
+
 @cache
 def _automaton(notices: tuple[Notice, ...]):
-    """Pieces of all notices, each with its notice and place, and a pattern for each notice."""
+    """Pieces of all notices, each with its notice and place (null without notices), and a pattern for each notice."""
     found = ahocorasick.Automaton()
     pieces: dict[str, list[tuple[int, int]]] = {}
     for i, notice in enumerate(notices):
@@ -60,27 +86,38 @@ def _automaton(notices: tuple[Notice, ...]):
             pieces.setdefault(notice.words[a:b], []).append((i, a))
     for piece, places in pieces.items():
         found.add_word(piece, (len(piece), places))
-    found.make_automaton()
-    return found, [regex.compile(rf"(?b)\b(?:{regex.escape(n.words, literal_spaces=True)}){{e<={n.edits}}}\b") for n in notices]
+    if pieces:
+        found.make_automaton()
+    return found if pieces else None, [_pattern(n) for n in notices]
 
 
 def scan(text: str, notices: tuple[Notice, ...] = NOTICES, phrases: dict[str, str] = PHRASES) -> tuple[int, list[dict]]:
-    """The number of words of a text, and its matches: label, first and last word (from 0), edits, whether a base phrase."""
+    """The number of words of a text, and its matches: label, first and last word (from 0), edits, whether a base phrase.
+
+    A text whose seeds all stand far apart takes linear time; every place that a seed points to is verified once.
+    """
     words = text.encode("utf-8", "surrogatepass").lower().translate(_blanks).split()
     line = b" ".join(words)
     out = []
-    if b"license" in line:
-        padded = b" " + line + b" "
-        for phrase, label in phrases.items():
-            sought, at = f" {phrase} ".encode(), -1
-            while (at := padded.find(sought, at + 1)) >= 0:
-                first = padded.count(b" ", 0, at)
-                out.append({"label": label, "first_word": first, "last_word": first + phrase.count(" "), "edits": 0, "base": True})
+    blanks: list[int] | None = None
+
+    def word_at(place: int) -> int:
+        nonlocal blanks
+        if blanks is None:
+            blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32).tolist()
+        return bisect_left(blanks, place)
+
+    padded = b" " + line + b" "
+    for phrase, label in phrases.items():
+        sought, at = f" {phrase} ".encode(), -1
+        while (at := padded.find(sought, at + 1)) >= 0:
+            first = word_at(at)
+            out.append({"label": label, "first_word": first, "last_word": first + phrase.count(" "), "edits": 0, "base": True})
     automaton, patterns = _automaton(notices)
     plain = line.decode("latin-1")
     tried: list[set] = [set() for _ in notices]
     windows: list[list[tuple[int, int]]] = [[] for _ in notices]
-    for end, (length, places) in automaton.iter(plain):
+    for end, (length, places) in automaton.iter(plain) if automaton is not None else ():
         for i, offset in places:
             start, k = end + 1 - length - offset, notices[i].edits
             if (start // 8) not in tried[i]:
@@ -89,12 +126,11 @@ def scan(text: str, notices: tuple[Notice, ...] = NOTICES, phrases: dict[str, st
     for i, notice in enumerate(notices):
         spans = set()
         for a, b in windows[i]:
-            if notice.key and notice.key not in plain[a:b]:
-                continue
             m = patterns[i].search(plain, a, min(b, len(plain)))
-            if m and notice.key in m[0] and m.span() not in spans:
+            if m and _key_holds(notice, m) and m.span() not in spans:
                 spans.add(m.span())
-                first = plain.count(" ", 0, m.start())
+                start = m.start() + (len(m[0]) - len(m[0].lstrip()))
+                first = word_at(start)
                 out.append({"label": notice.label, "first_word": first, "last_word": first + m[0].strip().count(" "), "edits": sum(m.fuzzy_counts), "base": False})
     return len(words), sorted(out, key=lambda m: (m["first_word"], not m["base"], m["label"], m["last_word"]))
 
@@ -108,7 +144,7 @@ def license_matches(documents: DataFrame, notices: tuple[Notice, ...] = NOTICES)
     rest = [c for c in documents.columns if c not in ("n_words", "matches", "text")]
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 256):
             found = [scan(t, notices) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in rest), pa.array([n for n, _ in found], pa.int64()), pa.array([m for _, m in found], _struct)], names=[*rest, "n_words", "matches"]

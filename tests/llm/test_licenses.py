@@ -68,3 +68,54 @@ def test_query(spark, data):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base(texts[r.doc_id])
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
         assert 0 <= r.score <= 1
+
+
+def least_edits(notice, line):
+    """The least edit distance of a notice to any part of a line (dynamic programming over all parts)."""
+    row = [0] * (len(line) + 1)
+    for i, x in enumerate(notice, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(line, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return min(row)
+
+
+def test_notices_against_brute_force():
+    rng = random.Random(7)
+    for _ in range(150):
+        notice = rng.choice(licenses.NOTICES)
+        chars = list(notice.words)
+        key = notice.words.find(notice.key) if notice.key else -1
+        for _ in range(rng.randrange(0, notice.edits + 3)):
+            at = rng.randrange(1, len(chars) - 1)
+            if key < 0 or not key <= at < key + len(notice.key):
+                chars[at] = rng.choice([" ", "", "q", "qz"])
+        text = "one two " + "".join(chars) + " three four"
+        line = " ".join(re.findall("[a-z0-9]+", text))
+        found = [m for m in licenses.scan(text)[1] if not m["base"] and m["label"] == notice.label]
+        for other in licenses.NOTICES:
+            if least_edits(other.words, line) > other.edits:
+                assert not any(m["label"] == other.label for m in licenses.scan(text, (other,), {})[1])
+        if least_edits(notice.words, line) == 0:
+            assert found
+
+
+def test_keys_may_carry_few_edits():
+    assert labels("Released under the MLT license") == {"mit"} and labels("released under the bsd license") == set()
+    assert labels("licensed under the gnv general public license") == {"gpl"}
+    assert labels("licensed under cc by nd 4.0") == set()
+
+
+def test_own_phrases_and_no_notices():
+    assert licenses.scan("foo bar baz", (), {"foo bar": "x"}) == (3, [{"label": "x", "first_word": 0, "last_word": 1, "edits": 0, "base": True}])
+
+
+def test_many_notices_take_linear_time():
+    import time
+
+    times = []
+    for n in (500, 4000):
+        began = time.process_time()
+        assert len(licenses.scan("released under the mit license " * n)[1]) == 2 * n
+        times.append(time.process_time() - began)
+    assert times[1] < 20 * times[0]
