@@ -16,4 +16,4 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_license_scan": licenses.op10_license_scan,
 }
-SQL: dict[str, str] = {"op2_jaccard": jaccard.SQL}
+SQL: dict[str, str] = {"op1_chat_format": chat.SQL, "op2_jaccard": jaccard.SQL, "op3_embeddings": vectors.SQL}

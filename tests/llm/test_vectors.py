@@ -1,6 +1,9 @@
 """Embedding near-dedup against brute force."""
 
+import duckdb
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from lexspark.llm import vectors
 
@@ -41,7 +44,7 @@ def rows_of(dim=32):
 def test_links(spark):
     rows = rows_of()
     for block in (512, 7):
-        config = vectors.CapConfig(directions=64, bound=2.2, block=block)
+        config = vectors.CapConfig(block=block)
         got = {r.vec_id: r for r in vectors.cosine_components(spark.createDataFrame(rows, KIND).repartition(4), config).collect()}
         want = brute(rows, 0.98)
         assert len(got) == len(rows)
@@ -58,3 +61,48 @@ def test_repeated_ids_and_empty(spark):
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.cosine_components(rows).collect())
     assert got == [(0, 2, 0, True), (1, 2, 0, False), (1, 2, 0, False)]
     assert vectors.cosine_components(spark.createDataFrame([], KIND)).count() == 0
+
+
+@pytest.mark.parametrize("dim", [8, 32, 64, 384])
+@pytest.mark.parametrize("vectors_there", [500, 200_000])
+def test_recall_of_the_defaults_just_above_the_threshold(dim, vectors_there):
+    """Pairs planted at a cosine of 0.9802, with the caps that a label of so many vectors gets."""
+    if dim * vectors_there > 2e7:
+        return
+    rng = np.random.default_rng(dim)
+    a = rng.normal(size=(300, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    r = rng.normal(size=(300, dim))
+    r -= (r * a).sum(axis=1, keepdims=True) * a
+    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    code = vectors.ProductCode(dim, vectors.CapConfig().fitted(vectors_there))
+    pairs = zip(code.decode(a), code.decode(0.9802 * a + np.sqrt(1 - 0.9802**2) * r))
+    assert np.mean([len(np.intersect1d(x, y)) > 0 for x, y in pairs]) > 0.9
+
+
+def test_needed_rows_are_those_of_some_pair():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        lists = [np.unique(rng.integers(0, 12, rng.integers(1, 5))) for _ in range(rng.integers(2, 9))]
+        side = rng.integers(0, 2, len(lists)).tolist()
+        number = 6
+        lists = [np.unique(np.r_[x, number]).astype(np.int64) for x in lists]
+        two = min(side) != max(side)
+        want = {
+            i for i, x in enumerate(lists) for j, y in enumerate(lists) if i != j and (not two or side[i] != side[j]) and np.intersect1d(x, y).min() == number
+        }
+        assert set(vectors._needed([x.tobytes() for x in lists], side, number)) == want
+
+
+def test_query_and_sql(spark, tmp_path):
+    rows = rows_of()
+    long = [(1000 + i, [float(np.float32(x)) for x in v], 5) for i, v in enumerate(np.random.default_rng(9).normal(size=(2, 20_000)))]
+    table = spark.createDataFrame(rows + long, KIND).withColumn("n_links", F.lit("clash")).withColumn("row", F.lit(1))
+    table.repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in vectors.op3_embeddings(spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT vec_id, embedding, label FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    names = [d[0] for d in con.execute(vectors.SQL).description]
+    want = sorted(tuple(dict(zip(names, r))[c] for c in ("vec_id", "n_links", "component_id", "kept")) for r in con.execute(vectors.SQL).fetchall())
+    assert got == want
+    assert {r[0]: r[1:3] for r in got if r[0] < 1000} == {i: (n, c) for i, (n, c) in brute(rows, 0.98).items()}
