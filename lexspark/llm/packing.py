@@ -6,6 +6,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,13 +101,23 @@ class Encoder:
         if len(self.known) > self.cached:
             self.known.clear()
         words = [[] if w else self.cut.findall(t) for t, w in zip(texts, whole)]
-        self._learn(list({w for c in words for w in c if w not in self.known}))
-        out = [b"".join(map(self.known.__getitem__, c)) for c in words]
+        found = [list(map(self.known.get, c)) for c in words]
+        unknown = [i for i, f in enumerate(found) if None in f]
+        self._learn(list({w for i in unknown for w, x in zip(words[i], found[i]) if x is None}))
+        for i in unknown:
+            found[i] = [self.known[w] if x is None else x for w, x in zip(words[i], found[i])]
+        out = [b"".join(f) for f in found]
         for i in (i for i, w in enumerate(whole) if w):
             out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
 
+@cache
+def _encoder(path: str) -> Encoder:
+    """One for each worker process, whose later tasks find the words that earlier ones have learned."""
+    return Encoder(path)
+
+
 def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, piece: int = 256, block: int = 512) -> DataFrame:
     """Packs documents (doc_id, text) into sequences; returns the pieces.
 
@@ -134,7 +145,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 1024, e
             number += n
             return out
 
-        encoder, last = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, last = _encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, 256):
             out: list[tuple] = []
             for key, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
@@ -153,7 +164,6 @@ def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 1024, e
                 yield as_batch(out)
         if waiting:
             yield as_batch(dealt(waiting))
-        del encoder
         give_back()
 
     return small_batches(documents).select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(packed, PIECES)
