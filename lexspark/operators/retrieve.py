@@ -25,11 +25,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None, apart: bool = False, query_block: int = 1024) -> DataFrame:
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None, apart: bool = False, query_block: int = 1024, slice_rows: int = 4096) -> DataFrame:
     """The k vectors (child_id, embedding) of the largest inner product for each query (question_id, embedding).
 
-    Exact: slices of the vectors meet blocks of queries, each meeting gives its k best as one matrix product, and these
-    few rows are ranked. `allowed` (question_id, child_id) restricts the vectors of a question before they are scored;
+    Exact: slices of about `slice_rows` vectors meet blocks of queries, each meeting gives its k best as one matrix product,
+    and these few rows are ranked. Slices and blocks don't grow with the data. `allowed` (question_id, child_id) restricts the vectors of a question before they are scored;
     `apart` leaves out the vector with the query's own id. k of zero or less gives no rows.
     """
     q = queries.select("question_id", F.col("embedding").alias("_query"))
@@ -39,7 +39,7 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFra
         if apart:
             pairs = pairs.where("child_id <> question_id")
         return top(pairs.select("question_id", "child_id", dot(F.col("embedding"), F.col("_query")).alias("score")), ["question_id"], "score", "child_id", k)
-    slices = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(1, -(-vectors.count() // slice_rows))
     blocks = max(1, -(-queries.count() // query_block))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -100,8 +100,11 @@ def bm25_top_k(queries: DataFrame, children: DataFrame, k: int, allowed: DataFra
     stats = every.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
     tokens = every.select("child_id", "length", F.posexplode("terms").alias("pos", "term"))
     met = tokens.join(wanted, "term")
-    starts = met.groupBy("child_id", "length", "key", "m", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("have"))
-    found = starts.where("have = m").groupBy("child_id", "length", "key").agg(F.count("*").alias("f"))
+    # single tokens are counted at once, before any shuffle; tokens of a phrase by the place at which the phrase would start
+    start = F.when(F.col("m") > 1, F.col("pos") - F.col("i"))
+    starts = met.groupBy("child_id", "length", "key", "m", start.alias("start")).agg(F.count("*").alias("have"))
+    whole = F.when(F.col("m") == 1, F.col("have")).when(F.col("have") == F.col("m"), 1)
+    found = starts.groupBy("child_id", "length", "key").agg(F.sum(whole).alias("f")).where("f > 0")
     holders = found.groupBy("key").agg(F.count("*").alias("holders"))
     idf = F.log((F.col("n_docs") - F.col("holders") + 0.5) / (F.col("holders") + 0.5))
     weights = asked.groupBy("question_id", "key").agg(F.count("*").alias("times")).join(holders, "key").join(F.broadcast(stats))
@@ -126,17 +129,36 @@ def fuse(lists: dict[str, DataFrame], k: int = 60, most: int = 30) -> DataFrame:
 
     A child's first place in a list counts; its score is the sum of 1 / (k + rank).
     """
-    if k <= 0:
-        raise ValueError("k must be positive")
     every = None
     for name, rows in lists.items():
-        first = rows.groupBy("question_id", "child_id").agg(F.min("rank").alias("rank"), F.max_by("score", -F.col("rank")).alias("score")).withColumn("list", F.lit(name))
-        every = first if every is None else every.unionByName(first)
-    raw = [F.max(F.when(F.col("list") == n, F.col("score"))).alias(f"{n}_score") for n in lists]
+        one = rows.select("question_id", "child_id", "rank", "score", F.lit(name).alias("list"))
+        every = one if every is None else every.unionByName(one)
+    return fuse_rows(every, list(lists), k, most)
+
+
+def fuse_rows(ranked: DataFrame, names: list[str], k: int = 60, most: int = 30) -> DataFrame:
+    """The same of one table of ranked lists, told apart by its column `list`."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    every = ranked.groupBy("question_id", "child_id", "list").agg(F.min("rank").alias("rank"), F.max_by("score", -F.col("rank")).alias("score"))
+    raw = [F.max(F.when(F.col("list") == n, F.col("score"))).alias(f"{n}_score") for n in names]
     summed = every.groupBy("question_id", "child_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 12).alias("score"), *raw)
     return top(summed, ["question_id"], "score", "child_id", most)
 
 
+def bm25_lists(rewrites: dict[str, DataFrame], children: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """BM25 for several rewrites of the questions at once: one pass over the texts. Adds `list`, the rewrite's name."""
+    every = None
+    for name, rows in rewrites.items():
+        one = rows.select(F.struct(F.lit(name).alias("list"), "question_id").alias("question_id"), "text")
+        every = one if every is None else every.unionByName(one)
+    if allowed is not None and "question_id" in allowed.columns:
+        names = F.explode(F.array(*map(F.lit, rewrites)))
+        allowed = allowed.withColumn("_list", names).select(F.struct(F.col("_list").alias("list"), "question_id").alias("question_id"), "child_id")
+    found = bm25_top_k(every, children, k, allowed)
+    return found.select(F.col("question_id.question_id").alias("question_id"), "child_id", "score", "rank", F.col("question_id.list").alias("list"))
+
+
 Scorer = Callable[[pd.Series, pd.Series], pd.Series]
 
 

@@ -278,11 +278,12 @@ _HALVES = {
 }
 
 
-def _rewrites(spark, d) -> dict[str, DataFrame]:
+def _rewrites(spark, d, *names: str) -> DataFrame:
     """Ranked lists of the whole question, of its first twelve words and of the others."""
-    q, c = questions(spark, d), children(spark, d)
+    q = questions(spark, d)
     part = lambda a, n: q.withColumn("text", F.array_join(F.slice(T.words(F.col("text")), a, n), " "))
-    return {"whole": retrieve.bm25_top_k(q, c, 20), "first": retrieve.bm25_top_k(part(1, 12), c, 20), "rest": retrieve.bm25_top_k(part(13, 52), c, 20)}
+    every = {"whole": q, "first": part(1, 12), "rest": part(13, 52)}
+    return retrieve.bm25_lists({n: every[n] for n in names}, children(spark, d), 20)
 
 
 def _fused(names: list[str], k: int = 30) -> str:
@@ -295,13 +296,14 @@ _LISTS = ", ".join([_bm25("whole", 20), _bm25("first", 20, _HALVES["first"]), _b
 
 @query(f"WITH {_LISTS} SELECT question_id, doc_id, rank, round(score, 9) AS score FROM ({_fused(['whole', 'first'])})")
 def rrf_fuse(spark, d):
-    lists = _rewrites(spark, d)
-    return ranked(retrieve.fuse({n: lists[n] for n in ("whole", "first")}), F.round("score", 9).alias("score"))
+    names = ["whole", "first"]
+    return ranked(retrieve.fuse_rows(_rewrites(spark, d, *names), names), F.round("score", 9).alias("score"))
 
 
 @query(f"WITH {_LISTS} SELECT question_id, doc_id, rank, round(score, 9) AS score FROM ({_fused(['whole', 'first', 'rest'])})")
 def rrf_multi_query(spark, d):
-    return ranked(retrieve.fuse(_rewrites(spark, d)), F.round("score", 9).alias("score"))
+    names = ["whole", "first", "rest"]
+    return ranked(retrieve.fuse_rows(_rewrites(spark, d, *names), names), F.round("score", 9).alias("score"))
 
 
 _SET = r"list_distinct(list_filter(regexp_split_to_array(lower({}.text), '[\s\x0b\x{{85}}\p{{Z}}]+'), lambda x: x <> ''))"
@@ -627,10 +629,11 @@ o AS (SELECT question_id, count(*) FILTER (w.rank <= 10 AND x.rank <= 10) / 10.0
 SELECT question_id, n_articles, n_documents, max_chunks_per_article, round(top1_article_share, 6) AS top1_article_share, dense_bm25_overlap FROM s LEFT JOIN o USING (question_id)""")
 def gate_features(spark, d):
     """Documents as chunks, their languages as documents and their sources as articles."""
-    lists = _rewrites(spark, d)
+    lists = _rewrites(spark, d, "whole", "first")
+    whole = lists.where("list = 'whole'").drop("list")
     where = docs(spark, d).select(F.col("doc_id").alias("child_id"), F.col("lang").alias("document"), F.col("source").alias("article"))
-    final = lists["whole"].join(where, "child_id")
-    named = lists["whole"].withColumn("list", F.lit("dense")).unionByName(lists["first"].withColumn("list", F.lit("bm25")))
+    final = whole.join(where, "child_id")
+    named = lists.withColumn("list", F.when(F.col("list") == "whole", "dense").otherwise("bm25"))
     rows = audits.gate_features(final, named, 10)
     return rows.select("question_id", "n_articles", "n_documents", "max_chunks_per_article", F.round("top1_article_share", 6).alias("top1_article_share"), "dense_bm25_overlap")
 
