@@ -173,14 +173,6 @@ def failure_class(stage: Column, has_identifier: Column, gold_lost: Column, scor
     )
 
 
-def class_rollup(rows: DataFrame, cls: str, score: str, words: str) -> DataFrame:
-    """Count, share, mean score and median length of each class."""
-    total = F.sum(F.count("*")).over(Window.partitionBy())
-    return rows.groupBy(cls).agg(
-        F.count("*").alias("n"), F.bround(100.0 * F.count("*") / total, 4).alias("percent"), F.bround(F.avg(score), 6).alias("mean_score"), F.expr(f"percentile({words}, 0.5)").alias("median_words")
-    )
-
-
 def verdict(before: Column, after: Column) -> Column:
     """What a reranker did to a question's evidence, from its first rank before and after (null: not in the list)."""
     return (

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions.answers import normalise_answer
+from lexspark.functions.text import words
 from lexspark.operators import validate
+from lexspark.sources import writers
 
 Provider = Callable[[pd.Series, pd.Series], pd.Series]
 
@@ -19,28 +21,61 @@ def extractive(question: pd.Series, evidence: pd.Series) -> pd.Series:
     return pd.Series([f"{str(e[0]['text']).split('. ')[0].strip().rstrip('.')} [1]." if e is not None and len(e) else "" for e in evidence])
 
 
-def generate_answers(questions: DataFrame, provider: Provider = extractive, repair: Provider | None = None, require_citation: bool = True) -> DataFrame:
-    """Answers to questions (question_id, text, evidence: array of structs with text), validated, repaired at most once.
+def _guarded(provider: Provider):
+    """The provider as a column of (answer, error): where a batch fails its questions are asked one by one, so that one
+    failure costs one answer."""
 
-    Questions whose evidence has no text get the abstention. Returns question_id, answer, abstained, repaired, grounded,
-    grounding_errors and the columns of the citation check.
-    """
+    @F.pandas_udf("answer string, error string")
+    def generated(question: pd.Series, evidence: pd.Series) -> pd.DataFrame:
+        try:
+            answers, errors = list(provider(question, evidence)), [None] * len(question)
+        except Exception:
+            answers, errors = [], []
+            for i in range(len(question)):
+                try:
+                    answers.append(provider(question.iloc[i : i + 1], evidence.iloc[i : i + 1]).iloc[0])
+                    errors.append(None)
+                except Exception as failure:
+                    answers.append(None)
+                    errors.append(f"{type(failure).__name__}: {failure}")
+        return pd.DataFrame({"answer": pd.Series(answers, dtype=object), "error": pd.Series(errors, dtype=object)})
+
+    return generated("text", "evidence")
+
+
+def repair_prompt(question: Column, answer: Column, errors: Column, evidence: Column, fields: tuple[str, ...] = ("document_name", "article", "clause", "point", "source_link")) -> Column:
+    """What a repair is asked: the question, the answer and its errors, and the evidence with its fields, numbered."""
+    numbered = F.transform(evidence, lambda e, i: F.concat_ws("\n", F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]")), *[F.when(e[f] != "", F.concat(F.lit(f"{f}: "), e[f])) for f in fields], e["text"]))
+    return F.concat_ws("\n\n", question, answer, F.array_join(errors, "\n"), F.array_join(numbered, "\n\n"))
 
-    def run(p: Provider):
-        @F.pandas_udf("string")
-        def generated(question: pd.Series, evidence: pd.Series) -> pd.Series:
-            return p(question, evidence).astype(object)
 
-        return generated("text", "evidence")
+def failures(answers: DataFrame) -> DataFrame:
+    """(question_id, error, failure): the log of questions that got no answer."""
+    return answers.where("error is not null").select("question_id", "error", writers.failure_type(F.col("error")).alias("failure"))
 
+
+def generate_answers(
+    questions: DataFrame, provider: Provider = extractive, repair: Provider | None = None, require_citation: bool = True, repair_tokens: int = 192
+) -> DataFrame:
+    """Answers to questions (question_id, text, evidence: array of structs with text), validated, repaired at most once.
+
+    Questions whose evidence has no text get the abstention; where the provider fails the answer is null and `error` says
+    why. A repaired answer ends after `repair_tokens` words. Returns question_id, answer, error, abstained, repaired,
+    grounded, grounding_errors and the columns of the citation check.
+    """
     abstain = validate.should_abstain(F.col("evidence.text"))
-    rows = questions.withColumn("abstained", abstain).withColumn("answer", F.when(F.col("abstained"), validate.ABSTENTION).otherwise(run(provider)))
+    made = questions.withColumn("abstained", abstain).withColumn("_made", _guarded(provider))
+    answer = F.when(F.col("abstained"), validate.ABSTENTION).otherwise(F.col("_made.answer"))
+    rows = made.withColumn("answer", answer).withColumn("error", F.when(~F.col("abstained"), F.col("_made.error"))).drop("_made")
     checked = validate.validate_grounding(validate.validate_citations(rows.withColumn("n_evidence", F.size("evidence")), require_citation))
     if repair is None:
         return checked.withColumn("repaired", F.lit(False))
-    again = ~F.col("abstained") & validate.repair_eligible(F.col("grounding_errors"))
+    again = ~F.col("abstained") & F.col("error").isNull() & validate.repair_eligible(F.col("grounding_errors"))
     columns = rows.columns
-    fixed = checked.where(again).select(columns).withColumn("answer", run(repair))
+    fixed = checked.where(again).select(columns).withColumn("_made", _guarded(repair))
+    short = F.array_join(F.slice(words(F.col("_made.answer")), 1, repair_tokens), " ")
+    long = F.size(words(F.col("_made.answer"))) > repair_tokens
+    fixed = fixed.withColumn("answer", F.when(long, short).otherwise(F.col("_made.answer"))).withColumn("error", F.col("_made.error")).drop("_made")
     fixed = validate.validate_grounding(validate.validate_citations(fixed.withColumn("n_evidence", F.size("evidence")), require_citation))
     return checked.where(~again).withColumn("repaired", F.lit(False)).unionByName(fixed.withColumn("repaired", F.lit(True)))
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lexspark.plans import catalog
+from lexspark.plans import catalog, reports  # noqa: F401  (registers more queries)
 
 
 def rows_of(columns, rows):
