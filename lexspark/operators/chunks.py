@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,61 +21,69 @@ CLAUSE = r"(?m)^\s*(\d+)\s*[.)]\s+(.+)$"
 POINT = r"(?im)^\s*([a-zđ])\s*[.)]\s+(.+)$"
 
 _HEADINGS = {kind: re.compile(p) for kind, p in (("chapter", CHAPTER), ("section", SECTION), ("article", ARTICLE), ("clause", CLAUSE), ("point", POINT))}
-UNITS = (
-    "article_position int, article_number string, article_title string, article_text string, chapter string, section string, "
-    "clause_position int, clause_number string, point_position int, point_label string, unit_text string"
+UNIT = "clause_position int, clause_number string, point_position int, point_label string, unit_text string"
+ARTICLES = (
+    "document_id long, article_position int, article_number string, article_title string, article_text string, chapter string, section string, "
+    f"units array<struct<{', '.join(f.replace(' ', ':') for f in UNIT.split(', '))}>>"
 )
+_units_type = pa.list_(pa.struct([(n, {"int": pa.int32(), "string": pa.string()}[t]) for n, t in (f.split(" ") for f in UNIT.split(", "))]))
 
 
-def _spans(kind: str, text: str) -> Iterator[tuple[re.Match, str]]:
-    """Each heading of a kind with the stripped text up to the next one."""
-    found = [*_HEADINGS[kind].finditer(text)]
-    for m, after in zip(found, [*(m.start() for m in found[1:]), len(text)]):
-        yield m, text[m.start() : after].strip()
+def _parts(kind: str, text: str) -> list[tuple[str, str, str]]:
+    """(number, title, text) of each heading of a kind; its text goes up to the next one, stripped."""
+    marks = list(_HEADINGS[kind].finditer(text))
+    ends = [m.start() for m in marks[1:]] + [len(text)]
+    return [(m[1], m[2].strip(), text[m.start() : end].strip()) for m, end in zip(marks, ends)]
 
 
-def _label(word: str, m: re.Match | None) -> str | None:
-    return None if m is None else " ".join(x for x in (word, m[1], m[2].strip()) if x)
+def _unit_rows(article: str) -> list[dict]:
+    """An article's points, and its clauses without points."""
+    out = []
+    for i, (number, _, clause) in enumerate(_parts("clause", article)):
+        points = [(j, label, text) for j, (label, _, text) in enumerate(_parts("point", clause))] or [(None, None, clause)]
+        out += [{"clause_position": i, "clause_number": number, "point_position": j, "point_label": label, "unit_text": text} for j, label, text in points]
+    return out
 
 
-def _units(text: str) -> Iterator[tuple]:
-    """The rows of one document: a row per point, else per clause, else per article."""
-    marks = {kind: [*_HEADINGS[kind].finditer(text)] for kind in ("chapter", "section")}
-    for i, (m, body) in enumerate(_spans("article", text)):
-        before = {kind: max((x for x in found if x.start() < m.start()), key=re.Match.start, default=None) for kind, found in marks.items()}
-        chapter, section = before["chapter"], before["section"]
-        if section and chapter and section.start() <= chapter.start():
-            section = None
-        head = (i, m[1], m[2].strip() or None, body, _label("Chương", chapter), _label("Mục", section))
-        empty = True
-        for j, (clause, clause_text) in enumerate(_spans("clause", body)):
-            points = [*_spans("point", clause_text)]
-            for k, (point, point_text) in enumerate(points):
-                yield (*head, j, clause[1], k, point[1], point_text)
-            if not points:
-                yield (*head, j, clause[1], None, None, clause_text)
-            empty = False
-        if empty:
-            yield (*head, None, None, None, None, None)
+def _article_rows(text: str) -> list[tuple]:
+    """The articles of one document, each with the chapter and section it stands in and its units; the text stands once."""
+    upper = {}
+    for kind, word in (("chapter", "Chương"), ("section", "Mục")):
+        marks = list(_HEADINGS[kind].finditer(text))
+        upper[kind] = [m.start() for m in marks], [f"{word} {m[1]} {m[2].strip()}".rstrip() for m in marks]
+    starts = [m.start() for m in _HEADINGS["article"].finditer(text)]
+    out = []
+    for i, (start, (number, title, body)) in enumerate(zip(starts, _parts("article", text))):
+        at = {kind: bisect_left(places, start) - 1 for kind, (places, _) in upper.items()}
+        chapter = upper["chapter"][1][at["chapter"]] if at["chapter"] >= 0 else None
+        inside = at["section"] >= 0 and (chapter is None or upper["section"][0][at["section"]] > upper["chapter"][0][at["chapter"]])
+        out.append((i, number, title or None, body, chapter, upper["section"][1][at["section"]] if inside else None, _unit_rows(body)))
+    return out
 
 
-def legal_units(documents: DataFrame) -> DataFrame:
-    """Articles, clauses and points of documents (document_id, text), one row for each smallest unit.
+def legal_articles(documents: DataFrame) -> DataFrame:
+    """Articles of documents (document_id, text), one row each, with their clauses and points as an array.
 
     Documents without an article have no rows. The text before the first article belongs to none; a chapter or section
     counts for the articles after it, a section only within its chapter. Null texts have no rows.
     """
+    names = [f.split(" ")[0] for f in ARTICLES.split(", units")[0].split(", ")] + ["units"]
+    kinds = [pa.int64(), pa.int32(), *[pa.string()] * 5, _units_type]
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["document_id", *(x.split()[0] for x in UNITS.split(", "))]
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(key, *unit) for key, text in zip(batch["document_id"], batch["text"]) for unit in _units(text or "")]
-            out = pd.DataFrame(rows, columns=names)
-            for c in ("article_position", "clause_position", "point_position"):
-                out[c] = out[c].astype("Int32")
-            yield out
+            for low in range(0, len(batch), 256):
+                part = batch.slice(low, 256)
+                rows = [(key, *article) for key, text in zip(*(c.to_pylist() for c in part.columns)) for article in _article_rows(text)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return documents.select(F.col("document_id").cast("long"), "text").where("text is not null").mapInPandas(extract, f"document_id long, {UNITS}")
+    return documents.select(F.col("document_id").cast("long"), "text").where("text is not null").mapInArrow(extract, ARTICLES)
+
+
+def legal_units(documents: DataFrame) -> DataFrame:
+    """The articles, clauses and points of documents, one row for each smallest unit, as legal_articles finds them."""
+    return legal_articles(documents).drop("article_text").select("*", F.explode_outer("units").alias("_u")).select("*", "_u.*").drop("units", "_u")
 
 
 def _ordered_articles(units: DataFrame) -> DataFrame:
@@ -93,10 +102,6 @@ def _ordered_articles(units: DataFrame) -> DataFrame:
     return keyed.withColumn("article_order", rank).drop("_chapter_first", "_section_first")
 
 
-def _exploded(column: Column) -> Column:
-    return F.explode(column)
-
-
 def parent_child_chunks(documents: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """Parent chunks and child chunks of documents (document_id, document_name, source_link, text).
 
@@ -104,12 +109,8 @@ def parent_child_chunks(documents: DataFrame, settings: Settings = Settings()) -
     windows of the parent where it is longer than parent_max_tokens or has no such units. An article between target and
     maximum gives two parents with the full set of units each. Documents without articles are cut into windows.
     """
-    units = _ordered_articles(legal_units(documents))
+    articles = _ordered_articles(legal_articles(documents))
     size, overlap = settings.child_target_tokens, settings.child_overlap_tokens
-    articles = units.groupBy("document_id", "article_position").agg(
-        *[F.first(c).alias(c) for c in ("article_number", "chapter", "section", "article_text", "article_order")],
-        F.array_sort(F.collect_list(F.when(F.col("unit_text").isNotNull(), F.struct("clause_position", F.coalesce("point_position", F.lit(-1)).alias("p"), "clause_number", "point_label", "unit_text")))).alias("units"),
-    )
     whole = documents.join(articles.select("document_id").distinct(), "document_id", "left_anti").select("document_id", F.col("text").alias("article_text"))
     sources = articles.withColumn("article", F.concat(F.lit("Điều "), "article_number")).unionByName(whole, allowMissingColumns=True)
     sources = sources.join(documents.select("document_id", "document_name", "source_link"), "document_id")
