@@ -429,7 +429,11 @@ SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, t.c AS component_id FROM
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays, and all documents outside groups."""
+    """Of each group of near copies the document with the smallest doc_id stays, and all documents outside groups.
+
+    Rows that repeat a doc_id are one document: they stay or go together. Rows without a doc_id stay, and so do null and
+    empty texts. Columns stay as they are, whatever their names.
+    """
     found = jaccard_components(docs.select("doc_id", "text"))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

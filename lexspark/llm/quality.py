@@ -192,13 +192,9 @@ def train(texts: list[str], labels: list[int], prior: float, config: SubwordConf
     return SubwordModel(logits[: config.buckets], logits[config.buckets :], float(bias), config)
 
 
-def score_quality(documents: DataFrame, model: SubwordModel, column: str = "quality_score", rows: int = 128) -> DataFrame:
-    """Adds the probability of label 1 for every whole text of documents with a text column.
-
-    Null, empty and blank texts get the score of the bias alone. Other columns and rows stay; a clashing column of the
-    same name is replaced. Texts become words `rows` at a time; only scores come back from Python.
-    """
-    shipped = documents.sparkSession.sparkContext.broadcast(model)
+def quality_of(documents: DataFrame, model: SubwordModel, rows: int = 128) -> Column:
+    """The probability of label 1 of each text of documents, as a column of theirs; texts become words `rows` at a time."""
+    shipped = small_batches(documents).sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -209,7 +205,16 @@ def score_quality(documents: DataFrame, model: SubwordModel, column: str = "qual
         del own
         give_back()
 
-    return small_batches(documents).withColumn(column, score(text_or_empty()))
+    return score(text_or_empty())
+
+
+def score_quality(documents: DataFrame, model: SubwordModel, column: str = "quality_score") -> DataFrame:
+    """Adds the probability of label 1 for every whole text of documents with a text column.
+
+    Null, empty and blank texts get the score of the bias alone. Other columns and rows stay; a clashing column of the
+    same name is replaced. Only scores come back from Python.
+    """
+    return documents.withColumn(column, quality_of(documents, model))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -256,6 +261,5 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose quality score is at least the threshold."""
-    columns = docs.columns
-    return score_quality(docs, quality_model(spark, docs, sf_dir), "_quality").where(F.col("_quality") >= THRESHOLD).select(columns)
+    """Keeps the documents whose quality score is at least the threshold; columns stay as they are, whatever their names."""
+    return docs.where(quality_of(docs, quality_model(spark, docs, sf_dir)) >= THRESHOLD)

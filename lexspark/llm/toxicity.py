@@ -18,7 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm.common import give_back, small_batches, table, text_or_empty
@@ -236,13 +236,9 @@ class Scorer:
         return self.model.predict(sums)
 
 
-def score_toxicity(documents: DataFrame, fitted: ToxicityChain, rows: int = 128) -> DataFrame:
-    """Adds one probability p_<category> for each category to documents with a text column.
-
-    Whole texts count; null, empty and wordless texts get the biases alone. Other columns and rows stay; clashing columns
-    are replaced. Texts become words `rows` at a time; only probabilities come back from Python.
-    """
-    shipped = documents.sparkSession.sparkContext.broadcast(fitted)
+def toxicity_of(documents: DataFrame, fitted: ToxicityChain, rows: int = 128) -> Column:
+    """The probabilities p_<category> of each text of documents, as one struct column; texts become words `rows` at a time."""
+    shipped = small_batches(documents).sparkSession.sparkContext.broadcast(fitted)
     names = [f"p_{n}" for n in fitted.names]
 
     @F.arrow_udf(", ".join(f"{n} double" for n in names))
@@ -254,8 +250,18 @@ def score_toxicity(documents: DataFrame, fitted: ToxicityChain, rows: int = 128)
         del own
         give_back()
 
+    return scored(text_or_empty())
+
+
+def score_toxicity(documents: DataFrame, fitted: ToxicityChain) -> DataFrame:
+    """Adds one probability p_<category> for each category to documents with a text column.
+
+    Whole texts count; null, empty and wordless texts get the biases alone. Other columns and rows stay; clashing columns
+    are replaced. Only probabilities come back from Python.
+    """
+    names = [f"p_{n}" for n in fitted.names]
     rest = [c for c in documents.columns if c not in names]
-    done = small_batches(documents).select(*rest, scored(text_or_empty()).alias("_p"))
+    done = documents.select(*rest, toxicity_of(documents, fitted).alias("_p"))
     return done.select(*rest, *(F.col("_p")[n].alias(n) for n in names))
 
 
@@ -277,6 +283,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that don't count as toxic."""
-    columns = docs.columns
-    return score_toxicity(docs, toxicity_chain(spark, docs, sf_dir)).where(F.col("p_toxic") < THRESHOLD).select(columns)
+    """Keeps the documents that don't count as toxic; columns stay as they are, whatever their names."""
+    return docs.where(toxicity_of(docs, toxicity_chain(spark, docs, sf_dir))["p_toxic"] < THRESHOLD)
