@@ -25,7 +25,9 @@ def parse_contexts(files: DataFrame) -> DataFrame:
     raw = files.select("path", F.sha2("content", 256).alias("checksum"), text.alias("raw")).withColumn("r", F.from_json("raw", _RECORD))
     kind = lambda k: F.get_json_object("raw", f"$.{k}")
     wrong = lambda k: F.col(f"r.{k}").isNull() & kind(k).isNotNull()
-    quoted = lambda k: F.col("raw").rlike(rf'"{k}"\s*:\s*[\[{{0-9tf-]')
+    # the type of a key of the record itself; keys of the same name inside other values don't matter
+    at = lambda k: F.try_variant_get(F.try_parse_json("raw"), f"$.{k}", "variant")
+    quoted = lambda k: ~F.coalesce(F.schema_of_variant(at(k)), F.lit("VOID")).isin("STRING", "VOID")
     error = (
         F.when(F.col("r").isNull() | (F.trim("raw") == "") | ~F.ltrim("raw").startswith("{"), "the file is not a JSON object")
         .when(F.col("r.id").isNull(), "id is missing or not an integer")

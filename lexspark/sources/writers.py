@@ -100,7 +100,8 @@ class IndexVersions:
         self._write("CURRENT", version)
 
     def current(self) -> str | None:
-        name = (self._read("CURRENT") or "").strip()
+        # the new file alone is there if the driver was lost while CURRENT was being replaced
+        name = (self._read("CURRENT") or self._read("CURRENT.new") or "").strip()
         manifest = self.manifest(name) if name else None
         return name if manifest and manifest["status"] == "ready" else None
 

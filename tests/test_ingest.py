@@ -44,7 +44,7 @@ def test_stream(spark, tmp_path):
     assert versions.read(versions.current(), "children").count() == 8
 
 
-@pytest.mark.parametrize("record, bad", [({"id": 1, "link": "l"}, False), ({"id": "1", "link": "l"}, True), ({"id": 1, "link": ""}, True), ({"id": 1, "link": "l", "name": 5}, True), ([1], True)])
+@pytest.mark.parametrize("record, bad", [({"id": 1, "link": "l"}, False), ({"id": "1", "link": "l"}, True), ({"id": 1, "link": ""}, True), ({"id": 1, "link": "l", "name": 5}, True), ({"id": 1, "link": "l", "x": {"name": 5, "passage": []}}, False), ([1], True)])
 def test_strict_records(spark, tmp_path, record, bad):
     (tmp_path / "context_1.json").write_text(json.dumps(record))
     row = readers.read_contexts(spark, str(tmp_path)).first()
