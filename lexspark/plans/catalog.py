@@ -82,13 +82,20 @@ def chunk_adjacency(spark, d):
     return linked.select(F.col("document_id").alias("doc_id"), F.col("position").cast("long").alias("position"), "previous_child_id", "next_child_id")
 
 
-@query("""
-SELECT 'orphan_parents' AS rule, count(*) AS violations FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON o_custkey = c_custkey WHERE c_custkey IS NULL
-UNION ALL SELECT 'orphan_children', count(*) FROM orders LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus <> 'F') ON o_custkey = k WHERE k IS NULL
-UNION ALL SELECT 'dangling_previous', 0 UNION ALL SELECT 'dangling_next', 0 UNION ALL SELECT 'broken_links', 0""")
+@query("""WITH c AS (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS id, o_custkey AS p, lag(o_orderkey::VARCHAR) OVER w AS prev, lead(o_orderkey::VARCHAR) OVER w AS next, o_orderstatus FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+b AS (SELECT id, p, o_orderstatus, CASE WHEN k % 11 = 0 THEN 'gone' ELSE prev END AS prev, CASE WHEN k % 13 = 0 THEN 'gone' WHEN k % 17 = 0 THEN id ELSE next END AS next FROM c)
+SELECT 'orphan_parents' AS rule, count(*) AS violations FROM (SELECT DISTINCT p FROM b) LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON p = c_custkey WHERE c_custkey IS NULL
+UNION ALL SELECT 'orphan_children', count(*) FROM b LEFT JOIN (SELECT DISTINCT p AS q FROM b WHERE o_orderstatus <> 'F') ON p = q WHERE q IS NULL
+UNION ALL SELECT 'dangling_previous', count(*) FROM b WHERE prev IS NOT NULL AND prev NOT IN (SELECT id FROM b)
+UNION ALL SELECT 'dangling_next', count(*) FROM b WHERE next IS NOT NULL AND next NOT IN (SELECT id FROM b)
+UNION ALL SELECT 'broken_links', (SELECT count(*) FROM b x JOIN b y ON x.next = y.id WHERE y.p <> x.p OR y.prev IS DISTINCT FROM x.id) + (SELECT count(*) FROM b x JOIN b y ON x.prev = y.id WHERE y.p <> x.p OR y.next IS DISTINCT FROM x.id)""")
 def chunk_integrity(spark, d):
+    """Orders as children of their customers, with links that some of them have lost or mixed up."""
     orders = table(spark, d, "orders")
-    children = chunks.adjacency(orders.select(F.col("o_orderkey").cast("string").alias("child_id"), F.col("o_custkey").alias("parent_id"), F.col("o_orderkey").alias("position")))
+    linked = chunks.adjacency(orders.select(F.col("o_orderkey").cast("string").alias("child_id"), F.col("o_custkey").alias("parent_id"), F.col("o_orderkey").alias("position")))
+    k = F.col("position")
+    children = linked.withColumn("previous_child_id", F.when(k % 11 == 0, "gone").otherwise(F.col("previous_child_id")))
+    children = children.withColumn("next_child_id", F.when(k % 13 == 0, "gone").when(k % 17 == 0, F.col("child_id")).otherwise(F.col("next_child_id")))
     customers = table(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("document_id"))
     all_parents = orders.select(F.col("o_custkey").alias("parent_id"), F.col("o_custkey").alias("document_id")).distinct()
     some_parents = orders.where("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("parent_id")).distinct()
@@ -159,13 +166,15 @@ def slug_fold(spark, d):
     return docs(spark, d).select("doc_id", T.fold(F.col("text")).alias("folded"))
 
 
-@query(f"""WITH {_PASSAGES} SELECT o_orderkey AS question_id, true AS applied, false AS ambiguous, false AS empty_lookup, (SELECT count(*) FROM clauses WHERE l_orderkey = o_orderkey) AS matched FROM arts
-UNION ALL SELECT o_orderkey, false, false, true, 0 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
+@query(f"""WITH {_PASSAGES}, q AS (SELECT o_orderkey, o_orderkey IN (SELECT l_orderkey FROM lineitem) AS hit, o_orderkey % 2 = 0 OR o_custkey <= 99999 AS sure FROM orders)
+SELECT o_orderkey AS question_id, hit AND sure AS applied, false AS ambiguous, sure AND NOT hit AS empty_lookup, CASE WHEN sure THEN (SELECT count(*) FROM clauses WHERE l_orderkey = o_orderkey) ELSE 0 END AS matched FROM q""")
 def metadata_filter(spark, d):
-    """Each order asks for its own article of its customer's document."""
+    """Each order asks for its own article of its customer's document, by the document's id or by its number."""
     _, children = chunks.parent_child_chunks(passages(spark, d))
-    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("question_id"), F.concat(F.lit("Theo điều "), F.col("o_orderkey").cast("string"), F.lit(" của văn bản id "), F.col("o_custkey").cast("string")).alias("q"))
-    names = passages(spark, d).select("document_id", "document_name")
+    customer = F.col("o_custkey").cast("string")
+    document = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("văn bản id "), customer)).otherwise(F.concat(customer, F.lit("/2020/TT-BTC")))
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("question_id"), F.concat(F.lit("Theo điều "), F.col("o_orderkey").cast("string"), F.lit(" của "), document).alias("q"))
+    names = table(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), F.concat(F.lit("Thong-tu-"), customer, F.lit("-2020-TT-BTC-huong-dan")).alias("document_name")).distinct()
     flags, _ = filters.metadata_filter(asked.select("question_id", filters.query_metadata(F.col("q")).alias("metadata")), names, children)
     return flags
 
