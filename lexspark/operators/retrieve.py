@@ -25,14 +25,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None, apart: bool = False, query_block: int = 1024, slice_rows: int = 4096) -> DataFrame:
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None, apart: bool = False, query_block: int = 1024, slice_rows: int = 4096, same: str | None = None) -> DataFrame:
     """The k vectors (child_id, embedding) of the largest inner product for each query (question_id, embedding).
 
     Exact: slices of about `slice_rows` vectors meet blocks of queries, each meeting gives its k best as one matrix product,
     and these few rows are ranked. Slices and blocks don't grow with the data. `allowed` (question_id, child_id) restricts the vectors of a question before they are scored;
-    `apart` leaves out the vector with the query's own id. k of zero or less gives no rows.
+    `apart` leaves out the vector with the query's own id. With `same`, a column of both tables, only vectors of an equal
+    value meet a query; nulls meet nothing. k of zero or less gives no rows.
     """
-    q = queries.select("question_id", F.col("embedding").alias("_query"))
+    by = [same] if same else []
+    q = queries.select("question_id", F.col("embedding").alias("_query"), *by)
+    if same:
+        q, vectors = q.where(F.col(same).isNotNull()), vectors.where(F.col(same).isNotNull())
     if k <= 0 or allowed is not None:
         pairs = vectors.select("child_id", "embedding")
         pairs = (allowed if allowed is not None else q.select("question_id", F.lit(None).alias("child_id"))).select("question_id", "child_id").distinct().join(pairs, "child_id").join(q, "question_id")
@@ -43,8 +47,8 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFra
     blocks = max(1, -(-queries.count() // query_block))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.select("child_id", "embedding", part("child_id", slices).alias("slice"), each(blocks).alias("block"))
-    right = q.select("question_id", "_query", part("question_id", blocks).alias("block"), each(slices).alias("slice"))
+    left = vectors.select("child_id", "embedding", part("child_id", slices).alias("slice"), each(blocks).alias("block"), *by)
+    right = q.select("question_id", "_query", part("question_id", blocks).alias("block"), each(slices).alias("slice"), *by)
 
     def best(v: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -64,7 +68,7 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFra
         return pd.concat(out).astype({"question_id": object, "child_id": object})
 
     kinds = {f.name: f.dataType.simpleString() for f in [*q.schema, *vectors.schema]}
-    found = left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInPandas(best, f"question_id {kinds['question_id']}, child_id {kinds['child_id']}, score double")
+    found = left.groupBy("slice", "block", *by).cogroup(right.groupBy("slice", "block", *by)).applyInPandas(best, f"question_id {kinds['question_id']}, child_id {kinds['child_id']}, score double")
     return top(found, ["question_id"], "score", "child_id", k)
 
 

@@ -277,8 +277,7 @@ def dense_topk(spark, d):
 @query("WITH " + _DENSE.format(same="AND q.label = v.label"))
 def dense_filtered_topk(spark, d):
     asked, every = _vectors(spark, d)
-    allowed = asked.select("question_id", "label").join(every.select("child_id", "label"), "label").select("question_id", "child_id")
-    return _near(retrieve.dense_top_k(asked, every.drop("label"), 20, allowed, apart=True))
+    return _near(retrieve.dense_top_k(asked, every, 20, apart=True, same="label"))
 
 
 _HALVES = {
