@@ -75,7 +75,7 @@ class Encoder:
     that hold an added token, which cuts before words do, and texts for models of other kinds go to the library whole.
     """
 
-    def __init__(self, path: str, cached: int = 200_000):
+    def __init__(self, path: str, cached: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         cut = spec.get("pre_tokenizer") or {}
@@ -83,17 +83,31 @@ class Encoder:
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.library = Tokenizer.from_file(path)
-        self.cut = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+        # the four separators from 0x1C on are no white space for the library
+        word, blank = r"(?:\S|[\x1c-\x1f])", r"[^\S\x1c-\x1f]"
+        self.cut = re.compile(rf" ?{word}+|{blank}+(?!{word})|{blank}+")
+        self.begins = np.zeros(self.library.get_vocab_size(), bool)
+        self.begins[[i for t, i in self.library.get_vocab().items() if t.startswith("Ġ")]] = True  # a blank, as byte-level models write it
         self.known: dict[str, bytes] = {}
         self.cached = cached
 
     def _learn(self, words: list[str]) -> None:
-        if not words:
-            return
-        done = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
-        data = np.array(done.ids, "<u4").tobytes()
-        ends = (4 * np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(words) + 1))).tolist()
-        self.known.update((w, data[low:high]) for w, low, high in zip(words, ends, ends[1:]))
+        """Asks the library for the ids of new words: those that begin with a blank as one text, in which an id that begins
+        with a blank begins a word; the others one by one."""
+        spaced = [w for w in words if w[0] == " " and not w.isspace()]
+        if spaced:
+            ids = np.array(self.library.encode("".join(spaced), add_special_tokens=False).ids, "<u4")
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) == len(spaced):
+                self._keep(spaced, ids, np.r_[starts, len(ids)])
+        rest = [w for w in words if w not in self.known]
+        if rest:
+            done = self.library.encode(rest, is_pretokenized=True, add_special_tokens=False)
+            self._keep(rest, np.array(done.ids, "<u4"), np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(rest) + 1)))
+
+    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        data, at = ids.tobytes(), (4 * ends).tolist()
+        self.known.update((w, data[low:high]) for w, low, high in zip(words, at, at[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
@@ -114,7 +128,7 @@ class Encoder:
 
 @cache
 def _encoder(path: str) -> Encoder:
-    """One for each worker process, whose later tasks find the words that earlier ones have learned."""
+    """One for each worker process; each task forgets the words it has learned."""
     return Encoder(path)
 
 
@@ -164,6 +178,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 1024, e
                 yield as_batch(out)
         if waiting:
             yield as_batch(dealt(waiting))
+        encoder.known.clear()
         give_back()
 
     return small_batches(documents).select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(packed, PIECES)

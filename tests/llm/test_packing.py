@@ -81,7 +81,7 @@ def test_all_pieces_have_the_library_ids(spark):
 
 def test_white_space_and_added_tokens():
     """Every character below U+3100 next to letters and blanks, and added tokens after runs of blanks."""
-    odd = [t for cp in range(0x3100) for c in [chr(cp)] for t in (f"a{c}b", f"a {c} b", f"a {c}{c}b{c}")]
+    odd = [t for cp in range(0x3100) for c in [chr(cp)] for t in (f"a{c}b", f"a {c} b", f"a {c}{c}b{c}", f" {c}", f"x {c}Ġ {c}'s")]
     odd += ["x  <|endoftext|>  y", "<|endoftext|>", "a<|endoftext|>b", "<|endoftext", "'s 't''s x's", "\n" * 100_000, " " * 100_000, "z" * 100_000, ""]
     exact = Tokenizer.from_file(packing.byte_bpe())
     want = [np.array(e.ids, "<u4").tobytes() for e in exact.encode_batch(odd, add_special_tokens=False)]
