@@ -75,7 +75,7 @@ class Encoder:
     that hold an added token, which cuts before words do, and texts for models of other kinds go to the library whole.
     """
 
-    def __init__(self, path: str, cached: int = 500_000):
+    def __init__(self, path: str, cached: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         cut = spec.get("pre_tokenizer") or {}
