@@ -683,7 +683,10 @@ def ingest_pending(spark, d):
 def streaming_windows(spark, d):
     """The windows of all documents, made by a stream of the documents table."""
     source = f"{d.rstrip('/')}/documents.parquet"
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    shared = shared or "file://" + tempfile.mkdtemp(prefix="spark-")
     out = f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
     # as a pattern, since a file stream takes a plain path for a folder
     rows = stream_windows(spark, f"{source[:-1]}[t]", spark.read.parquet(source).schema, SIZE, OVERLAP)
