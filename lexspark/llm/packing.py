@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
 from collections.abc import Iterator
 from functools import cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ def differencing(sizes: list[int], windows: int) -> list[int]:
         else:  # the last `over` windows of x meet the last of y, the emptiest of one the fullest of the other
             meet = [(a + b, (s, t)) for (a, s), (b, t) in zip(x[len(x) - over :], reversed(y[len(y) - over :]))]
             merged = x[: len(x) - over] + y[: len(y) - over] + meet
-        merged.sort(key=lambda w: -w[0])
+        merged.sort(key=itemgetter(0), reverse=True)
         least = merged[-1][0] if len(merged) == windows else 0
         heapq.heappush(heap, (least - merged[0][0], made, merged))
         made += 1
@@ -116,16 +118,27 @@ class Encoder:
             self.known.clear()
         words = [[] if w else self.cut.findall(t) for t, w in zip(texts, whole)]
         found = [list(map(self.known.get, c)) for c in words]
-        unknown = [i for i, f in enumerate(found) if None in f]
-        self._learn(list({w for i in unknown for w, x in zip(words[i], found[i]) if x is None}))
-        for i in unknown:
-            found[i] = [self.known[w] if x is None else x for w, x in zip(words[i], found[i])]
+        gaps = [(f, c, place) for f, c in zip(found, words) if None in f for place in _places(f, None)]
+        self._learn(list({c[place] for _, c, place in gaps}))
+        for f, c, place in gaps:
+            f[place] = self.known[c[place]]
         out = [b"".join(f) for f in found]
         for i in (i for i, w in enumerate(whole) if w):
             out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
 
+def _places(values: list, sought) -> list[int]:
+    """Where a value stands in a list."""
+    out, at = [], -1
+    try:
+        while True:
+            at = values.index(sought, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 @cache
 def _encoder(path: str) -> Encoder:
     """One for each worker process; each task forgets the words it has learned."""
@@ -160,6 +173,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 1024, e
             return out
 
         encoder, last = _encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        gc.disable()  # the many small lists here hold no cycles, and looking for some takes time
         for batch in slices(batches, 256):
             out: list[tuple] = []
             for key, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
@@ -179,6 +193,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 1024, e
         if waiting:
             yield as_batch(dealt(waiting))
         encoder.known.clear()
+        gc.enable()
         give_back()
 
     return small_batches(documents).select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(packed, PIECES)
