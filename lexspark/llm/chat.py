@@ -158,8 +158,8 @@ _ENDS = ", ".join(repr(r) for r in ChatTemplate().ends)
 SQL = rf"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, 0, 'user', '{HOSTILE}' UNION ALL SELECT -1, 1, 'assistant', '{HOSTILE}')),
 s AS (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), 'start') AS state, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back,
-  len(role) + len(regexp_extract_all(role, '<\*\|')) + len(regexp_extract_all(role, '[~
-]')) + len(text) + len(regexp_extract_all(text, '<\*\|')) + 24 AS size FROM t)
+  len(role) + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(role, '[~
+]')) + len(text) + len(regexp_extract_all(text, '<\\*\|')) + 24 AS size FROM t)
 SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(size)::BIGINT AS formatted_chars, bool_and({_TRANSITIONS}) AND bool_or(back = 1 AND role IN ({_ENDS})) AS valid FROM s GROUP BY conv_id"""

@@ -174,27 +174,29 @@ def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 1024, e
 
         encoder, last = _encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         gc.disable()  # the many small lists here hold no cycles, and looking for some takes time
-        for batch in slices(batches, 256):
-            out: list[tuple] = []
-            for key, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                data, n, start = ids + last, len(ids) // 4 + 1, 0
-                while n - start >= capacity:
-                    out.append((key, start, capacity, data[4 * start : 4 * (start + capacity)], n, number, 0))
-                    number, start = number + 1, start + capacity
-                while start < n:
-                    length = min(piece, n - start)
-                    waiting.append((key, start, length, data[4 * start : 4 * (start + length)], n))
-                    start += length
-            while len(waiting) >= block:
-                out += dealt(waiting[:block])
-                del waiting[:block]
-            if out:
-                yield as_batch(out)
-        if waiting:
-            yield as_batch(dealt(waiting))
-        encoder.known.clear()
-        gc.enable()
-        give_back()
+        try:
+            for batch in slices(batches, 256):
+                out: list[tuple] = []
+                for key, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
+                    data, n, start = ids + last, len(ids) // 4 + 1, 0
+                    while n - start >= capacity:
+                        out.append((key, start, capacity, data[4 * start : 4 * (start + capacity)], n, number, 0))
+                        number, start = number + 1, start + capacity
+                    while start < n:
+                        length = min(piece, n - start)
+                        waiting.append((key, start, length, data[4 * start : 4 * (start + length)], n))
+                        start += length
+                while len(waiting) >= block:
+                    out += dealt(waiting[:block])
+                    del waiting[:block]
+                if out:
+                    yield as_batch(out)
+            if waiting:
+                yield as_batch(dealt(waiting))
+        finally:  # also where the task fails or is cut short
+            encoder.known.clear()
+            gc.enable()
+            give_back()
 
     return small_batches(documents).select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(packed, PIECES)
 

@@ -39,7 +39,7 @@ def _iban_pattern() -> str:
 #: Kinds in the order in which they are tried at a place. Java patterns; none has a capturing group.
 PATTERNS: dict[str, str] = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])",
     "iban": _iban_pattern(),
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])",
@@ -50,7 +50,7 @@ PATTERNS: dict[str, str] = {
 }
 ANY = r"(?<![0-9A-Za-z])(?=[\p{L}\p{N}+(._%-])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: Every kind holds one of these.
-HINT = r"[0-9]|@"
+HINT = r"[0-9]|@|[A-Fa-f]{32}"
 ROUNDS = 8
 
 
@@ -304,8 +304,12 @@ def _email(m: Column, key: Column) -> Column:
 
 def _secret(m: Column, key: Column) -> Column:
     digest = F.sha2(F.concat_ws("|", key, F.lit("secret"), F.lower(m)), 256)
-    cut = F.substr(digest, F.lit(1), F.length(m))
-    return F.when(m.rlike("[A-F]"), F.upper(cut)).otherwise(cut)
+    more = F.ceil(F.length(m) / F.lit(64)).cast("int")
+    long = F.aggregate(  # one digest for every 64 digits, each of the one before
+        F.sequence(F.lit(1), more), F.struct(F.lit("").alias("all"), digest.alias("next")), lambda s, _: F.struct(F.concat(s["all"], s["next"]).alias("all"), F.sha2(F.concat_ws("|", key, s["next"]), 256).alias("next")), lambda s: s["all"]
+    )
+    cut = F.substr(long, F.lit(1), F.length(m))
+    return F.when(m.rlike("[A-F]") & ~m.rlike("[a-f]"), F.upper(cut)).otherwise(cut)
 
 
 PSEUDONYMS: dict[str, Callable[[Column, Column], Column]] = {
@@ -342,8 +346,9 @@ def pseudonymise(documents: DataFrame, key: str, text: str = "text") -> DataFram
 
 #: For the query, that is for tests and measurements alone.
 EXAMPLE_KEY = "an example key"
-#: Where a production run puts its key; without one each run of the stage makes its own.
+#: Where a production run puts its key; without one each application makes its own.
 KEY_SETTING = "spark.lexspark.pii.key"
+_made: dict[str, str] = {}
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,9 +359,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms in their texts; n_chars follows the new text.
 
-    The key is the session's setting spark.lexspark.pii.key. Where that is unset a new random key is made, so that nobody
-    can turn the pseudonyms back; they are linked within the run, and differ from those of other runs.
+    The key is the session's setting spark.lexspark.pii.key. Where that is unset a random key is made once for the
+    application, so that nobody can turn the pseudonyms back; its runs link values alike, and those of other applications
+    differ. Null and empty texts stay as they are, repeated rows get equal texts, other columns stay.
     """
     columns = docs.columns
-    done = pseudonymise(docs, spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32))
+    key = spark.conf.get(KEY_SETTING, None) or _made.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+    done = pseudonymise(docs, key)
     return done.withColumn("n_chars", F.length("text").cast("long")).select(columns)

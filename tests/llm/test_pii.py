@@ -214,4 +214,18 @@ def test_the_stage_takes_its_key_from_the_session(spark):
     first = run()
     assert first == run() and first != swap(spark, "on 2024-02-29", key=pii.EXAMPLE_KEY)[0]
     spark.conf.unset(pii.KEY_SETTING)
-    assert len({run() for _ in range(3)}) > 1
+    assert len({run() for _ in range(3)}) == 1  # one key for the application, so two runs give equal rows
+    made = set()
+    for _ in range(3):
+        pii._made.clear()
+        made.add(run())
+    assert len(made) > 1  # another application has another key
+
+
+def test_secrets_of_any_length(spark):
+    texts = ["a" * 32, "0123456789abcdef" * 8, "AbCdEf0123" * 4, "ABCDEF0123456789" * 5, "f" * 1000, "a" * 31]
+    got = swap(spark, *texts)
+    for old, new in zip(texts[:-1], got):
+        assert len(new) == len(old) and new != old and re.fullmatch("[0-9a-f]+|[0-9A-F]+", new)
+    assert len({new[i : i + 64] for new in got[4:5] for i in range(0, 960, 64)}) == 15  # no digest repeats
+    assert got[-1] == texts[-1] and swap(spark, *texts) == got

@@ -6,6 +6,7 @@ from test_jaccard import brute
 
 
 def test_stages(spark, data):
+    spark.conf.set("spark.lexspark.pii.key", "a key for tests")
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality", "toxicity", "near_copies", "pii", "packing"]
     docs = spark.read.parquet(f"{data}/documents.parquet")
