@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import chat, fingerprints, jaccard, licenses, packing, pieces, pii, quality, toxicity, vectors
+from lexspark.llm import chat, fingerprints, jaccard, licenses, packing, pieces, pii, quality, toxicity, vectors, whitening
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_license_scan": licenses.op10_license_scan,
+    "op13_whitening": whitening.op13_whitening,
 }
 SQL: dict[str, str] = {"op1_chat_format": chat.SQL, "op2_jaccard": jaccard.SQL, "op3_embeddings": vectors.SQL}
