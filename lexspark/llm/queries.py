@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import chat, fingerprints, jaccard, licenses, packing, pieces, pii, quality, structure, toxicity, vectors, whitening
+from lexspark.llm import chat, fingerprints, jaccard, licenses, packing, pieces, pii, quality, repeats, structure, toxicity, vectors, whitening
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_repeats": repeats.op11_repeats,
     "op12_structure": structure.op12_structure,
     "op13_whitening": whitening.op13_whitening,
 }
