@@ -305,7 +305,7 @@ def repeated_ranges(documents: DataFrame, most: int = MOST_PIECES) -> DataFrame:
     members = written(pieces.join(often, "key", "left_semi"))
     contents = members.groupBy("key", "content").agg(F.count("*").alias("weight"), F.min(F.struct("t1", "t2", "start", "starts")).alias("at"))
     contents = written(contents.select("key", "content", "weight", "at.*"))
-    marks = _settled(_with_bytes(texts, contents), 0, most)
+    marks = _settled(written(_with_bytes(texts, contents)), 0, most)  # once, as keys are counted and cut anew from it
     found = members.join(marks, ["key", "content"]).select("t1", "t2", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
     ranges = found.groupBy("t1", "t2").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     return texts.join(ranges.hint("merge"), ["t1", "t2"], "left").select("doc_id", "text", "ranges")
