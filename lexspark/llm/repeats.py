@@ -300,7 +300,7 @@ def repeated_ranges(documents: DataFrame, most: int = MOST_PIECES) -> DataFrame:
     that is copied thousands of times rows of 40 bytes meet, not texts; equal pieces are aggregated before the shuffle.
     """
     texts = _identified(documents)
-    pieces = _pieces(texts)
+    pieces = written(_pieces(texts))
     often = pieces.groupBy("key").count().where("count > 1").select("key")
     members = written(pieces.join(often, "key", "left_semi"))
     contents = members.groupBy("key", "content").agg(F.count("*").alias("weight"), F.min(F.struct("t1", "t2", "start", "starts")).alias("at"))
