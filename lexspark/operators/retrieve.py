@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -49,6 +49,12 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFra
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = vectors.select("child_id", "embedding", part("child_id", slices).alias("slice"), each(blocks).alias("block"), *by)
     right = q.select("question_id", "_query", part("question_id", blocks).alias("block"), each(slices).alias("slice"), *by)
+    return top(best_of_meetings(left, right, ["slice", "block", *by], k, apart), ["question_id"], "score", "child_id", k)
+
+
+def best_of_meetings(left: DataFrame, right: DataFrame, by: list[str], k: int, apart: bool = False) -> DataFrame:
+    """(question_id, child_id, score) of the k best vectors of left (child_id, embedding) for each query of right
+    (question_id, _query) that meets them under equal values of `by`, and all that tie with the last; a meeting is one matrix product."""
 
     def best(v: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -67,15 +73,8 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFra
             out.append(pd.DataFrame({"question_id": question, "child_id": ids[near], "score": line[near]}))
         return pd.concat(out).astype({"question_id": object, "child_id": object})
 
-    kinds = {f.name: f.dataType.simpleString() for f in [*q.schema, *vectors.schema]}
-    found = left.groupBy("slice", "block", *by).cogroup(right.groupBy("slice", "block", *by)).applyInPandas(best, f"question_id {kinds['question_id']}, child_id {kinds['child_id']}, score double")
-    return top(found, ["question_id"], "score", "child_id", k)
-
-
-def postings(children: DataFrame) -> DataFrame:
-    """(child_id, length, pos, term): every token of every text at its place."""
-    terms = children.select("child_id", search_terms(F.col("text")).alias("terms"))
-    return terms.select("child_id", F.size("terms").alias("length"), F.posexplode("terms").alias("pos", "term"))
+    kinds = {f.name: f.dataType.simpleString() for f in [*right.schema, *left.schema]}
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(best, f"question_id {kinds['question_id']}, child_id {kinds['child_id']}, score double")
 
 
 def query_phrases(queries: DataFrame) -> DataFrame:
@@ -291,14 +290,3 @@ def hashed_embedding(text: Column, dim: int = 256) -> Column:
         return pd.Series(out)
 
     return embed(text)
-
-
-def batches_of(rows: DataFrame, generate: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Runs a model provider over rows in Arrow batches."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part):
-                yield generate(part)
-
-    return rows.mapInPandas(run, schema)

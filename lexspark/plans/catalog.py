@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +13,7 @@ from lexspark.functions.answers import normalise_answer
 from lexspark.operators import audits, chunks, evaluate, filters, retrieve, validate
 from lexspark.plans import answer, search
 from lexspark.sources import writers
+from lexspark.sources.tables import new_folder, spread
 from lexspark.streaming.ingest import stream_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,7 +38,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 # ---- text functions -------------------------------------------------------------------------------------------------
@@ -683,11 +682,7 @@ def ingest_pending(spark, d):
 def streaming_windows(spark, d):
     """The windows of all documents, made by a stream of the documents table."""
     source = f"{d.rstrip('/')}/documents.parquet"
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    shared = shared or "file://" + tempfile.mkdtemp(prefix="spark-")
-    out = f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    out = new_folder(spark)
     # as a pattern, since a file stream takes a plain path for a folder
     rows = stream_windows(spark, f"{source[:-1]}[t]", spark.read.parquet(source).schema, SIZE, OVERLAP)
     rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()

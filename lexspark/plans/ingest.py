@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexspark.conf import Settings
 from lexspark.functions.text import clean_text
 from lexspark.operators.chunks import integrity, parent_child_chunks
-from lexspark.operators.retrieve import hashed_embedding, postings
+from lexspark.operators.retrieve import hashed_embedding
 from lexspark.sources.writers import IndexVersions, pending_documents, upsert, without_documents
 
 TABLES = ("documents", "parents", "children", "vectors", "lexical")
@@ -53,5 +53,3 @@ def ingest(found: DataFrame, versions: IndexVersions, settings: Settings = Setti
     spark.catalog.clearCache()
     return manifest | {"broken_rules": broken}
 
-
-__all__ = ["ingest", "postings"]

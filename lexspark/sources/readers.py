@@ -88,7 +88,23 @@ def read_latest_lines(spark: SparkSession, path: str, schema: str, key: str) ->
     return rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "_n")
 
 
-def merge_logs(logs: DataFrame) -> DataFrame:
-    """Training log entries (checkpoint, step, kind, value) merged by step and kind; the later checkpoint's entry stays."""
-    last = Window.partitionBy("step", "kind").orderBy(F.desc("checkpoint"))
-    return logs.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r").orderBy("step", "kind")
+#: What is read of a log entry.
+_ENTRY = "step long, epoch double, learning_rate double, loss double, eval_loss double, grad_norm double, eval_runtime double"
+
+
+def training_log(spark: SparkSession, run: str) -> DataFrame:
+    """The merged log of a training run: (step, split, epoch, learning_rate, loss, grad_norm, runtime_seconds).
+
+    Every `checkpoint-N/trainer_state.json` under the run holds the log up to it, so that checkpoints that were deleted lose
+    nothing; of a step's entries of a split (eval if there is an evaluation loss, else train) the latest checkpoint's last
+    one counts. An entry without a step has step -1, without an epoch epoch 0. Files that aren't JSON give no entries.
+    """
+    states = spark.read.schema(f"log_history array<struct<{_ENTRY.replace(' ', ':').replace(',:', ',')}>>").option("multiLine", True).json(f"{run.rstrip('/')}/checkpoint-*/trainer_state.json")
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"checkpoint-(\d+)/", 1).cast("long")
+    entries = states.select(number.alias("_checkpoint"), F.posexplode("log_history").alias("_at", "e")).select("_checkpoint", "_at", "e.*")
+    entries = entries.withColumn("step", F.coalesce("step", F.lit(-1))).withColumn("split", F.when(F.col("eval_loss").isNotNull(), "eval").otherwise("train"))
+    last = Window.partitionBy("step", "split").orderBy(F.desc("_checkpoint"), F.desc("_at"))
+    rows = entries.withColumn("_r", F.row_number().over(last)).where("_r = 1")
+    return rows.select(
+        "step", "split", F.bround(F.coalesce("epoch", F.lit(0.0)), 4).alias("epoch"), "learning_rate", F.coalesce("loss", "eval_loss").alias("loss"), "grad_norm", F.col("eval_runtime").alias("runtime_seconds")
+    )

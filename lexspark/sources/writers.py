@@ -7,7 +7,7 @@ import os
 import re
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _VERSION = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
@@ -71,22 +71,75 @@ class IndexVersions:
         names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
         return f"v{1 + max((int(n[1:]) for n in names if re.fullmatch(r'v[0-9]+', n)), default=0)}"
 
-    def write(self, version: str, tables: dict[str, DataFrame], manifest: dict) -> dict:
-        """Writes the tables of a version and a manifest with status building, then ready or failed after its checks."""
+    def write(self, version: str, tables: dict[str, DataFrame], manifest: dict, keep: dict[str, str] | None = None) -> dict:
+        """Writes the tables of a version and a manifest with status building, then ready or failed after its checks.
+
+        `keep` names tables that stay as they are and the version that has them: the manifest then points at that version's
+        files, which are neither read nor written, so a version that changes one half costs that half alone.
+        """
         if not _VERSION.fullmatch(version):
             raise ValueError(f"not a version name: {version}")
-        self._write(f"{version}/manifest.json", json.dumps(manifest | {"version": version, "status": "building"}))
+        kept = {name: self.place(source, name) for name, source in (keep or {}).items() if name not in tables}
+        own = {name: f"{version}/{name}" for name in tables}
+        if any(place in kept.values() for place in own.values()):
+            raise ValueError(f"{version} would write over tables that it keeps")
+        counts = {name: self.manifest(source)["counts"][name] for name, source in (keep or {}).items() if name in kept}
+        self._write(f"{version}/manifest.json", json.dumps(manifest | {"version": version, "status": "building", "tables": own | kept}))
         for name, rows in tables.items():
-            rows.write.mode("overwrite").parquet(f"{self.root}/{version}/{name}")
-        counts = {name: self.read(version, name).count() for name in tables}
-        manifest = manifest | {"version": version, "counts": counts}
+            rows.write.mode("overwrite").parquet(f"{self.root}/{own[name]}")
+        counts |= {name: self.read(version, name).count() for name in tables}
+        manifest = manifest | {"version": version, "counts": counts, "tables": own | kept}
         manifest["issues"] = manifest_issues(manifest)
         manifest["status"] = "failed" if manifest["issues"] else "ready"
         self._write(f"{version}/manifest.json", json.dumps(manifest))
         return manifest
 
+    def place(self, version: str, name: str) -> str:
+        """Where a version's table lies: in its own folder, or in that of the version whose table it keeps."""
+        return ((self.manifest(version) or {}).get("tables") or {}).get(name, f"{version}/{name}")
+
     def read(self, version: str, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{version}/{name}")
+        return self.spark.read.parquet(f"{self.root}/{self.place(version, name)}")
+
+    def stage(self, version: str, tables: dict[str, DataFrame], changes: dict | None = None) -> dict:
+        """A new version of the current one with these tables in place of its own, not published; the others are kept."""
+        now = self.current()
+        if now is None:
+            raise ValueError("there is no current version to build on")
+        if self.manifest(version):
+            raise ValueError(f"{version} is there already")
+        old = self.manifest(now)
+        named = old.get("tables") or {name: f"{now}/{name}" for name in old["counts"]}
+        base = {k: v for k, v in old.items() if k not in ("version", "status", "counts", "tables", "issues")}
+        return self.write(version, tables, base | (changes or {}) | {"built_on": now}, keep={name: now for name in named})
+
+    def readiness(self, version: str) -> list[str]:
+        """What keeps a version from being searched, table by table: a missing folder, an unfinished write, another row count."""
+        manifest = self.manifest(version)
+        if not manifest:
+            return [f"{version} has no manifest"]
+        out = [] if manifest["status"] == "ready" else [f"{version} is {manifest['status']}"]
+        for name, rows in manifest.get("counts", {}).items():
+            place = f"{self.root}/{self.place(version, name)}"
+            if not self._fs.exists(self._path(place)):
+                out.append(f"{name} is missing")
+            elif not self._fs.exists(self._path(f"{place}/_SUCCESS")):
+                out.append(f"{name} is unfinished")
+            elif (found := self.read(version, name).count()) != rows:
+                out.append(f"{name} has {found} rows instead of {rows}")
+        return out
+
+    def unused(self) -> list[str]:
+        """Table folders that no version's manifest points at, such as those of a build that was cut short."""
+        root, used, there = self._path(self.root), set(), set()
+        for version in self._fs.listStatus(root) if self._fs.exists(root) else []:
+            if not version.isDirectory():
+                continue
+            name = version.getPath().getName()
+            manifest = self.manifest(name) or {}
+            used |= set((manifest.get("tables") or {t: f"{name}/{t}" for t in manifest.get("counts", {})}).values())
+            there |= {f"{name}/{t.getPath().getName()}" for t in self._fs.listStatus(version.getPath()) if t.isDirectory()}
+        return sorted(there - used)
 
     def manifest(self, version: str) -> dict | None:
         text = self._read(f"{version}/manifest.json")
@@ -176,9 +229,3 @@ def failure_type(error: Column) -> Column:
     return (
         F.when(e.contains("out of memory") | e.contains("cuda_oom"), "CUDA_OOM").when(e.contains("cuda"), "CUDA_ERROR").when(e.contains("failed validation"), "VALIDATION").otherwise("GENERATION_ERROR")
     )
-
-
-def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key."""
-    by = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_r")

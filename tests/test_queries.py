@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lexspark.plans import catalog, reports  # noqa: F401  (registers more queries)
+from lexspark.plans import catalog, reports, runs, stored  # noqa: F401  (they register more queries)
 
 
 def rows_of(columns, rows):
