@@ -10,12 +10,18 @@ A text that changes adds its own postings in a new segment; `compact` makes one
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lexspark.functions.text import search_terms
-from lexspark.operators.retrieve import K1, B, query_phrases, top
-from lexspark.sources.tables import spread, written
+from lexspark.operators.retrieve import HELD_PAIRS, K1, B, Best, idf, query_phrases, top
+from lexspark.sources.tables import small_batches, spread, written
 
 #: Documents of a block, about; whole blocks are passed over.
 BLOCK_DOCUMENTS = 256
@@ -141,55 +147,157 @@ class StoredPostings:
             out.append("a child is stored twice")
         return out
 
-    def top_k(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    def top_k(self, queries: DataFrame, k: int, allowed: DataFrame | None = None, held: int = HELD_PAIRS) -> DataFrame:
         """The k best texts by BM25 for each question (question_id, text), as retrieve.bm25_top_k gives them.
 
         First each question's blocks of the largest bounds are scored; its k-th score there is the least that counts. Of the
         other blocks only those whose bound reaches it are read. Bounds come from a block's largest frequency and smallest
         length, without its entries; a phrase's from those of its tokens. `allowed` (child_id, or question_id and child_id)
-        filters texts; statistics stay those of all texts.
+        filters texts; statistics stay those of all texts. Where the questions have at most `held` different words in all,
+        tasks hold them and score a block's entries as a matrix product; else entries and words are joined.
         """
         asked = query_phrases(queries).withColumn("key", F.array_join("terms", " "))
         wanted = asked.select("key", F.size("terms").alias("m"), F.posexplode("terms").alias("i", "term")).distinct().withColumn("bucket", bucket_of(F.col("term")))
         met = self.postings().join(wanted, ["bucket", "term"])
         stats = self.children().agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length")).first()
+        kind = queries.schema["question_id"].dataType
         if not stats.n_docs or k <= 0:
-            return top(self.spark.createDataFrame([], f"question_id {queries.schema['question_id'].dataType.simpleString()}, child_id {self.kind}, score double"), ["question_id"], "score", "child_id", 1)
-        mean = F.lit(stats.mean_length or 1.0)
-        parts = lambda f, length: f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean))
+            return top(self.spark.createDataFrame([], f"question_id {kind.simpleString()}, child_id {self.kind}, score double"), ["question_id"], "score", "child_id", 1)
+        mean = stats.mean_length or 1.0
+        parts = lambda f, length: f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.lit(mean)))
         # what only needs the rows' heads: bounds of each key in each block that holds all its tokens
         heads = met.groupBy("key", "m", "segment", "block").agg(F.count("*").alias("have"), F.min("most").alias("most"), F.max("shortest").alias("shortest"), F.min("holders").alias("holders"))
-        heads = written(heads.where("have = m").drop("have"))
-        entries = met.select("key", "m", "i", "segment", "block", F.explode("entries").alias("e")).select("key", "m", "i", "segment", "block", "e.*")
-        phrases = entries.where("m > 1").join(heads.where("m > 1").select("key", "segment", "block"), ["key", "segment", "block"], "left_semi")
-        starts = phrases.select("key", "m", "i", "segment", "block", "child_id", "length", F.explode("places").alias("place"))
-        starts = starts.groupBy("key", "m", "segment", "block", "child_id", "length", (F.col("place") - F.col("i")).alias("start")).agg(F.count("*").alias("have")).where("have = m")
-        found = written(self._living(starts.groupBy("key", "segment", "block", "child_id", "length").agg(F.count("*").alias("f"))))
+        heads = heads.where("have = m").drop("have")
+        found, counts = self._phrases(met, heads), None
         # holders of single tokens are summed without entries, unless some texts don't count any more
-        single = heads.where("m = 1").select("key", "holders") if self.gone() is None else self._living(entries.where("m = 1").select("key", "child_id", "segment")).select("key", F.lit(1).cast("long").alias("holders"))
-        counts = single.unionByName(found.select("key", F.lit(1).cast("long").alias("holders"))).groupBy("key").agg(F.sum("holders").alias("holders"))
-        idf = F.log((stats.n_docs - F.col("holders") + 0.5) / (F.col("holders") + 0.5))
+        if self.gone() is None:
+            counts = heads.where("m = 1").select("key", "holders")
+        else:
+            living = self._living(met.where("m = 1").select("key", "segment", F.explode("entries.child_id").alias("child_id")))
+            counts = living.select("key", F.lit(1).cast("long").alias("holders"))
+        if found is not None:
+            counts = counts.unionByName(found.select("key", F.lit(1).cast("long").alias("holders")))
+        counts = counts.groupBy("key").agg(F.sum("holders").alias("holders"))
         weights = asked.groupBy("question_id", "key").agg(F.count("*").alias("times")).join(counts, "key")
-        weights = written(weights.select("question_id", "key", (F.col("times") * F.when(idf > 0, idf).otherwise(1e-6)).alias("weight")))
+        weights = written(weights.select("question_id", "key", (F.col("times") * idf(F.lit(stats.n_docs), F.col("holders"))).alias("weight")))
+        few = weights.limit(held + 1).collect()
         bounds = heads.join(weights, "key").groupBy("question_id", "segment", "block").agg(F.sum(F.col("weight") * parts(F.col("most"), F.col("shortest"))).alias("bound"))
         bounds = written(bounds)
+        by_question = allowed is not None and "question_id" in allowed.columns
 
-        def scored(blocks: DataFrame) -> DataFrame:
-            """Whole scores of all texts in blocks (question_id, segment, block)."""
-            needed = blocks.join(weights, "question_id")
-            lists = met.where("m = 1").join(needed.select("key", "segment", "block").distinct(), ["key", "segment", "block"], "left_semi")
+        def entries(blocks: DataFrame) -> DataFrame:
+            """(key, segment, block, child_id, length, f) of all that counts in blocks (segment, block)."""
+            lists = met.where("m = 1").join(blocks, ["segment", "block"], "left_semi")
             rows = self._living(lists.select("key", "segment", "block", F.explode("entries").alias("e")).select("key", "segment", "block", "e.child_id", "e.length", "e.f"))
-            rows = rows.unionByName(found.select("key", "segment", "block", "child_id", "length", "f"))
-            if allowed is not None and "question_id" not in allowed.columns:
+            if found is not None:
+                rows = rows.unionByName(found.join(blocks, ["segment", "block"], "left_semi").select("key", "segment", "block", "child_id", "length", "f"))
+            if allowed is not None and not by_question:
                 rows = rows.join(allowed.select("child_id").distinct(), "child_id", "left_semi")
-            rows = rows.join(needed, ["key", "segment", "block"])
-            if allowed is not None and "question_id" in allowed.columns:
+            return rows
+
+        def joined(blocks: DataFrame) -> DataFrame:
+            rows = entries(blocks.select("segment", "block").distinct()).join(blocks.join(weights, "question_id"), ["key", "segment", "block"])
+            if by_question:
                 rows = rows.join(allowed, ["question_id", "child_id"], "left_semi")
             return rows.groupBy("question_id", "child_id").agg(F.round(F.sum(F.col("weight") * parts(F.col("f"), F.col("length"))), 9).alias("score"))
 
+        def in_place(blocks: DataFrame) -> DataFrame:
+            some, one = blocks.select("segment", "block").distinct(), lambda c: F.array(c).alias(c)
+            if self.gone() is None and allowed is None:  # lists stay as they are stored
+                wide = met.where("m = 1").join(some, ["segment", "block"], "left_semi").select("key", "segment", "block", *[F.col(f"entries.{c}").alias(c) for c in ("child_id", "length", "f")])
+                if found is not None:
+                    wide = wide.unionByName(found.join(some, ["segment", "block"], "left_semi").select("key", "segment", "block", one("child_id"), one("length"), one("f")))
+            else:
+                wide = entries(some).select("key", "segment", "block", one("child_id"), one("length"), one("f"))
+            rows = small_batches(wide, 10_000).repartition("segment", "block").sortWithinPartitions("segment", "block").select("segment", "block", "key", "child_id", "length", "f")
+            best = rows.mapInArrow(_scorer([(r.question_id, r.key, r.weight) for r in few], k, mean), f"question int, child_id {self.kind}, score double")
+            named = list(enumerate(dict.fromkeys(r.question_id for r in few)))
+            names = self.spark.createDataFrame(named, StructType([StructField("question", IntegerType()), StructField("question_id", kind)]))
+            return best.join(F.broadcast(names), "question").select("question_id", "child_id", "score")  # at most `held` rows
+
+        scored = joined if by_question or len(few) > held else in_place
         first = top(bounds.withColumn("_b", F.struct("segment", "block")), ["question_id"], "bound", "_b", 1 + -(-k // BLOCK_DOCUMENTS)).select("question_id", "segment", "block")
         begun = written(top(scored(first), ["question_id"], "score", "child_id", k).drop("rank"))
-        least = begun.groupBy("question_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
-        rest = bounds.join(first, ["question_id", "segment", "block"], "left_anti").join(least, "question_id", "left")
-        rest = rest.where(F.coalesce(F.col("n") < k, F.lit(True)) | (F.col("bound") >= F.col("least") - 1e-6)).select("question_id", "segment", "block")
-        return top(begun.unionByName(scored(rest)), ["question_id"], "score", "child_id", k)
+        # a block that was scored for one question may be scored again for another: each text counts once
+        both = begun.unionByName(scored(blocks_left(bounds, begun, k))).groupBy("question_id", "child_id").agg(F.max("score").alias("score"))
+        return top(both, ["question_id"], "score", "child_id", k)
+
+    def _phrases(self, met: DataFrame, heads: DataFrame) -> DataFrame | None:
+        """(key, segment, block, child_id, length, f) of keys of several tokens, wherever these adjoin; None without such keys."""
+        if met.where("m > 1").select("key").isEmpty():
+            return None
+        lists = met.where("m > 1").join(heads.where("m > 1").select("key", "segment", "block"), ["key", "segment", "block"], "left_semi")
+        entries = lists.select("key", "m", "i", "segment", "block", F.explode("entries").alias("e")).select("key", "m", "i", "segment", "block", "e.*")
+        starts = entries.select("key", "m", "i", "segment", "block", "child_id", "length", F.explode("places").alias("place"))
+        starts = starts.groupBy("key", "m", "segment", "block", "child_id", "length", (F.col("place") - F.col("i")).alias("start")).agg(F.count("*").alias("have")).where("have = m")
+        return written(self._living(starts.groupBy("key", "segment", "block", "child_id", "length").agg(F.count("*").alias("f"))))
+
+
+def blocks_left(bounds: DataFrame, begun: DataFrame, k: int) -> DataFrame:
+    """(question_id, segment, block) of blocks whose bound reaches the k-th score found so far, or any where fewer were found."""
+    least = begun.groupBy("question_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    rest = bounds.join(least, "question_id", "left")
+    return rest.where(F.coalesce(F.col("n") < k, F.lit(True)) | (F.col("bound") >= F.col("least") - 1e-6)).select("question_id", "segment", "block")
+
+
+def _scorer(pairs: list[tuple], k: int, mean: float):
+    """Scores blocks of entries, sorted by block, against all questions, and keeps k texts for each: pairs are (question, key, weight)."""
+    questions = {q: n for n, q in enumerate(dict.fromkeys(q for q, _, _ in pairs))}
+    names = sorted({key for _, key, _ in pairs})
+    place = {key: n for n, key in enumerate(names)}
+    table = np.array([(questions[q], place[key]) for q, key, _ in pairs], np.int64).reshape(-1, 2)
+    weight = np.array([w for *_, w in pairs], float)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, kind = Best(len(questions), k), None
+        matrix = np.zeros((len(names), len(questions))) if len(names) * len(questions) <= 20_000_000 else None
+        if matrix is not None:
+            matrix[table[:, 1], table[:, 0]] = weight
+        held: list[pa.RecordBatch] = []
+
+        def settle() -> None:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            sizes = pc.list_value_length(whole.column("f")).to_numpy()
+            key = np.repeat(pc.fill_null(pc.index_in(whole.column("key"), value_set=pa.array(names, pa.string())), -1).to_numpy(), sizes)
+            child, f, length = (pc.list_flatten(whole.column(c)).to_numpy() for c in ("child_id", "f", "length"))
+            known = key >= 0
+            ids, row = np.unique(child[known], return_inverse=True)
+            value = (f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean)))[known]
+            for low in range(0, len(ids), 1024):
+                here = (row >= low) & (row < low + 1024)
+                columns, at = np.unique(key[known][here], return_inverse=True)
+                cells = np.zeros((min(1024, len(ids) - low), len(columns)))
+                cells[row[here] - low, at] = value[here]
+                for first in range(0, len(questions), 512):
+                    if matrix is not None:
+                        part = matrix[columns, first : first + 512]
+                    else:
+                        some = (table[:, 0] >= first) & (table[:, 0] < first + 512) & np.isin(table[:, 1], columns)
+                        part = np.zeros((len(columns), min(512, len(questions) - first)))
+                        part[np.searchsorted(columns, table[some, 1]), table[some, 0] - first] = weight[some]
+                    best.add(np.round(cells @ part, 9), ids[low : low + 1024], first)
+
+        last = None
+        for batch in batches:
+            kind = batch.schema.field("child_id").type.value_type
+            if not len(batch):
+                continue
+            block = batch.column("block").to_numpy(zero_copy_only=False) + (batch.column("segment").to_numpy(zero_copy_only=False).astype(np.int64) << 32)
+            if last is not None and block[0] != last:
+                settle()
+                held.clear()
+            # whole blocks are settled together; the last one may go on in the next batch
+            start = int(np.searchsorted(block, block[-1]))
+            if start:
+                held.append(batch.slice(0, start))
+                settle()
+                held.clear()
+            held.append(batch.slice(start))
+            last = block[-1]
+        if held:
+            settle()
+        if kind is not None:
+            question, ids, score = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(question, pa.int32()), pa.array(ids, kind), pa.array(score, pa.float64())], names=["question", "child_id", "score"])
+
+    return search

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lexspark.functions.text import search_terms, token_count
+from lexspark.sources.tables import small_batches
 
 K1, B = 1.2, 0.75
 #: Query terms beyond these are not searched for.
 MOST_TERMS = 64
+#: Pairs of a question and one of its words that each task may hold.
+HELD_PAIRS = 1_000_000
 
 
 def top(rows: DataFrame, by: list[str], score: str, key: str, k: int) -> DataFrame:
@@ -89,14 +98,176 @@ def _allowed(rows: DataFrame, allowed: DataFrame) -> DataFrame:
     return rows.join(allowed, [c for c in ("question_id", "child_id") if c in allowed.columns], "left_semi")
 
 
-def bm25_top_k(queries: DataFrame, children: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def idf(n_docs, holders):
+    """A key's weight by how many texts hold it, never below a millionth. Numbers or columns."""
+    if isinstance(holders, Column):
+        value = F.log((n_docs - holders + 0.5) / (holders + 0.5))
+        return F.when(value > 0, value).otherwise(1e-6)
+    value = math.log((n_docs - holders + 0.5) / (holders + 0.5))
+    return value if value > 0 else 1e-6
+
+
+def bm25_top_k(queries: DataFrame, children: DataFrame, k: int, allowed: DataFrame | None = None, held: int = HELD_PAIRS) -> DataFrame:
     """The k texts (child_id, text) that score best by BM25 for each question (question_id, text): any of its words.
 
     A word of several tokens is a phrase whose tokens must adjoin. Statistics are of all texts, also with `allowed`
-    (child_id, or question_id and child_id). Only the tokens that questions hold leave the scan; frequencies are summed before they meet
-    the questions, and a token of very many texts is spread by AQE's skew join.
+    (child_id, or question_id and child_id). Where the questions have at most `held` different words in all, each task holds
+    them, scores its texts where they lie, and passes on k texts for each question: texts and tokens aren't shuffled. More
+    words than that, and filters by question, take a join of tokens and questions' tokens; both ways give the same rows.
     """
     asked = query_phrases(queries).withColumn("key", F.array_join("terms", " "))
+    by_question = allowed is not None and "question_id" in allowed.columns
+    pairs = asked.groupBy("question_id", "key").agg(F.count("*").alias("times"))
+    few = None if by_question or k <= 0 else pairs.limit(held + 1).collect()
+    if few is None or len(few) > held:
+        return _bm25_joined(asked, children, k, allowed)
+    kind, child = queries.schema["question_id"].dataType, children.schema["child_id"].dataType.simpleString()
+    words = HeldWords.of([(r.question_id, r.key, r.times) for r in few])
+    texts = small_batches(children.select("child_id", search_terms(F.col("text")).alias("terms")))
+    counts = {r.key: r for r in texts.select("terms").mapInArrow(words.counted, "key int, holders long, total long").groupBy("key").agg(F.sum("holders").alias("holders"), F.sum("total").alias("total")).collect()}
+    if counts:
+        words.weigh({n: r.holders for n, r in counts.items() if n >= 0}, counts[-1].holders, counts[-2].total / counts[-2].holders if counts[-2].holders else 1.0)
+    if allowed is not None:
+        texts = texts.join(allowed.select("child_id").distinct(), "child_id", "left_semi")
+    found = texts.mapInArrow(words.searcher(k), f"question int, child_id {child}, score double")
+    named = queries.sparkSession.createDataFrame(list(enumerate(words.questions)), StructType([StructField("question", IntegerType()), StructField("question_id", kind)]))
+    best = found.join(F.broadcast(named), "question").select("question_id", "child_id", "score")  # at most `held` rows
+    return top(best, ["question_id"], "score", "child_id", k)
+
+
+@dataclass
+class HeldWords:
+    """The words of a batch of questions, as each task holds them: questions, keys with their tokens, and pairs of both."""
+
+    questions: list
+    keys: list[str]
+    tokens: list[str]
+    phrases: list[tuple[int, list[int]]]  # (key, its tokens' numbers) of keys of several tokens
+    single: np.ndarray  # the key that a token is by itself, or -1
+    pairs: np.ndarray  # (question, key), by question
+    times: np.ndarray
+    weights: np.ndarray | None = None
+    mean_length: float = 1.0
+
+    @classmethod
+    def of(cls, rows: list[tuple]) -> HeldWords:
+        keys = sorted({key for _, key, _ in rows})
+        number = {key: n for n, key in enumerate(keys)}
+        tokens = sorted({t for key in keys for t in key.split(" ")})
+        place = {t: n for n, t in enumerate(tokens)}
+        single = np.full(len(tokens), -1, np.int64)
+        phrases = []
+        for key, n in number.items():
+            parts = [place[t] for t in key.split(" ")]
+            if len(parts) == 1:
+                single[parts[0]] = n
+            else:
+                phrases.append((n, parts))
+        questions: dict = {}
+        found = sorted((questions.setdefault(q, len(questions)), number[key], times) for q, key, times in rows)
+        table = np.array([(q, n) for q, n, _ in found], np.int64).reshape(-1, 2)
+        return cls(list(questions), keys, tokens, phrases, single, table, np.array([t for *_, t in found], float))
+
+    def weigh(self, holders: dict[int, int], n_docs: int, mean_length: float) -> None:
+        value = np.array([idf(n_docs, holders[n]) if n in holders else 0.0 for n in range(len(self.keys))])
+        self.weights, self.mean_length = self.times * value[self.pairs[:, 1]], mean_length
+
+    def frequencies(self, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, key, frequency, lengths of all texts) of a batch's lists of tokens; a null list has length -1."""
+        lengths = pc.list_value_length(terms).fill_null(-1).to_numpy(zero_copy_only=False)
+        flat = pc.index_in(terms.flatten(), value_set=pa.array(self.tokens, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
+        text = np.repeat(np.arange(len(lengths)), np.maximum(lengths, 0))
+        known = np.flatnonzero(flat >= 0)
+        key = self.single[flat[known]] if len(self.tokens) else known
+        hits = [text[known][key >= 0] * len(self.keys) + key[key >= 0]]
+        for n, parts in self.phrases:
+            at = np.flatnonzero(flat[: len(flat) - len(parts) + 1] == parts[0]) if len(flat) >= len(parts) else known[:0]
+            for i, t in enumerate(parts[1:], 1):
+                at = at[(flat[at + i] == t) & (text[at + i] == text[at])]
+            hits.append(text[at] * len(self.keys) + n)
+        cells, f = np.unique(np.concatenate(hits), return_counts=True)
+        return cells // max(1, len(self.keys)), cells % max(1, len(self.keys)), f, lengths
+
+    def counted(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Holders of each key, and at -1 all texts, at -2 those that aren't null with the sum of their lengths."""
+        holders, texts, known, total = np.zeros(len(self.keys), np.int64), 0, 0, 0
+        for batch in batches:
+            _, key, _, lengths = self.frequencies(batch.column(0))
+            holders += np.bincount(key, minlength=len(self.keys))
+            texts, known, total = texts + len(lengths), known + int((lengths >= 0).sum()), total + int(np.maximum(lengths, 0).sum())
+        some = np.flatnonzero(holders)
+        columns = ([-1, -2, *some.tolist()], [texts, known, *holders[some].tolist()], [0, total, *[0] * len(some)])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64()))], names=["key", "holders", "total"])
+
+    def searcher(self, k: int, block: int = 128, rows: int = 1000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Scores texts against `block` questions at a time, as a matrix product, and keeps k texts for each question."""
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, kind = Best(len(self.questions), k), None
+            for batch in batches:
+                kind = batch.schema.field(0).type
+                for low in range(0, len(batch), rows):
+                    part = batch.slice(low, rows)
+                    text, key, f, lengths = self.frequencies(part.column(1))
+                    value = f * (K1 + 1) / (f + K1 * (1 - B + B * lengths[text] / self.mean_length))
+                    ids = part.column(0).to_numpy(zero_copy_only=False)
+                    for first in range(0, len(self.questions), block):
+                        low_pair, high_pair = np.searchsorted(self.pairs[:, 0], [first, first + block])
+                        question, wanted = self.pairs[low_pair:high_pair].T
+                        column = np.full(len(self.keys), -1, np.int64)
+                        names = np.unique(wanted)
+                        column[names] = np.arange(len(names))
+                        weight = np.zeros((len(names), block))
+                        weight[column[wanted], question - first] = self.weights[low_pair:high_pair]
+                        at = column[key]
+                        matrix = np.zeros((len(part), len(names)))
+                        matrix[text[at >= 0], at[at >= 0]] = value[at >= 0]
+                        best.add(np.round(matrix @ weight, 9), ids, first)
+            if kind is not None:
+                question, ids, score = best.rows()
+                yield pa.RecordBatch.from_arrays([pa.array(question, pa.int32()), pa.array(ids, kind), pa.array(score, pa.float64())], names=["question", "child_id", "score"])
+
+        return search
+
+
+class Best:
+    """The k best of all that is added for each question: by score, equal ones by id."""
+
+    def __init__(self, questions: int, k: int):
+        self.k, self.least = k, np.zeros(questions)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, first: int) -> None:
+        """Scores of texts (rows) for questions from `first` on (columns); zero means no word in common."""
+        scores = scores[:, : len(self.least) - first]
+        row, question = np.nonzero((scores > 0) & (scores >= self.least[first : first + scores.shape[1]]))
+        self.held.append((question + first, ids[row], scores[row, question]))
+        self.size += len(row)
+        if self.size > 4 * self.k * len(self.least) + 100_000:
+            self._cut()
+
+    def _cut(self) -> None:
+        question, ids, score = (np.concatenate(x) for x in zip(*self.held))
+        rank = np.unique(ids, return_inverse=True)[1]
+        order = np.lexsort((rank, -score, question))
+        question, ids, score = question[order], ids[order], score[order]
+        start = np.searchsorted(question, question)
+        keep = np.arange(len(question)) - start < self.k
+        last = np.arange(len(question)) - start == self.k - 1
+        self.least[question[last]] = score[last]
+        self.held, self.size = [(question[keep], ids[keep], score[keep])], int(keep.sum())
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, int), np.zeros(0, object), np.zeros(0)
+        self._cut()
+        return self.held[0]
+
+
+def _bm25_joined(asked: DataFrame, children: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
+    """The same by a join. Only the tokens that questions hold leave the scan; frequencies are summed before they meet the
+    questions, and a token of very many texts is spread by AQE's skew join."""
     phrases = asked.select("key", "terms").distinct()
     wanted = phrases.select("key", F.size("terms").alias("m"), F.posexplode("terms").alias("i", "term"))
     every = children.select("child_id", search_terms(F.col("text")).alias("terms")).withColumn("length", F.size("terms"))
@@ -109,9 +280,8 @@ def bm25_top_k(queries: DataFrame, children: DataFrame, k: int, allowed: DataFra
     whole = F.when(F.col("m") == 1, F.col("have")).when(F.col("have") == F.col("m"), 1)
     found = starts.groupBy("child_id", "length", "key").agg(F.sum(whole).alias("f")).where("f > 0")
     holders = found.groupBy("key").agg(F.count("*").alias("holders"))
-    idf = F.log((F.col("n_docs") - F.col("holders") + 0.5) / (F.col("holders") + 0.5))
     weights = asked.groupBy("question_id", "key").agg(F.count("*").alias("times")).join(holders, "key").join(F.broadcast(stats))
-    weights = weights.withColumn("weight", F.col("times") * F.when(idf > 0, idf).otherwise(1e-6))
+    weights = weights.withColumn("weight", F.col("times") * idf(F.col("n_docs"), F.col("holders")))
     rows = found.join(weights, "key")
     if allowed is not None:
         rows = _allowed(rows, allowed)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.conf import Settings
 from lexspark.operators import retrieve
+from lexspark.sources.tables import written
 
 
 def hybrid_search(questions: DataFrame, children: DataFrame, settings: Settings = Settings(), allowed: DataFrame | None = None) -> DataFrame:
-    """Dense and lexical candidates of all questions (question_id, text) among children (child_id, text), fused and ranked."""
-    vectors = children.select("child_id", retrieve.hashed_embedding(F.col("text")).alias("embedding"))
+    """Dense and lexical candidates of all questions (question_id, text) among children (child_id, text), fused and ranked.
+
+    Children are made once into a table, and so are their vectors, as several jobs read them.
+    """
+    children = written(children.select("child_id", "text"))
+    vectors = written(children.select("child_id", retrieve.hashed_embedding(F.col("text")).alias("embedding")))
     asked = questions.select("question_id", retrieve.hashed_embedding(F.col("text")).alias("embedding"))
     dense = retrieve.dense_top_k(asked, vectors, settings.dense_top_k, allowed)
     lexical = retrieve.bm25_top_k(questions, children, settings.bm25_top_k, allowed)
@@ -35,6 +40,4 @@ def fallback_merge(baseline: DataFrame, rewritten: DataFrame, triggered: DataFra
         more.select("question_id", "child_id", F.struct(F.lit(1).alias("list"), "rank").alias("_o"))
     )
     first = both.groupBy("question_id", "child_id").agg(F.min("_o").alias("_o"))
-    from pyspark.sql import Window
-
     return first.select("question_id", "child_id", F.row_number().over(Window.partitionBy("question_id").orderBy("_o", "child_id")).alias("rank"))

@@ -43,3 +43,13 @@ def spread(rows: DataFrame) -> DataFrame:
     split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return rows.repartition(cores) if size < cores * split else rows
+
+
+def small_batches(rows: DataFrame, most: int = 1000) -> DataFrame:
+    """The same rows, after the session's Arrow batches have been limited to so many: whole texts are long, and the JVM and a
+    Python worker each hold a batch at a time. A smaller limit of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(rows.sparkSession.conf.get(name, "10000"))
+    if not 0 < now <= most:
+        rows.sparkSession.conf.set(name, str(most))
+    return rows
