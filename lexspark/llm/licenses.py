@@ -62,6 +62,37 @@ def distance(a: str, b: str) -> int:
     return row[-1]
 
 
+def within(pattern: str, text: str, edits: int) -> bool:
+    """Whether some part of a text is at most so many edits from a pattern: a column of the distance table as two bit masks,
+    of its rises and falls, which each character of the text moves on in a few operations."""
+    size, masks = len(pattern), _masks(pattern)
+    whole, last = (1 << size) - 1, 1 << (size - 1)
+    up, down, score = whole, 0, size
+    for c in text:
+        same = masks.get(c, 0)
+        left = same | down
+        across = (((same & up) + up) ^ up) | same
+        rise, fall = down | ~(across | up) & whole, up & across
+        if rise & last:
+            score += 1
+        elif fall & last:
+            score -= 1
+            if score <= edits:
+                return True
+        rise, fall = rise << 1 & whole, fall << 1 & whole
+        up, down = fall | ~(left | rise) & whole, rise & left
+    return score <= edits
+
+
+@cache
+def _masks(pattern: str) -> dict[str, int]:
+    """For each character the places of a pattern that hold it, as bits."""
+    found: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        found[c] = found.get(c, 0) | 1 << i
+    return found
+
+
 def _key_holds(notice: Notice, m: regex.Match) -> bool:
     """Whether the key carries at most one edit for every three of its characters, so that no other name passes for it."""
     return not notice.key or distance(m["key"], notice.key) <= len(notice.key) // 3
@@ -94,7 +125,8 @@ def _automaton(notices: tuple[Notice, ...]):
 def scan(text: str, notices: tuple[Notice, ...] = NOTICES, phrases: dict[str, str] = PHRASES) -> tuple[int, list[dict]]:
     """The number of words of a text, and its matches: label, first and last word (from 0), edits, whether a base phrase.
 
-    A text whose seeds all stand far apart takes linear time; every place that a seed points to is verified once.
+    Every place that a seed points to is verified once: bit masks tell whether anything there is near enough, and only then
+    the pattern looks for the best match, so that a text full of seeds that lead nowhere takes linear time too.
     """
     words = text.encode("utf-8", "surrogatepass").lower().translate(_blanks).split()
     line = b" ".join(words)
@@ -126,7 +158,7 @@ def scan(text: str, notices: tuple[Notice, ...] = NOTICES, phrases: dict[str, st
     for i, notice in enumerate(notices):
         spans = set()
         for a, b in windows[i]:
-            m = patterns[i].search(plain, a, min(b, len(plain)))
+            m = patterns[i].search(plain, a, min(b, len(plain))) if within(notice.words, plain[a:b], notice.edits) else None
             if m and _key_holds(notice, m) and m.span() not in spans:
                 spans.add(m.span())
                 start = m.start() + (len(m[0]) - len(m[0].lstrip()))

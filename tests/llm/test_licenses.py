@@ -119,3 +119,26 @@ def test_many_notices_take_linear_time():
         assert len(licenses.scan("released under the mit license " * n)[1]) == 2 * n
         times.append(time.process_time() - began)
     assert times[1] < 20 * times[0]
+
+
+def test_bit_masks_agree_with_the_distance_table():
+    rng = random.Random(4)
+    for _ in range(500):
+        pattern, text = "".join(rng.choices("abc ", k=rng.randrange(1, 12))), "".join(rng.choices("abc ", k=rng.randrange(20)))
+        least = min(licenses.distance(pattern, text[i:j]) for i in range(len(text) + 1) for j in range(i, len(text) + 1))
+        for edits in range(6):
+            assert licenses.within(pattern, text, edits) == (least <= edits)
+
+
+def test_seeds_that_lead_nowhere_take_linear_time(monkeypatch):
+    import time
+
+    near = "permission is hereby granted free of " * 4000
+    began = time.process_time()
+    words, found = licenses.scan(near)
+    took = time.process_time() - began
+    assert words == 24_000 and not found and took < 10 * len(near) / 1e6 + 1
+    mixed = near[:3000] + "permission is hereby granted free of charge to any persn obtaining a copy " + near[:3000]
+    fast = licenses.scan(mixed)
+    monkeypatch.setattr(licenses, "within", lambda *a: True)
+    assert licenses.scan(mixed) == fast and [m["label"] for m in fast[1]] == ["mit"]
