@@ -190,6 +190,36 @@ def gate_features(final: DataFrame, lists: DataFrame, k: int = 20) -> DataFrame:
     return spread.join(overlap, "question_id", "left").join(moved, "question_id", "left")
 
 
+def run_features(questions: DataFrame, ranked: DataFrame, places: DataFrame, traces: DataFrame, budget: int, per_document: int = 3) -> DataFrame:
+    """The other features of a gate: what a question's ranked chunks become in its context, and what its run was traced to take.
+
+    ranked: (question_id, child_id, rank); places: (child_id, parent_id, document_id, tokens: its parent's); traces:
+    (question_id, metadata_confidence, metadata_candidate_count, bm25_ms, reranker_ms). Parents stand at their first child's
+    rank; `per_document` of a document stay, and those that fit into the budget before the first that doesn't are the context.
+    A question without chunks or without a trace has nulls.
+    """
+    hits = ranked.select("question_id", "child_id", "rank").join(places, "child_id")
+    parents = hits.groupBy("question_id", "parent_id", "document_id").agg(F.min("rank").alias("rank"), F.max("tokens").alias("cost"))
+    place = F.row_number().over(Window.partitionBy("question_id", "document_id").orderBy("rank"))
+    upto = Window.partitionBy("question_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    spent = parents.withColumn("_n", place).where(F.col("_n") <= per_document).withColumn("spent", F.sum("cost").over(upto))
+    fits = F.col("spent") <= budget
+    context = spent.groupBy("question_id").agg(
+        F.count("*").alias("parents_after_expansion"), F.count(F.when(fits, 1)).alias("evidences_in_context"), F.coalesce(F.max(F.when(fits, F.col("spent"))), F.lit(0)).alias("token_count"), F.count(F.when(~fits, 1)).alias("dropped_by_budget")
+    )
+    sizes = hits.groupBy("question_id").agg(F.count("*").alias("children"))
+    rows = questions.select("question_id").join(sizes, "question_id", "left").join(context, "question_id", "left").join(traces, "question_id", "left")
+    return rows.select("question_id", "children", "parents_after_expansion", "evidences_in_context", "token_count", "dropped_by_budget", "metadata_confidence", "metadata_candidate_count", "bm25_ms", "reranker_ms")
+
+
+def features_available(features: DataFrame, names: list[str]) -> DataFrame:
+    """(feature, known, missing, for_all) of each named column: a gate may only use features that every question has."""
+    counts = features.agg(F.count("*").alias("_all"), *[F.count(n).alias(n) for n in names])
+    told = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("known")) for n in names])).alias("f")
+    rows = counts.select("_all", told).select("f.feature", "f.known", "_all")
+    return rows.select("feature", "known", (F.col("_all") - F.col("known")).alias("missing"), (F.col("known") == F.col("_all")).alias("for_all"))
+
+
 def policy_results(rows: DataFrame, policies: dict[str, Column]) -> DataFrame:
     """What each fallback policy would do: how often it fires, rescues, regresses, its net gain and precision.
 

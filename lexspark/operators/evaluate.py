@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.sources.tables import written
+
 ALPHA, BETA, GAMMA = 0.9, 3.0, 0.5
 
 
@@ -97,12 +99,6 @@ def mean_reciprocal_rank(rank: Column) -> Column:
     return F.avg(F.coalesce(1.0 / rank, F.lit(0.0)))
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """The value at place round(share * (n - 1)), half-even, of the sorted values; no interpolation. Values: an aggregate."""
-    ordered = F.sort_array(values)
-    return F.element_at(ordered, (F.bround(share * (F.size(ordered) - 1), 0) + 1).cast("int"))
-
-
 def _ranked(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Adds the place of each value within its group, and the group's size, without gathering a group's values."""
     sizes = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("_n"))
@@ -266,10 +262,21 @@ def sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
 
 
-def tail_split(rows: DataFrame, order: str, fraction: float) -> DataFrame:
-    """Adds `validation`: whether a row is among the last int(n * fraction) in order."""
-    held = int(rows.count() * fraction)
-    if held == 0:
-        return rows.withColumn("validation", F.lit(False))
-    last = rows.select(order).orderBy(F.desc(order)).limit(held).agg(F.min(order)).first()[0]
-    return rows.withColumn("validation", F.col(order) >= F.lit(last))
+def tail_split(rows: DataFrame, order: str, fraction: float, length: Column | None = None, most: int | None = None) -> DataFrame:
+    """Adds `validation`: whether a row is among the last int(n * fraction) in order; rows without an order never are.
+
+    With `length` and `most` rows that are longer are skipped first, and don't count. Rows that share the value at the border
+    are all held out. The border is looked for in the one range of values that holds it, so no task sorts all rows.
+    """
+    if length is not None and most is not None:
+        rows = rows.where(F.coalesce(length, F.lit(0)) <= most)
+    known = rows.select(order).where(F.col(order).isNotNull())
+    ranges = written(known.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
+    sizes = ranges.groupBy("_p").agg(F.count("*").alias("_c"))
+    total = ranges.agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    place = F.col("_n") - F.floor(F.col("_n") * F.lit(fraction))
+    border = sizes.withColumn("_before", before).join(F.broadcast(total)).withColumn("_at", place - F.col("_before")).where((F.col("_at") >= 0) & (F.col("_at") < F.col("_c")))
+    number = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
+    last = ranges.join(F.broadcast(border.select("_p", "_at")), "_p").withColumn("_i", number).where("_i = _at").agg(F.min(order).alias("_border"))
+    return rows.join(F.broadcast(last)).withColumn("validation", F.coalesce(F.col(order) >= F.col("_border"), F.lit(False))).drop("_border")  # one row

@@ -76,3 +76,14 @@ def metadata_filter(questions: DataFrame, names: DataFrame, children: DataFrame,
     n, tried = F.coalesce("matched", F.lit(0)), F.coalesce("_tried", F.lit(False))
     unsure = F.coalesce("ambiguous", F.lit(False))
     return flags.select("question_id", (n > 0).alias("applied"), unsure.alias("ambiguous"), (tried & ~unsure & (n == 0)).alias("empty_lookup"), n.alias("matched")), allowed
+
+
+def should_filter(flags: DataFrame) -> DataFrame:
+    """(question_id, should_filter): whether a question's candidates are to be restricted, from metadata_filter's flags."""
+    return flags.select("question_id", F.coalesce("applied", F.lit(False)).alias("should_filter"))
+
+
+def allowed_ids(flags: DataFrame, matches: DataFrame) -> DataFrame:
+    """(question_id, child_id) of the children that filtered questions may get; questions without a filter have none here, as
+    all children are theirs."""
+    return matches.join(flags.where("applied").select("question_id"), "question_id", "left_semi").select("question_id", "child_id").distinct()

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions.answers import normalise_answer
-from lexspark.functions.text import words
+from lexspark.functions.text import token_count, words
 from lexspark.operators import validate
 from lexspark.sources import writers
 
@@ -55,12 +55,13 @@ def failures(answers: DataFrame) -> DataFrame:
 
 
 def generate_answers(
-    questions: DataFrame, provider: Provider = extractive, repair: Provider | None = None, require_citation: bool = True, repair_tokens: int = 192
+    questions: DataFrame, provider: Provider = extractive, repair: Provider | None = None, require_citation: bool = True, repair_tokens: int = 192, max_context: int | None = None
 ) -> DataFrame:
     """Answers to questions (question_id, text, evidence: array of structs with text), validated, repaired at most once.
 
     Questions whose evidence has no text get the abstention; where the provider fails the answer is null and `error` says
-    why. A repaired answer ends after `repair_tokens` words. Returns question_id, answer, error, abstained, repaired,
+    why. A repaired answer ends after `repair_tokens` words; a repair whose prompt leaves no room for them within
+    `max_context`, or that comes back empty, fails and costs that answer. Returns question_id, answer, error, abstained, repaired,
     grounded, grounding_errors and the columns of the citation check.
     """
     abstain = validate.should_abstain(F.col("evidence.text"))
@@ -72,17 +73,30 @@ def generate_answers(
         return checked.withColumn("repaired", F.lit(False))
     again = ~F.col("abstained") & F.col("error").isNull() & validate.repair_eligible(F.col("grounding_errors"))
     columns = rows.columns
-    fixed = checked.where(again).select(columns).withColumn("_made", _guarded(repair))
+    broken = checked.where(again)
+    asked = token_count(repair_prompt(F.col("text"), F.col("answer"), F.col("grounding_errors"), F.col("evidence")))
+    full = asked + repair_tokens > max_context if max_context is not None else F.lit(False)
+    why = F.concat(F.lit("RepairTooLong: prompt="), asked, F.lit(f", generation={repair_tokens}, limit={max_context}"))
+    late = broken.withColumn("_full", full).where("_full").withColumn("error", why).withColumn("answer", F.lit(None).cast("string")).drop("_full")
+    fixed = broken.withColumn("_full", full).where("not _full").select(columns).withColumn("_made", _guarded(repair))
     short = F.array_join(F.slice(words(F.col("_made.answer")), 1, repair_tokens), " ")
     long = F.size(words(F.col("_made.answer"))) > repair_tokens
-    fixed = fixed.withColumn("answer", F.when(long, short).otherwise(F.col("_made.answer"))).withColumn("error", F.col("_made.error")).drop("_made")
+    answer = F.nullif(F.trim(F.when(long, short).otherwise(F.col("_made.answer"))), F.lit(""))
+    fixed = fixed.withColumn("answer", answer).withColumn("error", F.coalesce("_made.error", F.when(answer.isNull(), "EmptyRepair: the repair has no text"))).drop("_made")
     fixed = validate.validate_grounding(validate.validate_citations(fixed.withColumn("n_evidence", F.size("evidence")), require_citation))
-    return checked.where(~again).withColumn("repaired", F.lit(False)).unionByName(fixed.withColumn("repaired", F.lit(True)))
+    done = checked.where(~again).withColumn("repaired", F.lit(False)).unionByName(fixed.withColumn("repaired", F.lit(True)))
+    return done if max_context is None else done.unionByName(late.withColumn("repaired", F.lit(False)))
 
 
 def submission_rows(answers: DataFrame, done: DataFrame | None = None, fallback: str = validate.ABSTENTION, require_grounded: bool = False) -> DataFrame:
-    """(question_id, answer): normalised answers; those of `done` (an earlier run) come first, failed ones get the fallback."""
+    """(question_id, answer): normalised answers; those of `done` (an earlier run) come first, failed ones get the fallback.
+
+    A question id that is missing or repeated is an error when the rows are read.
+    """
     fresh = answers if done is None else answers.join(done, "question_id", "left_anti")
     bad = F.col("answer").isNull() | (~F.col("grounded") if require_grounded else F.lit(False))
+    times = F.count("*").over(Window.partitionBy("question_id"))
+    wrong = F.when(F.col("question_id").isNull(), F.raise_error(F.lit("an answer has no question_id"))).when(times > 1, F.raise_error(F.concat(F.lit("repeated question_id: "), F.col("question_id").cast("string"))))
+    fresh = fresh.withColumn("_wrong", wrong.cast("string")).where("_wrong is null")
     rows = fresh.select("question_id", F.when(bad, F.lit(fallback)).otherwise(normalise_answer(F.col("answer"))).alias("answer"))
     return rows if done is None else rows.unionByName(done.select("question_id", "answer"))

@@ -170,12 +170,19 @@ SELECT o_orderkey AS question_id, hit AND sure AS applied, false AS ambiguous, s
 def metadata_filter(spark, d):
     """Each order asks for its own article of its customer's document, by the document's id or by its number."""
     _, children = chunks.parent_child_chunks(passages(spark, d))
+    flags, _ = filters.metadata_filter(filter_questions(spark, d).select("question_id", filters.query_metadata(F.col("q")).alias("metadata")), filter_names(spark, d), children)
+    return flags
+
+
+def filter_questions(spark, d) -> DataFrame:
     customer = F.col("o_custkey").cast("string")
     document = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("văn bản id "), customer)).otherwise(F.concat(customer, F.lit("/2020/TT-BTC")))
-    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("question_id"), F.concat(F.lit("Theo điều "), F.col("o_orderkey").cast("string"), F.lit(" của "), document).alias("q"))
-    names = table(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), F.concat(F.lit("Thong-tu-"), customer, F.lit("-2020-TT-BTC-huong-dan")).alias("document_name")).distinct()
-    flags, _ = filters.metadata_filter(asked.select("question_id", filters.query_metadata(F.col("q")).alias("metadata")), names, children)
-    return flags
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("question_id"), F.concat(F.lit("Theo điều "), F.col("o_orderkey").cast("string"), F.lit(" của "), document).alias("q"))
+
+
+def filter_names(spark, d) -> DataFrame:
+    name = F.concat(F.lit("Thong-tu-"), F.col("o_custkey").cast("string"), F.lit("-2020-TT-BTC-huong-dan"))
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), name.alias("document_name")).distinct()
 
 
 @query("""SELECT DISTINCT (a.o_orderkey % 1000) || '/' || year(a.o_orderdate) || '/TT-BTC' AS document_number, b.o_orderkey AS document_id FROM orders a JOIN orders b
@@ -456,9 +463,18 @@ def answer_pipeline(spark, d):
 
 @query(r"SELECT conv_id, turn, upper(left(t, 1)) || substr(t, 2) AS answer FROM (SELECT conv_id, turn, regexp_replace(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')), ' ([,.;:])', '\1', 'g') AS t FROM conversations WHERE role = 'assistant')")
 def answer_normalise(spark, d):
-    """Assistant turns with prompt scaffolding around them, which normalising takes off again."""
-    wrapped = F.concat(F.lit("Dựa trên ngữ cảnh 1, "), F.col("text"), F.lit(" [1] (Ngữ cảnh 2)"))
-    return _turns(spark, d).select("conv_id", "turn", normalise_answer(wrapped).alias("answer"))
+    """Assistant turns with prompt scaffolding around them, of one of twelve kinds each, which normalising takes off again."""
+    text, kind = F.col("text"), F.col("conv_id") % 12
+    before = {
+        0: "Dựa trên ngữ cảnh 1, ", 1: "Theo ngữ cảnh được cung cấp: ", 2: "Câu trả lời cho câu hỏi \"Ai?\" là: ", 3: "> ", 4: "**Văn bản 2**: ", 5: "Ngữ cảnh 3 (mục b): ",
+        6: "Ở đây không có thông tin. Tuy nhiên, ", 7: "Đây là nội dung trong ngữ cảnh 2. ", 8: "## ", 9: ";, ", 10: "Căn cứ vào ngữ cảnh trên; ", 11: "",
+    }
+    after = {
+        0: " [1] (Ngữ cảnh 2)", 1: " (Document ID: 12:ab)", 2: ", Child ID 7", 3: " [2][3]", 4: " ()", 5: " [theo ngữ cảnh 1 và 2]", 6: " _", 7: " (a-b-c-d xem thêm)", 8: " [ ]", 9: " (x-y-z", 10: " (,)",
+        11: " Vì vậy, đây là thông tin chính xác và rõ.",
+    }
+    pick = lambda parts: F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])[kind.cast("int")]
+    return _turns(spark, d).select("conv_id", "turn", normalise_answer(F.concat(pick(before), text, pick(after))).alias("answer"))
 
 
 @query("""WITH a AS (SELECT conv_id::VARCHAR AS question_id FROM conversations WHERE role = 'assistant'), e AS (SELECT DISTINCT conv_id::VARCHAR AS question_id FROM conversations WHERE role = 'user' UNION SELECT DISTINCT doc_id::VARCHAR FROM labels)

@@ -51,5 +51,8 @@ def ingest(found: DataFrame, versions: IndexVersions, settings: Settings = Setti
     if manifest["status"] == "ready" and not broken:
         versions.publish(version)
     spark.catalog.clearCache()
-    return manifest | {"broken_rules": broken}
+    failed = fresh.where("error is not null").groupBy("error").count().orderBy(F.desc("count"), "error").limit(20).collect()
+    result = manifest | {"broken_rules": broken, "failures": {r.error: r["count"] for r in failed}, "published": versions.current() == version}
+    versions.report(version, result)
+    return result
 

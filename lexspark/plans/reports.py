@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.operators import chunks, evaluate, filters, reports, retrieve
-from lexspark.plans.catalog import _CHUNKS, _FLAGS, _LISTS, _PAIRS, _PASSAGES, _STAGE, SQL, _pairs, _rewrites, children, doc_chunks, docs, passages, query, questions, table
+from lexspark.operators import audits, chunks, evaluate, filters, reports, retrieve
+from lexspark.plans.catalog import _CHUNKS, _FLAGS, _LISTS, _PAIRS, _PASSAGES, _STAGE, SQL, _pairs, _rewrites, children, doc_chunks, docs, filter_names, filter_questions, passages, query, questions, table
 
 _RUNS = f"""{_LISTS}, lists AS (SELECT 'whole' AS config, question_id, doc_id, rank FROM whole UNION ALL SELECT 'first', question_id, doc_id, rank FROM first UNION ALL SELECT 'rest', question_id, doc_id, rank FROM rest),
 gold AS (SELECT m.item_id AS question_id, x.doc_id FROM benchmark m JOIN documents x ON contains(x.text, m.text)),
@@ -48,14 +48,15 @@ def rerank_diagnostics(spark, d):
     return reports.rerank_diagnostics(ranked.drop("o_orderstatus"), gold).withColumn("blockers", F.array_join("blockers", ","))
 
 
-@query(f"""WITH {_PASSAGES}, f AS (SELECT o_orderkey IN (SELECT l_orderkey FROM lineitem) AS hit, o_custkey FROM orders)
-SELECT count(*) AS questions, count(*) FILTER (hit) AS applied, 0::BIGINT AS ambiguous, count(*) FILTER (NOT hit) AS empty_lookup, count(DISTINCT o_custkey) AS document_ids, 0::BIGINT AS document_numbers FROM f""")
+@query(f"""WITH {_PASSAGES}, q AS (SELECT o_orderkey IN (SELECT l_orderkey FROM lineitem) AS hit, o_orderkey % 2 = 1 AND o_custkey % 10 = 0 AS twice, o_orderkey % 2 = 0 AS by_id, o_custkey FROM orders)
+SELECT count(*) AS questions, count(*) FILTER (hit AND NOT twice) AS applied, count(*) FILTER (twice) AS ambiguous, count(*) FILTER (NOT hit AND NOT twice) AS empty_lookup, count(DISTINCT o_custkey) FILTER (by_id) AS document_ids, count(DISTINCT o_custkey) FILTER (NOT by_id) AS document_numbers FROM q""")
 def filter_statistics(spark, d):
-    """The questions of metadata_filter, counted."""
+    """The questions of metadata_filter, by id or by number, counted; a tenth of the numbers is that of two documents."""
     _, kids = chunks.parent_child_chunks(passages(spark, d))
-    said = F.concat(F.lit("Theo điều "), F.col("o_orderkey").cast("string"), F.lit(" của văn bản id "), F.col("o_custkey").cast("string"))
-    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("question_id"), filters.query_metadata(said).alias("metadata"))
-    flags, _ = filters.metadata_filter(asked, passages(spark, d).select("document_id", "document_name"), kids)
+    asked = filter_questions(spark, d).select("question_id", filters.query_metadata(F.col("q")).alias("metadata"))
+    names = filter_names(spark, d)
+    other = names.where("document_id % 10 = 0").select((-F.col("document_id") - 1).alias("document_id"), F.replace("document_name", F.lit("huong-dan"), F.lit("khac")).alias("document_name"))
+    flags, _ = filters.metadata_filter(asked, names.unionByName(other), kids)
     return reports.filter_statistics(flags, asked)
 
 
@@ -104,3 +105,37 @@ def article_hits(spark, d):
     part = lambda c: F.collect_set(F.when(c, F.col("o_orderkey") % 5))
     rows = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("question_id")).agg(part(F.col("o_orderpriority") == "1-URGENT").alias("said"), part(F.col("o_orderstatus") == "O").alias("gold"))
     return reports.article_hits(rows).select("question_id", "hit")
+
+
+_GATE = """o AS (SELECT o_custkey AS question_id, o_orderkey AS child, o_orderkey % 97 AS parent, o_orderkey % 97 % 11 AS document, o_orderkey % 400 + 20 AS tokens, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
+t AS (SELECT * FROM o WHERE rank <= 12), pt AS (SELECT parent, max(tokens) AS cost FROM o GROUP BY 1), pa AS (SELECT question_id, parent, document, min(rank) AS f FROM t GROUP BY ALL),
+pe AS (SELECT *, row_number() OVER (PARTITION BY question_id, document ORDER BY f) AS n FROM pa),
+sp AS (SELECT *, sum(cost) OVER (PARTITION BY question_id ORDER BY f) AS spent FROM pe JOIN pt USING (parent) WHERE n <= 2),
+bu AS (SELECT question_id, count(*) AS parents_after_expansion, count(*) FILTER (spent <= 1500) AS evidences_in_context, coalesce(max(spent) FILTER (spent <= 1500), 0)::BIGINT AS token_count, count(*) FILTER (spent > 1500) AS dropped_by_budget FROM sp GROUP BY 1),
+ch AS (SELECT question_id, count(*) AS children FROM t GROUP BY 1),
+tr AS (SELECT c_custkey AS question_id, CASE WHEN c_custkey % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS metadata_confidence, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 50 END AS metadata_candidate_count, c_custkey % 40 / 8.0::DOUBLE AS bm25_ms, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 70 / 4.0::DOUBLE END AS reranker_ms FROM customer),
+gf AS (SELECT c_custkey AS question_id, children, parents_after_expansion, evidences_in_context, token_count, dropped_by_budget, metadata_confidence, metadata_candidate_count, bm25_ms, reranker_ms FROM customer LEFT JOIN ch ON ch.question_id = c_custkey LEFT JOIN bu ON bu.question_id = c_custkey LEFT JOIN tr ON tr.question_id = c_custkey)"""
+_RUN_FEATURES = ("children", "parents_after_expansion", "evidences_in_context", "token_count", "dropped_by_budget", "metadata_confidence", "metadata_candidate_count", "bm25_ms", "reranker_ms")
+
+
+def _run_features(spark, d) -> DataFrame:
+    """Customers as questions with their twelve dearest orders as children of 97 parents in 11 documents; traces by number."""
+    k, q = F.col("o_orderkey"), F.col("question_id")
+    orders = table(spark, d, "orders")
+    places = orders.select(k.alias("child_id"), (k % 97).alias("parent_id"), (k % 97 % 11).alias("document_id"), (k % 400 + 20).alias("tokens"))
+    costs = places.groupBy("parent_id").agg(F.max("tokens").alias("tokens"))
+    order = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    ranked = orders.select(F.col("o_custkey").alias("question_id"), k.alias("child_id"), F.row_number().over(order).alias("rank")).where("rank <= 12")
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("question_id"))
+    traces = asked.select("question_id", F.when(q % 3 == 0, 1.0).otherwise(0.0).alias("metadata_confidence"), F.when(q % 3 == 0, q % 50).alias("metadata_candidate_count"), (q % 40 / 8.0).alias("bm25_ms"), F.when(q % 5 != 0, q % 70 / 4.0).alias("reranker_ms"))
+    return audits.run_features(asked, ranked, places.drop("tokens").join(costs, "parent_id"), traces, budget=1500, per_document=2)
+
+
+@query(f"WITH {_GATE} SELECT * FROM gf")
+def run_features(spark, d):
+    return _run_features(spark, d)
+
+
+@query(f"WITH {_GATE} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, count({f}) AS known, count(*) - count({f}) AS missing, count({f}) = count(*) AS for_all FROM gf" for f in _RUN_FEATURES))
+def features_available(spark, d):
+    return audits.features_available(_run_features(spark, d), list(_RUN_FEATURES))

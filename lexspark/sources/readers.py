@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,3 +110,20 @@ def training_log(spark: SparkSession, run: str) -> DataFrame:
     return rows.select(
         "step", "split", F.bround(F.coalesce("epoch", F.lit(0.0)), 4).alias("epoch"), "learning_rate", F.coalesce("loss", "eval_loss").alias("loss"), "grad_norm", F.col("eval_runtime").alias("runtime_seconds")
     )
+
+
+class UnsupportedDocument(ValueError):
+    """No reader takes a path."""
+
+
+#: Readers by what the names of their files end with, in the order in which they are asked.
+READERS: list[tuple[tuple[str, ...], Callable[[SparkSession, str], DataFrame]]] = [((".json",), read_contexts)]
+
+
+def reader_of(path: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The first reader that takes a path, a file or a pattern; a folder is one of JSON records."""
+    name = path.rstrip("/").rsplit("/", 1)[-1].lower()
+    for endings, reader in READERS:
+        if name.endswith(endings) or "." not in name:
+            return reader
+    raise UnsupportedDocument(f"no reader for {path}")

@@ -101,6 +101,28 @@ class IndexVersions:
     def read(self, version: str, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.place(version, name)}")
 
+    def report(self, version: str, found: dict) -> None:
+        """Puts an ingestion's report (counts, failures, times) beside its version's manifest, in one move."""
+        self._write(f"{version}/report.json", json.dumps(found | {"version": version}, indent=2, sort_keys=True))
+
+    def read_report(self, version: str) -> dict | None:
+        text = self._read(f"{version}/report.json")
+        return json.loads(text) if text else None
+
+    def fingerprint(self, folder: str = "") -> dict[str, tuple[int, int]]:
+        """Size and time of change of every file under a folder, by name; journals that readers leave behind don't count.
+
+        Take it before and after a job that must not change what it reads, and compare.
+        """
+        root, out = self._path(f"{self.root}/{folder}".rstrip("/")), {}
+        files = self._fs.listFiles(root, True) if self._fs.exists(root) else None
+        while files is not None and files.hasNext():
+            status = files.next()
+            name = status.getPath().toUri().getPath()[len(self._path(self.root).toUri().getPath()) + 1 :]
+            if not name.endswith(("-shm", "-wal", "-journal", ".crc")):
+                out[name] = (status.getLen(), status.getModificationTime())
+        return out
+
     def stage(self, version: str, tables: dict[str, DataFrame], changes: dict | None = None) -> dict:
         """A new version of the current one with these tables in place of its own, not published; the others are kept."""
         now = self.current()
