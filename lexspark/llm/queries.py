@@ -19,4 +19,4 @@ QUERIES = {
     "op12_structure": structure.op12_structure,
     "op13_whitening": whitening.op13_whitening,
 }
-SQL: dict[str, str] = {"op1_chat_format": chat.SQL, "op2_jaccard": jaccard.SQL, "op3_embeddings": vectors.SQL}
+SQL: dict[str, str] = {"op1_chat_format": chat.SQL, "op2_jaccard": jaccard.SQL, "op3_embeddings": vectors.SQL, "op12_structure": structure.SQL}

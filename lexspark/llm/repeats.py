@@ -10,7 +10,6 @@ over the texts, are all matching statistics, and matches of 200 bytes or more ar
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 

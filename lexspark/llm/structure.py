@@ -271,3 +271,25 @@ def op12_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary, turns = repair(damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
     found = digests(turns).withColumnRenamed("conv_id", "_conv")
     return summary.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").withColumn("repaired_sha256", _filled(F.col("repaired_sha256"))).drop("_conv")
+
+
+#: The same by a recursion over (row, state) with costs and letters side by side; crc32 from its table of 256 remainders.
+SQL = r"""WITH RECURSIVE tab AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS c FROM range(256) r(n))),
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda s: ascii(s)::BIGINT), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 20 AS k FROM conversations, tab),
+e AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM (SELECT *, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE k <> 0)),
+g AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM e),
+f AS (SELECT *, left(role, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault FROM g),
+b AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) AS n, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY n) || i AS before FROM f) GROUP BY conv_id),
+c AS (SELECT DISTINCT conv_id FROM conversations),
+p AS (SELECT conv_id, 0::BIGINT AS n, '' AS state, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS said FROM c
+  UNION ALL SELECT * FROM (SELECT conv_id, f_n, CASE o WHEN 'D' THEN st WHEN 'K' THEN i ELSE nx END AS to_state, cost + 3 * m + CASE o WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN o <> 'D' AND fault = 3 THEN 3 ELSE 0 END AS to_cost, audit || repeat('I', m) || o AS to_audit,
+      list_concat(list_concat(said, put), CASE o WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE nx WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text] END) AS to_said
+    FROM (SELECT *, CASE WHEN st = 'u' THEN 'a' ELSE 'u' END AS nx FROM (SELECT p.conv_id, p.cost, p.audit, p.said, f.n AS f_n, f.role, f.text, f.fault, f.i, m, CASE m WHEN 0 THEN state WHEN 1 THEN CASE WHEN state = 'u' THEN 'a' ELSE 'u' END ELSE CASE WHEN state = 'u' THEN 'u' ELSE 'a' END END AS st,
+      CASE m WHEN 0 THEN [] WHEN 1 THEN [CASE WHEN state = 'u' THEN 'assistant:' ELSE 'user:' END] ELSE CASE WHEN state = 'u' THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END END AS put
+      FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.n = p.n + 1, (VALUES (0), (1), (2)) v(m))), (VALUES ('D'), ('K'), ('R')) w(o)
+    WHERE o = 'D' OR (fault NOT IN (1, 2) AND (o = 'R' OR st || i IN ('s', 'u', 'su', 'ua', 'au') AND i <> '' AND (st <> '' OR i IN ('s', 'u')))) QUALIFY row_number() OVER (PARTITION BY conv_id, to_state ORDER BY to_cost, to_audit) = 1)),
+z AS (SELECT p.conv_id, cost + 3 * m AS cost, audit || repeat('I', m) AS audit, array_to_string(list_concat(said, CASE m WHEN 0 THEN [] WHEN 1 THEN ['assistant:'] ELSE ['user:', 'assistant:'] END), chr(10)) AS told
+  FROM p LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM p.conv_id, (VALUES (0), (1), (2)) v(m) WHERE p.n = coalesce(b.n, 0) AND CASE m WHEN 0 THEN state IN ('', 'a') WHEN 1 THEN state = 'u' ELSE state IN ('', 's') END
+  QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY cost + 3 * m, audit || repeat('I', m)) = 1)
+SELECT z.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, z.cost, z.audit, sha256(z.told) AS repaired_sha256 FROM z LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM z.conv_id"""
