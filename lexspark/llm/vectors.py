@@ -65,9 +65,17 @@ def turned(x: np.ndarray) -> np.ndarray:
     return np.concatenate([y[:, :1].real, inner.real, inner.imag, y[:, last:].real], axis=1)
 
 
+#: Vectors of fewer dimensions are laid into so many, where halves leave the code enough choice; cosines stay.
+FEWEST_DIMENSIONS = 16
+
+
 class ProductCode:
     def __init__(self, dim: int, config: CapConfig):
         rng = np.random.default_rng(config.seed)
+        self.lift = None
+        if dim < FEWEST_DIMENSIONS:
+            self.lift = np.linalg.qr(rng.normal(size=(FEWEST_DIMENSIONS, dim)))[0].T
+            dim = FEWEST_DIMENSIONS
         self.signs = rng.choice([-1.0, 1.0], dim)
         self.half = (dim + 1) // 2
         self.bound, share = cap(dim, config.share)
@@ -80,7 +88,7 @@ class ProductCode:
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """For each unit vector the numbers of all filters that exceed the bound, and at least the `least` best."""
-        y = turned(unit * self.signs)
+        y = turned((unit if self.lift is None else unit @ self.lift) * self.signs)
         left, right = y[:, : self.half] @ self.codes[0].T, y[:, self.half :] @ self.codes[1].T
         k, out = self.directions, []
         for a, b in zip(left, right):

@@ -63,7 +63,7 @@ def test_repeated_ids_and_empty(spark):
     assert vectors.cosine_components(spark.createDataFrame([], KIND)).count() == 0
 
 
-@pytest.mark.parametrize("dim", [8, 32, 64, 384])
+@pytest.mark.parametrize("dim", [2, 3, 4, 6, 8, 32, 64, 384])
 @pytest.mark.parametrize("vectors_there", [500, 200_000])
 def test_recall_of_the_defaults_just_above_the_threshold(dim, vectors_there):
     """Pairs planted at a cosine of 0.9802, with the caps that a label of so many vectors gets."""
