@@ -509,8 +509,13 @@ def meteor(spark, d):
     return evaluate.meteor(_pairs(spark, d)).withColumn("meteor", F.round("meteor", 9))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {_PAIRS}, hs AS (SELECT id, unnest(h) AS t, generate_subscripts(h, 1) AS i FROM tok), rs AS (SELECT id, unnest(r) AS t, generate_subscripts(r, 1) AS j FROM tok),
+l AS (SELECT id, 0::BIGINT AS i, j, 0::BIGINT AS v FROM rs UNION ALL SELECT id, i, j, max(c) OVER (PARTITION BY id ORDER BY j) FROM (
+  SELECT l.id, hs.i, l.j, greatest(l.v, CASE WHEN hs.t = rs.t THEN 1 + coalesce(lag(l.v) OVER (PARTITION BY l.id ORDER BY l.j), 0) ELSE 0 END) AS c FROM l JOIN hs ON hs.id = l.id AND hs.i = l.i + 1 JOIN rs ON rs.id = l.id AND rs.j = l.j)),
+n AS (SELECT id, max(v) AS n FROM l GROUP BY id)
+SELECT id, round(CASE WHEN n > 0 THEN 2 * n / (len(h) + len(r))::DOUBLE ELSE 0 END, 9) AS rouge_l FROM tok LEFT JOIN n USING (id)""")
 def rouge_l(spark, d):
+    """The SQL fills the table of the longest common subsequence, a row of it for each word of the hypothesis."""
     return _pairs(spark, d).select("id", F.round(evaluate.rouge_l(F.col("hypothesis"), F.col("reference")), 9).alias("rouge_l"))
 
 

@@ -93,9 +93,14 @@ def prompt_fit(spark, d):
     return reports.prompt_fit(rows, block, 2500, 500, 300).select(F.col("question_id").alias("doc_id"), F.col("rank").alias("position"), "cost", "spent", "fits")
 
 
-@query("SELECT count(*) AS vectors, count(*) FILTER (embedding IS NULL) AS missing, count(*) FILTER (len(embedding) <> 64) AS other_dimension, (SELECT count(*) FROM (SELECT vec_id FROM embeddings GROUP BY 1 HAVING count(*) > 1)) AS repeated_ids FROM embeddings")
+@query("""WITH v AS (SELECT vec_id - CASE WHEN vec_id % 13 = 1 THEN 1 ELSE 0 END AS vec_id, CASE WHEN vec_id % 7 = 0 THEN NULL WHEN vec_id % 11 = 0 THEN embedding[1:32] ELSE embedding END AS embedding FROM embeddings)
+SELECT count(*) AS vectors, count(*) FILTER (embedding IS NULL) AS missing, count(*) FILTER (len(embedding) <> 64) AS other_dimension, (SELECT count(*) FROM (SELECT vec_id FROM v GROUP BY 1 HAVING count(*) > 1)) AS repeated_ids FROM v""")
 def vector_checks(spark, d):
-    return reports.vector_checks(table(spark, d, "embeddings"), 64)
+    """All vectors, some of them taken out, cut short or given their neighbour's id."""
+    key, vector = F.col("vec_id"), F.col("embedding")
+    broken = F.when(key % 7 == 0, None).when(key % 11 == 0, F.slice(vector, 1, 32)).otherwise(vector)
+    rows = table(spark, d, "embeddings").select((key - (key % 13 == 1).cast("int")).alias("vec_id"), broken.alias("embedding"))
+    return reports.vector_checks(rows, 64)
 
 
 @query("""WITH s AS (SELECT o_custkey AS question_id, list(DISTINCT o_orderkey % 5) FILTER (o_orderpriority = '1-URGENT') AS said, list(DISTINCT o_orderkey % 5) FILTER (o_orderstatus = 'O') AS gold FROM orders GROUP BY 1)
