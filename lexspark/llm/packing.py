@@ -16,9 +16,12 @@ import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 from lexspark.llm.common import give_back, slices, small_batches, table, text_or_empty
 
+#: A blank, as byte-level models write it.
+_BLANK = "Ġ"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -72,8 +75,10 @@ class Encoder:
     """Token ids of whole texts, as the tokenizers library gives them with add_special_tokens=False.
 
     Byte-level models cut a text into runs of letters, numbers, other characters and white space, and none of these reaches
-    across the start of a word (a run without white space, with the blank before it). So each distinct word, and each run of
-    other white space, is encoded by the library once and looked up afterwards; at most `cached` of them are kept. Texts
+    across the start of a word (a run without white space, with the blank before it), nor from Latin letters to a sign
+    after them (an apostrophe aside, which may begin an ending). So each distinct word, cut after the letters that it
+    begins with, and each run of other white space, is encoded by the library once and looked up afterwards; at most
+    `cached` of them and those of one call are kept: once half of them are new, those not met since are forgotten. Texts
     that hold an added token, which cuts before words do, and texts for models of other kinds go to the library whole.
     """
 
@@ -85,23 +90,37 @@ class Encoder:
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.library = Tokenizer.from_file(path)
+        # the same model for ASCII letters with a blank before them, which it knows as they are: no pattern is needed to cut them
+        self.letters = Tokenizer.from_file(path)
+        self.letters.pre_tokenizer = Split(_BLANK, "merged_with_next")
         # the four separators from 0x1C on are no white space for the library
-        word, blank = r"(?:\S|[\x1c-\x1f])", r"[^\S\x1c-\x1f]"
-        self.cut = re.compile(rf" ?{word}+|{blank}+(?!{word})|{blank}+")
+        word, blank = r"[\S\x1c-\x1f]", r"[^\S\x1c-\x1f]"
+        letters, sign = "[A-Za-zÀ-ÖØ-öø-ſ]", r"[!-&(-/:-@\[-`{-~]"
+        self.cut = re.compile(rf" ?{letters}++(?:(?={sign})|(?!{word}))| ?{word}+|{blank}+(?!{word})|{blank}+")
         self.begins = np.zeros(self.library.get_vocab_size(), bool)
-        self.begins[[i for t, i in self.library.get_vocab().items() if t.startswith("Ġ")]] = True  # a blank, as byte-level models write it
-        self.known: dict[str, bytes] = {}
+        self.begins[[i for t, i in self.library.get_vocab().items() if t.startswith(_BLANK)]] = True
         self.cached = cached
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
         """Asks the library for the ids of new words: those that begin with a blank as one text, in which an id that begins
-        with a blank begins a word; the others one by one."""
-        spaced = [w for w in words if w[0] == " " and not w.isspace()]
-        if spaced:
-            ids = np.array(self.library.encode("".join(spaced), add_special_tokens=False).ids, "<u4")
-            starts = np.flatnonzero(self.begins[ids])
-            if len(starts) == len(spaced):
-                self._keep(spaced, ids, np.r_[starts, len(ids)])
+        with a blank begins a word; the others one by one. What was known before is taken from there."""
+        self.known.update((w, self.before[w]) for w in words if w in self.before)
+        spaced: tuple[list[str], list[str]] = [], []
+        for w in words:
+            if w[0] == " " and w not in self.before and not w.isspace():
+                spaced[w.isascii() and w[1:].isalpha()].append(w)
+        for some, library, blank in zip(spaced, (self.library, self.letters), (" ", _BLANK)):
+            if some:
+                text = "".join(some).replace(" ", blank)
+                ids = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                starts = np.flatnonzero(self.begins[ids])
+                if len(starts) == len(some):
+                    self._keep(some, ids, np.r_[starts, len(ids)])
         rest = [w for w in words if w not in self.known]
         if rest:
             done = self.library.encode(rest, is_pretokenized=True, add_special_tokens=False)
@@ -114,8 +133,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         whole = [not self.by_word or (self.added is not None and self.added.search(t) is not None) for t in texts]
-        if len(self.known) > self.cached:
-            self.known.clear()
+        if 2 * len(self.known) > self.cached:
+            self.known, self.before = {}, self.known
         words = [[] if w else self.cut.findall(t) for t, w in zip(texts, whole)]
         found = [list(map(self.known.get, c)) for c in words]
         gaps = [(f, c, place) for f, c in zip(found, words) if None in f for place in _places(f, None)]
@@ -194,7 +213,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 1024, e
             if waiting:
                 yield as_batch(dealt(waiting))
         finally:  # also where the task fails or is cut short
-            encoder.known.clear()
+            encoder.forget()
             gc.enable()
             give_back()
 

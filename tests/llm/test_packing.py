@@ -90,6 +90,22 @@ def test_white_space_and_added_tokens():
     assert [x for low in range(0, len(odd), 500) for x in small.encode(odd[low : low + 500])] == want
 
 
+def test_letters_and_signs():
+    """Words are cut after the letters that they begin with; what was met since the last half of the words stays known."""
+    rng = random.Random(5)
+    parts = [*"aZéſßÿ×÷ªµ'’,.-_`{~\x7f \n\x1c\xa01²٣日\u0301\U0001f600\0Ġƀǅ\u200bİ", "  ", "'s", " and", "x's,", "word's-end"]
+    odd = ["".join(rng.choices(parts, k=rng.randrange(1, 40))) for _ in range(4000)] + ["a,'" * 30_000, "," * 100_000, "a" * 3000 + "é,"]
+    exact = Tokenizer.from_file(packing.byte_bpe())
+    want = [np.array(e.ids, "<u4").tobytes() for e in exact.encode_batch(odd, add_special_tokens=False)]
+    small = packing.Encoder(packing.byte_bpe(), cached=1000)
+    assert [x for low in range(0, len(odd), 50) for x in small.encode(odd[low : low + 50])] == want
+    assert small.encode([" kept"] * 2) == small.encode([" kept"]) * 2
+    small.known, small.before = {}, {" kept": b"12345678"}
+    assert small.encode([" kept other"])[0].startswith(b"12345678") and small.known[" kept"] == b"12345678"
+    small.forget()
+    assert not small.known and not small.before
+
+
 def test_a_million_line_feeds(spark):
     got = packing.pack_documents(spark.createDataFrame([(1, "\n" * 1_000_000), (2, None)], "doc_id long, text string"), packing.byte_bpe())
     assert got.where("doc_id = 1").agg(F.sum("length")).first()[0] == 500_001
