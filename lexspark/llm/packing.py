@@ -8,6 +8,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -95,8 +96,8 @@ class Encoder:
         self.letters.pre_tokenizer = Split(_BLANK, "merged_with_next")
         # the four separators from 0x1C on are no white space for the library
         word, blank = r"[\S\x1c-\x1f]", r"[^\S\x1c-\x1f]"
-        letters, sign = "[A-Za-zÀ-ÖØ-öø-ſ]", r"[!-&(-/:-@\[-`{-~]"
-        self.cut = re.compile(rf" ?{letters}++(?:(?={sign})|(?!{word}))| ?{word}+|{blank}+(?!{word})|{blank}+")
+        letters, others = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[^\t-\r -&(-/:-@\[-`{-~]"  # the latter: all but ASCII's signs and blanks
+        self.cut = re.compile(rf" ?{letters}++(?!{others})| ?{word}+|{blank}+(?!{word})|{blank}+")
         self.begins = np.zeros(self.library.get_vocab_size(), bool)
         self.begins[[i for t, i in self.library.get_vocab().items() if t.startswith(_BLANK)]] = True
         self.cached = cached
@@ -106,13 +107,14 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         """Asks the library for the ids of new words: those that begin with a blank as one text, in which an id that begins
         with a blank begins a word; the others one by one. What was known before is taken from there."""
-        self.known.update((w, self.before[w]) for w in words if w in self.before)
+        again = self.before.keys() & words
+        self.known.update(zip(again, map(self.before.__getitem__, again)))
         spaced: tuple[list[str], list[str]] = [], []
-        for w in words:
-            if w[0] == " " and w not in self.before and not w.isspace():
+        for w in words - again:
+            if w[0] == " " and not w.isspace():
                 spaced[w.isascii() and w[1:].isalpha()].append(w)
         for some, library, blank in zip(spaced, (self.library, self.letters), (" ", _BLANK)):
             if some:
@@ -121,7 +123,7 @@ class Encoder:
                 starts = np.flatnonzero(self.begins[ids])
                 if len(starts) == len(some):
                     self._keep(some, ids, np.r_[starts, len(ids)])
-        rest = [w for w in words if w not in self.known]
+        rest = [*words.difference(self.known)]
         if rest:
             done = self.library.encode(rest, is_pretokenized=True, add_special_tokens=False)
             self._keep(rest, np.array(done.ids, "<u4"), np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(rest) + 1)))
@@ -136,28 +138,13 @@ class Encoder:
         if 2 * len(self.known) > self.cached:
             self.known, self.before = {}, self.known
         words = [[] if w else self.cut.findall(t) for t, w in zip(texts, whole)]
-        found = [list(map(self.known.get, c)) for c in words]
-        gaps = [(f, c, place) for f, c in zip(found, words) if None in f for place in _places(f, None)]
-        self._learn(list({c[place] for _, c, place in gaps}))
-        for f, c, place in gaps:
-            f[place] = self.known[c[place]]
-        out = [b"".join(f) for f in found]
+        self._learn(set(chain.from_iterable(words)).difference(self.known))
+        out = [b"".join(map(self.known.__getitem__, c)) for c in words]
         for i in (i for i, w in enumerate(whole) if w):
             out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
 
-def _places(values: list, sought) -> list[int]:
-    """Where a value stands in a list."""
-    out, at = [], -1
-    try:
-        while True:
-            at = values.index(sought, at + 1)
-            out.append(at)
-    except ValueError:
-        return out
-
-
 @cache
 def _encoder(path: str) -> Encoder:
     """One for each worker process; each task forgets the words it has learned."""
