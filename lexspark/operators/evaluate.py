@@ -79,20 +79,30 @@ def holders(questions: DataFrame, documents: DataFrame, run: int = 5) -> DataFra
     """All pairs (question_id, child_id) where the text of a document (child_id, text) contains that of a question.
 
     Words between a text's first and last one stand whole in whatever contains it, so documents meet a question by the
-    hash of its run of words from the second on, and the texts are compared then. Texts too short for a run are looked
-    for in every document.
+    hash of its run of at most `run` words from the second on, and the texts are compared then. Only questions of one or
+    two words, where there are any, are looked for in every document.
     """
     q = questions.select("question_id", F.col("text").alias("_q"))
     words = F.split("_q", r"\s+")
-    enough = F.size(words) >= run + 2
-    wanted = q.where(enough).select("question_id", F.xxhash64(F.struct(*[F.get(words, F.lit(i)) for i in range(1, run + 1)])).alias("_run"))
-    split = documents.select("child_id", F.split("text", r"\s+").alias("_w"))
-    shifted = F.arrays_zip(*[F.slice("_w", i, F.size("_w")) for i in range(1, run + 1)])
-    runs = split.where(F.size("_w") >= run).select("child_id", F.explode(shifted).alias("_r")).select("child_id", F.xxhash64("_r").alias("_run"))
-    met = runs.join(wanted, "_run").select("question_id", "child_id").distinct()
-    found = met.join(q, "question_id").join(documents.select("child_id", "text"), "child_id").where(F.contains("text", "_q"))
-    short = q.where(~enough).join(documents.select("child_id", "text"), F.contains("text", "_q"))
-    return found.select("question_id", "child_id").unionByName(short.select("question_id", "child_id")).distinct()
+    inner = F.least(F.size(words) - 2, F.lit(run))
+    sizes = sorted(r["n"] for r in q.where(F.col("_q").isNotNull()).select(inner.alias("n")).distinct().collect())  # run + 2 at most
+    lengths = [n for n in sizes if n > 0]
+    texts = documents.select("child_id", "text")
+    short = q.where(inner <= 0).join(texts, F.contains("text", "_q")).select("question_id", "child_id")
+    if not lengths:
+        return short.distinct()
+    hashed = lambda get, n: F.xxhash64(F.lit(n), *[get(i) for i in range(n)])
+    wanted = [F.when(inner == n, hashed(lambda i: F.get(words, F.lit(i + 1)), n)) for n in lengths]
+    asked = q.where(inner > 0).select("question_id", F.coalesce(*wanted).alias("_run"))
+    places = lambda n: F.when(F.size("_w") >= n, F.sequence(F.lit(0), F.size("_w") - n)).otherwise(F.array().cast("array<int>"))
+
+    def held(n: int) -> Column:
+        return F.transform(places(n), lambda at: hashed(lambda i: F.get("_w", at + i), n))
+
+    runs = documents.select("child_id", F.split("text", r"\s+").alias("_w")).select("child_id", F.explode(F.flatten(F.array(*map(held, lengths)))).alias("_run"))
+    met = runs.join(asked, "_run").select("question_id", "child_id").distinct()
+    found = met.join(q, "question_id").join(texts, "child_id").where(F.contains("text", "_q")).select("question_id", "child_id")
+    return (found.unionByName(short) if sizes[0] <= 0 else found).distinct()
 
 
 def mean_reciprocal_rank(rank: Column) -> Column:

@@ -105,3 +105,16 @@ def test_gold_is_looked_for_in_all_documents(spark, tmp_path):
     assert set(got) == {1, 2} and got[1].recall_at_20 == 20 / 25 and got[1].recall_at_1 == 1 / 25
     assert got[2].first_hit_rank is None and got[2].recall_at_20 == 0
     assert catalog.mrr(spark, str(tmp_path)).first().asDict() == {"mrr": 0.5, "questions": 2}
+
+
+def test_holders(spark):
+    """Texts of any number of words, cut anywhere, against a search in every document."""
+    rng = random.Random(1)
+    text = lambda n: "".join(rng.choice(["ab", "c", "dd ", " e", " \n", " f", "g "]) for _ in range(n))
+    docs = [(i, text(rng.randrange(40))) for i in range(80)] + [(900, None), (901, "")]
+    parts = [docs[rng.randrange(80)][1] for _ in range(120)]
+    asked = [(i, p[rng.randrange(len(p) + 1) :][: rng.randrange(1, 30)]) for i, p in enumerate(parts)] + [(800, None), (801, "x y z w nowhere at all")]
+    for some in (asked, [a for a in asked if a[1] and len(a[1].split()) > 4], []):
+        got = E.holders(spark.createDataFrame(some, "question_id long, text string"), spark.createDataFrame(docs, "child_id long, text string"))
+        want = {(a, b) for a, x in some for b, y in docs if x is not None and y is not None and x in y}
+        assert {tuple(r) for r in got.collect()} == want
