@@ -61,6 +61,16 @@ def test_expand_and_merge(spark):
     assert "một hai ba\n\nbốn năm" in [m.t for m in merged]
 
 
+def test_expand_meets_neighbours_by_place(spark):
+    kids = [(f"A{i}", "A", 1, 2 * i, f"t{i}") for i in range(4)] + [("A9", "A", 1, 2, "twin"), ("A9", "A", 1, 2, "twin")]
+    children = spark.createDataFrame(kids, "child_id string, parent_id string, document_id long, position int, text string")
+    rows = retrieve.expand(lists(spark, x=["A1", "A2"])["x"], children, 2)
+    assert [(r["rank"], r.anchor_child_id, r.child_ids) for r in rows.collect()] == [(1, "A1", ["A0", "A1", "A9", "A2", "A3"])]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # no join of all children of a parent, which a range of places would cut down afterwards
+    assert not [line for line in plan.splitlines() if "Join" in line and ("<=" in line or ">=" in line)]
+
+
 def test_budget(spark):
     rows = spark.createDataFrame([(1, i, "a b c d") for i in range(3)], "question_id long, rank long, text string")
     assert retrieve.within_budget(rows, 8).count() == 2
