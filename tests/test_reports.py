@@ -71,3 +71,17 @@ def test_rewrites_share_one_pass(spark):
     for name, rows in ask.items():
         want = [tuple(r) for r in retrieve.bm25_top_k(rows, texts, 5).select("question_id", "child_id", "score", "rank").orderBy("rank").collect()]
         assert [tuple(r) for r in got.where(F.col("list") == name).drop("list").orderBy("rank").collect()] == want
+
+
+def test_numbers_beyond_five_digits(spark, data, tmp_path):
+    import duckdb
+
+    from lexspark.plans import catalog
+    from lexspark.plans import reports as plans
+
+    con = duckdb.connect()
+    for name, rows in (("orders", spark.read.parquet(f"{data}/orders.parquet").withColumn("o_custkey", F.col("o_custkey") + 99_950)), ("lineitem", spark.read.parquet(f"{data}/lineitem.parquet"))):
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = plans.filter_statistics(spark, str(tmp_path))
+    assert tuple(got.first()) == con.execute(catalog.SQL["filter_statistics"]).fetchone()
