@@ -56,3 +56,18 @@ def test_integrity(spark):
     children = spark.createDataFrame([("a", "p", None, "b"), ("b", "p", "x", None), ("c", "r", None, None)], "child_id string, parent_id string, previous_child_id string, next_child_id string")
     got = {r.rule: r.violations for r in chunks.integrity(documents, parents, children).collect()}
     assert got == {"orphan_parents": 1, "orphan_children": 1, "dangling_previous": 1, "dangling_next": 0, "broken_links": 1}
+
+
+def test_chunks_read_documents_once(spark):
+    text = "Điều 1. A\n1. Một\n2. Hai\nĐiều 2. " + " ".join(f"w{i}" for i in range(30))
+    rows = [(1, "A", "x", text), (2, None, None, "a b c d e f g h i"), (3, "C", "y", None), (4, "D", "y", " ")]
+    documents = spark.createDataFrame(rows, "document_id long, document_name string, source_link string, text string")
+    parents, children = chunks.parent_child_chunks(documents, Settings(parent_target_tokens=12, parent_max_tokens=20, child_target_tokens=8, child_overlap_tokens=2))
+    got = children.orderBy("document_id", "position").collect()
+    assert [(c.parent_id, c.chunking_method) for c in got if c.document_id == 1][:3] == [("doc:1:article:0:1:segment:0", "clause")] * 2 + [("doc:1:article:1:2:segment:0", "token_window")]
+    assert [c.text for c in got if c.document_id == 2] == ["a b c d e f g h", "g h i"] and {c.document_id for c in got} == {1, 2}
+    assert [p.position for p in parents.where("document_id = 1").orderBy("position").collect()] == [0, 1, 2, 3]
+    for c, after in zip(got, got[1:]):
+        assert c.next_child_id == (after.child_id if after.parent_id == c.parent_id else None)
+    plan = children._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
