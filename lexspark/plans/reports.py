@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspark.operators import audits, chunks, evaluate, filters, reports, retrieve
 from lexspark.plans.catalog import _CHUNKS, _FLAGS, _LISTS, _PAIRS, _PASSAGES, _STAGE, SQL, _pairs, _rewrites, children, doc_chunks, docs, filter_names, filter_questions, passages, query, questions, table
+from lexspark.sources.tables import written
 
 _RUNS = f"""{_LISTS}, lists AS (SELECT 'whole' AS config, question_id, doc_id, rank FROM whole UNION ALL SELECT 'first', question_id, doc_id, rank FROM first UNION ALL SELECT 'rest', question_id, doc_id, rank FROM rest),
 gold AS (SELECT m.item_id AS question_id, x.doc_id FROM benchmark m JOIN documents x ON contains(x.text, m.text)),
@@ -19,8 +20,9 @@ _METRICS = [*(f"recall_at_{k}" for k in reports.CUTOFFS), "mrr", "any_hit", "all
 
 
 def _rollup(spark, d) -> DataFrame:
-    runs = _rewrites(spark, d, "whole", "first", "rest").select(F.col("list").alias("config"), "question_id", "rank", F.col("child_id").alias("item"))
-    gold = evaluate.holders(questions(spark, d), children(spark, d)).select("question_id", F.col("child_id").alias("item"))
+    texts = written(children(spark, d))  # read by the search and by what looks for holders
+    runs = _rewrites(spark, d, "whole", "first", "rest", texts=texts).select(F.col("list").alias("config"), "question_id", "rank", F.col("child_id").alias("item"))
+    gold = evaluate.holders(questions(spark, d), texts).select("question_id", F.col("child_id").alias("item"))
     return reports.config_rollup(runs, gold)
 
 

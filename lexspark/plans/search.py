@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspark.conf import Settings
 from lexspark.operators import retrieve
-from lexspark.sources.tables import written
+from lexspark.sources.tables import small_batches, written
 
 
 def hybrid_search(questions: DataFrame, children: DataFrame, settings: Settings = Settings(), allowed: DataFrame | None = None) -> DataFrame:
@@ -15,7 +15,7 @@ def hybrid_search(questions: DataFrame, children: DataFrame, settings: Settings
 
     Children are made once into a table, and so are their vectors, as several jobs read them.
     """
-    children = written(children.select("child_id", "text"))
+    children = small_batches(written(children.select("child_id", "text")))
     vectors = written(children.select("child_id", retrieve.hashed_embedding(F.col("text")).alias("embedding")))
     asked = questions.select("question_id", retrieve.hashed_embedding(F.col("text")).alias("embedding"))
     dense = retrieve.dense_top_k(asked, vectors, settings.dense_top_k, allowed)
@@ -28,7 +28,7 @@ def contexts(questions: DataFrame, children: DataFrame, settings: Settings = Set
     fused = hybrid_search(questions, children, settings)
     ranked = retrieve.rerank(fused, questions, children, scorer, settings.rerank_top_k)
     evidence = retrieve.expand(ranked, children, settings.neighbour_window, settings.parents_per_document)
-    evidence = evidence.withColumn("text", retrieve.merge_texts(F.col("texts"))).drop("texts")
+    evidence = small_batches(evidence).withColumn("text", retrieve.merge_texts(F.col("texts"))).drop("texts")
     return retrieve.within_budget(evidence, settings.context_tokens, truncate_first=True)
 
 

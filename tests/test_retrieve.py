@@ -112,3 +112,15 @@ def test_fallback(spark):
     a, b = lists(spark, a=["x", "y"], b=["y", "z"]).values()
     got = fallback_merge(a, b, spark.createDataFrame([(1,)], "question_id long")).orderBy("rank").collect()
     assert [r.child_id for r in got] == ["x", "y", "z"]
+
+
+def test_texts_are_picked_without_a_shuffle(spark, monkeypatch):
+    from lexspark.sources import tables
+
+    many, few = spark.range(100).selectExpr("id child_id", "string(id) text"), spark.createDataFrame([(1, 3), (2, 3), (2, 200)], "question_id long, child_id long")
+    for held in (10, 1):
+        monkeypatch.setattr(tables, "HELD_ROWS", held)
+        got = tables.picked(few, many, "child_id")
+        assert sorted((r.question_id, r.child_id, r.text) for r in got.collect()) == [(1, 3, "3"), (2, 3, "3")]
+        if held == 10:
+            assert "ResolvedHint" in got._jdf.queryExecution().analyzed().toString()
