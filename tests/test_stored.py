@@ -188,3 +188,13 @@ def test_versions_keep_tables(spark, tmp_path):
     assert versions.readiness("v3") == ["lexical is missing"]
     (root / "v3" / "vectors" / "_SUCCESS").unlink()
     assert versions.readiness("v3") == ["lexical is missing", "vectors is unfinished"]
+
+
+def test_texts_are_inverted_after_one_shuffle(spark):
+    from lexspark.operators import postings
+
+    lists, _ = postings.inverted(spark.createDataFrame([(1, "b a b"), (2, "a"), (3, None)], "child_id long, text string"), 1)
+    assert [(r.term, r.holders, r.most, r.shortest, [(e.child_id, e.f, e.length, e.places) for e in sorted(r.entries)]) for r in lists.orderBy("term").collect()] == [
+        ("a", 2, 1, 1, [(1, 1, 3, [1]), (2, 1, 1, [0])]), ("b", 1, 2, 3, [(1, 2, 3, [0, 2])])
+    ]
+    assert lists._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
