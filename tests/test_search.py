@@ -6,10 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from lexspark.conf import Settings
 from lexspark.operators import retrieve
-from lexspark.plans import catalog, search
+from lexspark.plans import catalog, search, stored  # noqa: F401  (it registers more queries)
 
 
 def embedding(text, dim=256):
@@ -91,3 +92,63 @@ def test_held_words_and_the_join_agree(spark):
     named = asked.selectExpr("named_struct('list', 'x', 'question_id', question_id) AS question_id", "text")
     got, want = retrieve.bm25_top_k(named, many, 5), retrieve.bm25_top_k(named, many, 5, held=0)
     assert sorted((str(r.question_id), r["rank"], r.child_id) for r in got.collect()) == sorted((str(r.question_id), r["rank"], r.child_id) for r in want.collect())
+
+
+def test_long_questions_are_searched_whole(spark):
+    """A text's score is the sum of those by parts of the question; the last words alone are found too."""
+    rows = [(f"doc:{i}:child:0", " ".join(f"w{(i * j * j + j) % 211}" for j in range(1, 30))) for i in range(60)] + [("doc:60:child:0", "needle in hay-stack w3")]
+    children = spark.createDataFrame(rows, "child_id string, text string")
+    long = [f"w{j * 7 % 211}" for j in range(180)]
+    questions = [(1, [*long, "needle"]), (2, [f"none{j}" for j in range(64)] + ["needle"]), (3, [f"none{j}" for j in range(500)] + ["hay-stack"])]
+    asked = spark.createDataFrame([(q, " ".join(words)) for q, words in questions], "question_id long, text string")
+    want = Counter()
+    for low in range(0, 181, 50):
+        want.update({c: s for s, c in lexical([(1, " ".join(questions[0][1][low : low + 50]))], rows, 100)[1]})
+    for held in (retrieve.HELD_PAIRS, 0):
+        got = retrieve.bm25_top_k(asked, children, 100, held=held).collect()
+        mine = {r.child_id: r.score for r in got if r.question_id == 1}
+        assert mine.keys() == want.keys() and all(abs(mine[c] - want[c]) < 1e-6 for c in want)
+        assert [(r.question_id, r.child_id) for r in got if r.question_id > 1] == [(2, "doc:60:child:0"), (3, "doc:60:child:0")]
+    found = {(r.question_id, r.child_id): r for r in search.hybrid_search(asked, children).collect()}
+    assert all(found[q, "doc:60:child:0"].bm25_score > 0 for q in (2, 3))
+
+
+def test_words_are_multiplied_part_by_part():
+    import pyarrow as pa
+
+    terms = [[f"t{i * j % 17}" for j in range(1, 12)] for i in range(40)] + [None, [], ["a", "b", "a", "b"], ["b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(terms)), pa.int64()), pa.array(terms, pa.list_(pa.string()))], names=["child_id", "terms"])
+    words = retrieve.HeldWords.of([(q, f"t{(q * 5 + n) % 19}", 1 + n % 2) for q in range(9) for n in range(q + 2)] + [(9, "a b", 1), (9, "b a b", 1)])
+    counts = next(words.counted(iter([batch.select([1])]))).to_pydict()
+    found = dict(zip(counts["key"], counts["holders"]))
+    assert found[words.keys.index("a b")] == found[words.keys.index("b a b")] == 1
+    words.weigh({k: n for k, n in found.items() if k >= 0}, found[-1], 10.0)
+    show = lambda **sizes: [b.to_pydict() for b in words.searcher(3, **sizes)(iter([batch]))]
+    assert show(words=1) == show(words=4) == show(block=2, rows=7, words=2) == show() and len(show()[0]["score"]) > 20
+
+
+def long_questions(data, folder):
+    """The given tables with each question followed by two others, so that it has some hundred words."""
+    import os
+
+    import duckdb
+
+    for file in os.listdir(data):
+        if file != "benchmark.parquet":
+            os.symlink(f"{data}/{file}", f"{folder}/{file}")
+    con = duckdb.connect()
+    con.execute(f"""COPY (WITH b AS (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS n, count(*) OVER () AS c FROM '{data}/benchmark.parquet')
+        SELECT b.item_id, b.text || ' ' || x.text || ' ' || y.text AS text FROM b JOIN b x ON x.n = (b.n + 1) % b.c JOIN b y ON y.n = (b.n + 7) % b.c) TO '{folder}/benchmark.parquet'""")
+    for file in os.listdir(folder):
+        con.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{file}'")
+    return con
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "rrf_multi_query", "rerank_overlap", "postings_topk"])
+def test_queries_search_as_much_as_their_sql(spark, data, tmp_path, name):
+    con = long_questions(data, tmp_path)
+    assert con.execute("SELECT count(*) FROM benchmark WHERE len(string_split(text, ' ')) > 64").fetchone()[0] > 30
+    want = con.execute(catalog.SQL[name])
+    columns = [c[0] for c in want.description]
+    got = catalog.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
