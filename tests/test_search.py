@@ -144,7 +144,7 @@ def long_questions(data, folder):
     return con
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "rrf_multi_query", "rerank_overlap", "postings_topk"])
+@pytest.mark.parametrize("name", ["bm25_topk", "rrf_multi_query", "rerank_overlap", "postings_topk", "postings_updated"])
 def test_queries_search_as_much_as_their_sql(spark, data, tmp_path, name):
     con = long_questions(data, tmp_path)
     assert con.execute("SELECT count(*) FROM benchmark WHERE len(string_split(text, ' ')) > 64").fetchone()[0] > 30

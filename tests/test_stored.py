@@ -88,6 +88,43 @@ def test_blocks_are_passed_over(spark, tmp_path, monkeypatch):
     assert left[0].count() <= 3 < store.postings().select("block").distinct().count()  # of some 50 blocks
 
 
+def test_entries_are_scored_part_by_part():
+    import pyarrow as pa
+
+    from lexspark.operators.postings import _scorer
+
+    entries = [[(0, block, f"k{n}", [100 * block + c for c in range(n % 5, 40, 1 + n)], n + 1) for n in range(12)] for block in (0, 1, 2)]
+    rows = [{"segment": s, "block": b, "key": k, "child_id": c, "length": [5 + i % 7 for i in c], "f": [1 + (i + n) % 3 for i in c]} for part in entries for s, b, k, c, n in part]
+    kinds = pa.schema([("segment", pa.int32()), ("block", pa.int32()), ("key", pa.string()), ("child_id", pa.list_(pa.int64())), ("length", pa.list_(pa.int32())), ("f", pa.list_(pa.int64()))])
+    batches = pa.Table.from_pylist(rows, kinds).to_batches(max_chunksize=5)
+    pairs = [(q, f"k{n}", 0.5 + (q + n) % 4) for q in range(6) for n in range(q, 12, 2)]
+    show = lambda **size: [b.to_pydict() for b in _scorer(pairs, 4, 9.0, **size)(iter(batches))]
+    assert show(words=1) == show(words=5) == show() and len(show()[0]["score"]) == 24
+
+
+def test_updated_postings_search_whole_questions(spark, data, tmp_path):
+    """Words that no text holds change nothing, however many stand before the others."""
+    import os
+
+    import duckdb
+
+    from lexspark.plans import catalog, stored
+
+    for file in os.listdir(data):
+        if file != "benchmark.parquet":
+            os.symlink(f"{data}/{file}", f"{tmp_path}/{file}")
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT item_id, (SELECT string_agg('zzz' || i, ' ' ORDER BY i) FROM range(70) t(i)) || ' ' || text AS text FROM '{data}/benchmark.parquet') TO '{tmp_path}/benchmark.parquet'")
+    got = stored.postings_updated(spark, str(tmp_path))
+    rows = sorted(map(repr, map(tuple, got.collect())))
+    assert rows == sorted(map(repr, map(tuple, stored.postings_updated(spark, data).collect()))) and rows
+    for file in os.listdir(tmp_path):
+        if file.endswith(".parquet"):
+            con.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{tmp_path}/{file}'")
+    want = con.execute(catalog.SQL["postings_updated"])
+    assert got.columns == [c[0] for c in want.description] and rows == sorted(map(repr, want.fetchall()))
+
+
 def vectors(n, seed=0, dim=16, clusters=40):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(clusters, dim))
